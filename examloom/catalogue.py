@@ -1,0 +1,11 @@
+"""The registered queries and their oracles, by name."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
