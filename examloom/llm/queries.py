@@ -15,8 +15,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.language import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op9_quality_classifier,)}
+    return {f.__name__: f for f in (op2_language_id, op9_quality_classifier)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
