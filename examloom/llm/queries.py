@@ -21,8 +21,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op9_quality_classifier)}
 
 
 def llm_oracle_sql() -> dict[str, str]:

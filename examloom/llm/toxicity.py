@@ -118,7 +118,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.3)
 
 
 def train(toxic: list[bytes], ordinary: list[bytes], prior: float, seed: int = 3) -> ToxicityModel:
-    """Half of the sample trains the dictionaries, the other half calibrates; ``prior`` is the share of toxic labels."""
+    """Ordinary prose comes from half of the sample, and the other half calibrates; ``prior`` is the share of toxic labels."""
     rng = np.random.default_rng(seed)
     (t1, t2), (o1, o2) = ([side[::2], side[1::2]] for side in (toxic, ordinary))
     prose = [w for t in o1 for w in windows(t, 128)]
