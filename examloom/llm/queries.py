@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.media import UNIT, media_columns
+
+    return media_columns(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op7_media_columns, op9_quality_classifier)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
