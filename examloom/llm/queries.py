@@ -28,6 +28,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from examloom.llm.bpe import encode_documents
+
+    coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from examloom.llm.media import UNIT, media_columns
 
@@ -44,7 +58,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op7_media_columns, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op6_bpe, op7_media_columns, op9_quality_classifier)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
