@@ -171,8 +171,8 @@ def merge_batch(symbols: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) ->
     return [s[s >= 0] for s in symbols]
 
 
-def encode_words(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
-    """Ids of distinct pre-tokens: short ones in batches of equal tree size, long ones alone."""
+def encode_words(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct pre-tokens in a row, and the number of each one's: short ones in batches of equal tree size, long ones alone."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     lengths = np.array([len(b) for b in raw], np.int64)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raw)
@@ -188,7 +188,7 @@ def encode_words(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
         size *= 2
     for i in np.flatnonzero(lengths > SHORT).tolist():
         out[i] = np.array(merge_one(vocab.byte_ids[np.frombuffer(raw[i], np.uint8)].tolist(), vocab), np.int64)
-    return out
+    return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
 
 class Codec:

@@ -23,7 +23,7 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points are handled in runs of about this many; a longer text comes alone.
 BLOCK = 1 << 18
 #: A task forgets its pre-tokens when it knows so many.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 1_000_000
 
 
 @cache
@@ -101,9 +101,9 @@ def keeping_spaces(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Encoder:
-    """Ids of texts. ``encode_words`` gets distinct pre-tokens and returns their ids; it is called for unknown ones only."""
+    """Ids of texts. ``encode_words`` gets distinct pre-tokens and returns their ids in a row, and the number of each one's; it is called for unknown ones only."""
 
-    def __init__(self, cut: Callable, encode_words: Callable[[list[str]], list[np.ndarray]]):
+    def __init__(self, cut: Callable, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.cut, self.encode_words = cut, encode_words
         self.forget()
 
@@ -115,16 +115,17 @@ class Encoder:
         self.used = 0
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        for key, ids in zip(keys, self.encode_words(words), strict=True):
-            k = len(self.known)
-            if k == len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * k), np.resize(self.count, 2 * k)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.first[k], self.count[k] = self.used, len(ids)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[key] = k
+        ids, counts = self.encode_words(words)
+        k, n = len(self.known), len(keys)
+        while k + n > len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.first[k : k + n] = self.used + np.cumsum(counts) - counts
+        self.count[k : k + n] = counts
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(keys, range(k, k + n), strict=True))
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a few texts."""

@@ -28,6 +28,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from examloom.llm.packing import pack_documents
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = pack_documents(table(spark, sf_dir, "documents"), path, F.crc32("ids").alias("ids_crc32"))
+    return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +68,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op6_bpe, op7_media_columns, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_packing, op6_bpe, op7_media_columns, op9_quality_classifier)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
