@@ -67,8 +67,15 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.url_filter import filter_urls, rule
+
+    rules = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_packing, op6_bpe, op7_media_columns, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
