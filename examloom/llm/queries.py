@@ -74,8 +74,14 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.fingerprint import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
