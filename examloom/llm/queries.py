@@ -28,6 +28,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,7 +87,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_jaccard_join, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
