@@ -16,6 +16,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.suffix_dedup import remove_repeats
+
+    total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", total.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from examloom.llm.language import identify_languages
 
@@ -87,7 +96,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_jaccard_join, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_jaccard_join, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
