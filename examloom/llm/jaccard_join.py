@@ -239,6 +239,12 @@ def class_links(posted: DataFrame) -> DataFrame:
     return components(found.unionByName(materialize(links_between(open_pairs, again))))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows with one of ``ids`` (doc_id): few are broadcast to the texts, more are joined by a shuffle."""
+    ids = materialize(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
 

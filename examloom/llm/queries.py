@@ -95,8 +95,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_jaccard_join, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_jaccard_join, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints, pipeline)}
 
 
 def llm_oracle_sql() -> dict[str, str]:

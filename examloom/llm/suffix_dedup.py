@@ -281,7 +281,7 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = Shard()
     for batch in batches:
         data, offsets = flat(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
         lists = batch.column("repeated")
         some = np.flatnonzero(np.asarray(lists.is_valid()))
         for i in some.tolist():
@@ -353,11 +353,12 @@ def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_windows(texts: DataFrame) -> DataFrame:
     """(doc_id, start, windows): runs of windows that also start earlier, from (doc_id, text) without null ids."""
     ddl = "hash long, doc_id long, times int"
-    seen = texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(anchor_rows, ddl)
+    seen = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "text").mapInArrow(anchor_rows, ddl)
     seen = seen.withColumn("all", F.sum("times").over(Window.partitionBy("hash"))).filter(F.col("all") > 1)
     repeated = seen.groupBy("doc_id").agg(F.collect_set("hash").alias("repeated"))
     joined = texts.join(repeated, "doc_id", "left")
-    slices = joined.select("doc_id", F.when(F.col("repeated").isNotNull(), F.col("text")).alias("text"), "repeated").mapInArrow(shard_rows, "route long, doc_id long, start long, windows int, shift int, bytes binary")
+    # All columns go along, so that this join and the last one read the same exchange.
+    slices = joined.withColumn("text", F.when(F.col("repeated").isNotNull(), F.col("text"))).mapInArrow(shard_rows, "route long, doc_id long, start long, windows int, shift int, bytes binary")
     return slices.repartition("route").sortWithinPartitions("route").mapInArrow(merge_rows, "doc_id long, start long, windows int")
 
 
@@ -393,14 +394,26 @@ def cut_out(text: Column, windows: Column) -> Column:
     return cut(text, windows)
 
 
+def kept_text(kept: Column) -> Column:
+    """What is left as text; bytes of characters that were cut through fall out."""
+
+    @F.arrow_udf(T.StringType())
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array([(b.as_py() or b"").decode("utf-8", "ignore") for b in column], pa.string())
+
+    return text(kept)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, kept (bytes), starts and lengths of the removed runs, of every document.
+    """doc_id, n_bytes, kept (bytes), starts and lengths of the removed runs, and ``carried`` (a struct of all other columns) of every document.
 
     Null and empty texts, and those under 100 bytes, keep all they have. Rows with one doc_id count as one document: none is earlier than the
     other, and what is removed is removed from each. Rows without a doc_id are left as they are. An empty table gives an empty
-    result; only doc_id and text are read.
+    result; other columns than doc_id and text are carried along, whatever their names.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    carried = F.struct(*others) if others else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried"))
     gone = removed_windows(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("windows"))
-    out = texts.join(gone, "doc_id", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows")).alias("c"))
-    return out.select("doc_id", "n_bytes", "c.kept", "c.starts", "c.lengths")
+    out = texts.join(gone, "doc_id", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows")).alias("c"), "carried")
+    return out.select("doc_id", "n_bytes", "c.kept", "c.starts", "c.lengths", "carried")
