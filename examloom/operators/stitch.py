@@ -65,7 +65,7 @@ def deduped(rows: DataFrame) -> DataFrame:
     def fold(run: pd.DataFrame) -> pd.DataFrame:
         by_label, by_content, best = {}, {}, {}
         for i, r in enumerate(run.sort_values("pos").itertuples(index=False)):
-            label = r.label or f"pyrite-{i + 1}"
+            label = r.label or f"row-{i + 1}"
             key = by_label.get(label) or by_content.get(r.content) or f"label:{label}"
             if key not in best or r.score > best[key][2]:
                 best[key] = (r.pos, label, r.score)
