@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,8 +87,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from examloom.llm.url_filter import filter_urls, rule
 
-    rules = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
-    return filter_urls(table(spark, sf_dir, "pages"), rules)
+    return filter_urls(table(spark, sf_dir, "pages"), [rule(*r) for r in URL_RULES])
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +107,6 @@ def llm_queries() -> dict:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    from examloom.llm import oracles, url_filter
+
+    return {"op1_suffix_dedup": oracles.OP1, "op4_jaccard_join": oracles.OP4, "op8_url_filters": oracles.op8(URL_RULES, url_filter.STEPS, url_filter.DAMPING)}
