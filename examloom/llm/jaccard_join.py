@@ -227,12 +227,14 @@ def class_links(posted: DataFrame) -> DataFrame:
     large = F.col("size") >= BLOCK
     placed = placed.select("node", "component", F.when(large, F.concat(F.lit("c"), F.col("component"))).otherwise(F.concat(F.lit("k"), F.col("key"))).alias("key"), F.col("component").alias("order"))
     placed = materialize(placed.join(chunks(placed, "key"), "node"))
-    seen = heads.join(placed, "node").select("gram", "block", "component").distinct()
+    # Blocks meet under a gram, whatever number of their sets hold it, if there are two components among them.
+    seen = heads.join(placed, "node").groupBy("gram", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     spans = Window.partitionBy("gram")
-    seen = seen.withColumn("lo", F.min("component").over(spans)).withColumn("hi", F.max("component").over(spans)).filter("lo <> hi").select("gram", "block", "component")
+    seen = seen.withColumn("least", F.min("lo").over(spans)).withColumn("most", F.max("hi").over(spans)).filter("least <> most").select("gram", "block", "lo", "hi")
     a, b = seen.alias("a"), seen.alias("b")
-    open_pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") < F.col("b.component")))
-    open_pairs = open_pairs.select(F.least("a.block", "b.block").alias("i"), F.greatest("a.block", "b.block").alias("j")).distinct()
+    mixed_pair = F.least("a.lo", "b.lo") < F.greatest("a.hi", "b.hi")
+    open_pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.block") <= F.col("b.block")) & mixed_pair)
+    open_pairs = open_pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
     open_pairs = materialize(open_pairs)
     needed = open_pairs.select(F.explode(F.array("i", "j")).alias("block")).distinct()
     again = materialize(packed(placed.select("node", "block").join(needed, "block", "left_semi"), posted))
