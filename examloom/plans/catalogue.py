@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examloom.functions import text as tx
-from examloom.operators import answers, geometry, grading, reconcile, review, stitch, store, telemetry, topics
+from examloom.operators import answers, assembly, geometry, grading, reconcile, review, stitch, store, telemetry, topics
 from examloom.plans.oracle_relations import BARE_QUESTION, sql, squeezed, trim
 from examloom.sources import relations as rel
 
@@ -702,3 +702,111 @@ def manifest_validation(t: Tables) -> DataFrame:
 def json_field_narrowing(t: Tables) -> DataFrame:
     broken = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
     return t.events.select("event_id", telemetry.narrowed(broken, "k", 3, 80, 6).alias("chunk"))
+
+
+def _chunks(t: Tables) -> tuple[DataFrame, DataFrame]:
+    planned = t.v2.withColumn("chunk", F.floor(F.col("pos") / 10).cast("int")).select("run_id", "chunk", "pos", "id", "doc_id")
+    worker = planned.filter("doc_id % 29 <> 0").withColumn("pos", F.when(F.col("doc_id") % 31 == 0, F.col("pos") + 2).otherwise(F.col("pos")))
+    return planned, worker
+
+
+@query(
+    """, p AS (SELECT *, CAST(pos // 10 AS INT) AS chunk FROM planned), a AS (SELECT run_id, chunk, id, row_number() OVER (PARTITION BY run_id, chunk ORDER BY pos, id) AS n FROM p),
+    b AS (SELECT run_id, chunk, id, row_number() OVER (PARTITION BY run_id, chunk ORDER BY pos + CASE WHEN doc_id % 31 = 0 THEN 2.5 ELSE 0 END) AS n FROM p WHERE doc_id % 29 <> 0),
+    j AS (SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.chunk, b.chunk) AS chunk, count(a.id) AS w, count(b.id) AS s, count(*) FILTER (a.id <> b.id) AS o FROM a FULL JOIN b ON a.run_id = b.run_id AND a.chunk = b.chunk AND a.n = b.n GROUP BY 1, 2)
+    SELECT run_id, chunk, CASE WHEN w <> s THEN 'row_count' ELSE 'id_order' END AS violation FROM j WHERE w <> s OR o > 0""",
+    "planned",
+)
+def chunk_violations(t: Tables) -> DataFrame:
+    planned, worker = _chunks(t)
+    worker = worker.withColumn("pos", F.col("pos") + F.when(F.col("doc_id") % 31 == 0, 0.5).otherwise(0.0))
+    return assembly.chunk_violations(planned, worker)
+
+
+@query(
+    """, q AS (SELECT run_id, CAST(pos // 10 AS INT) AS chunk, id, len(options) AS n FROM exam_rows WHERE doc_id % 3 = 0), r AS (SELECT run_id, CAST(pos // 10 AS INT) AS chunk, id, ai.ai AS idx, confidence FROM exam_rows JOIN ai USING (doc_id))
+    SELECT coalesce(q.run_id, r.run_id) AS run_id, coalesce(q.chunk, r.chunk) AS chunk, bool_and(coalesce(q.id IS NOT NULL AND r.id IS NOT NULL AND (idx IS NULL OR idx < n), false)) AS accepted FROM q FULL JOIN r ON q.run_id = r.run_id AND q.chunk = r.chunk AND q.id = r.id GROUP BY 1, 2""",
+    "exam_rows",
+    "ai",
+)
+def solver_chunks(t: Tables) -> DataFrame:
+    rows = t.v1.withColumn("chunk", F.floor(F.col("pos") / 10).cast("int"))
+    requested = rows.filter("doc_id % 3 = 0").select("run_id", "chunk", "id", F.size("options").alias("n_options"))
+    response = rows.join(t.ai, "doc_id").select("run_id", "chunk", "id", F.col("ai").alias("idx"), "confidence")
+    return assembly.solver_chunks(requested, response)
+
+
+@query(
+    """, f AS (SELECT DISTINCT run_id, page, ordinal FROM obs WHERE is_core AND pos % 5 = 0), a AS (SELECT *, 'images/asset' || lpad(CAST(row_number() OVER (PARTITION BY run_id ORDER BY page, ordinal) AS VARCHAR), 2, '0') || '.jpg' AS path FROM f)
+    SELECT o.run_id, CAST(o.pos AS VARCHAR) AS id, path FROM obs o JOIN a USING (run_id, page, ordinal) WHERE is_core AND pos % 5 = 0""",
+    "obs",
+)
+def figure_links(t: Tables) -> DataFrame:
+    seen = t.seen.filter("is_core")
+    figures = seen.filter("pos % 5 = 0").select("run_id", "page", "ordinal", F.array("ref", F.lit("unknown")).alias("refs"))
+    _, links = assembly.figure_links(figures, seen.select("run_id", "ref", F.col("pos").cast("string").alias("id")))
+    return links
+
+
+@query(
+    """, l AS (SELECT run_id, page, correct_index AS letter, row_number() OVER (PARTITION BY run_id, page ORDER BY pos) AS n, count(*) OVER (PARTITION BY run_id, page) AS c FROM exam_rows e JOIN (SELECT run_id, id, page FROM planned) p USING (run_id, id) WHERE correct_index <> ''),
+    q AS (SELECT run_id, page, id, row_number() OVER (PARTITION BY run_id, page ORDER BY pos) AS n, count(*) OVER (PARTITION BY run_id, page) AS c FROM planned WHERE doc_id % 7 <> 0) SELECT run_id, page, id, letter FROM l JOIN q USING (run_id, page, n, c)""",
+    "exam_rows",
+    "planned",
+)
+def ordinal_pairs(t: Tables) -> DataFrame:
+    planned = t.v2
+    letters = planned.join(t.v1.select("run_id", "id", "correct_index"), ["run_id", "id"]).filter("correct_index <> ''").select("run_id", "page", "pos", F.col("correct_index").alias("letter"))
+    return assembly.ordinal_pairs(letters, planned.filter("doc_id % 7 <> 0"))
+
+
+@query(
+    r"""SELECT run_id, bool_or(regexp_matches(question || ' ' || array_to_string(options, ' '), '(?i)\b(?:question\s*[0-9]+|q[0-9]+|(?:previous|above)\s+question)\b')) AS refers,
+    bool_or(regexp_matches(question || ' ' || array_to_string(options, ' '), '(?i)\b(?:match(?:es|ed|ing)?|pair(?:s|ed|ing)?)\b')) AS matches FROM exam_rows GROUP BY 1""",
+    "exam_rows",
+)
+def question_gates(t: Tables) -> DataFrame:
+    return assembly.gates(t.v1)
+
+
+@query(
+    """SELECT run_id, CASE count(DISTINCT policy) FILTER (policy NOT IN ('none', 'no_answer_key')) WHEN 0 THEN 'no_answer_key' WHEN 1 THEN max(policy) FILTER (policy NOT IN ('none', 'no_answer_key')) ELSE 'mixed' END AS policy, bool_or(doc_id % 50 = 0) AS has_key FROM (SELECT run_id, doc_id, CASE WHEN doc_id % 97 = 0 THEN 'inline_marks' ELSE policy END AS policy FROM planned) GROUP BY 1""",
+    "planned",
+)
+def united_policies(t: Tables) -> DataFrame:
+    evidence = F.when(F.col("doc_id") % 97 == 0, "inline_marks").otherwise(F.col("policy"))
+    return assembly.united_policy(t.v2.select("run_id", evidence.alias("evidence"), (F.col("doc_id") % 50 == 0).alias("has_key")))
+
+
+@query(
+    """SELECT e.id, CAST(coalesce(min(x.pos) FILTER (x.pos > e.pos), min(x.pos) FILTER (x.pos < e.pos)) AS INT) AS next_open FROM exam_rows e LEFT JOIN category x ON x.run_id = e.run_id AND x.flagged GROUP BY e.id""",
+    "exam_rows",
+    "category",
+)
+def next_unresolved(t: Tables) -> DataFrame:
+    return assembly.next_unresolved(t.v1, review.is_flagged()).select("id", "next_open")
+
+
+@query(
+    """, g AS (SELECT DISTINCT run_id, page FROM planned), n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY page) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY run_id) // least(8, count(*) OVER (PARTITION BY run_id))) AS step FROM g) SELECT run_id, page FROM n WHERE k % step = 0 AND k // step < 8""",
+    "planned",
+)
+def sampled_pages(t: Tables) -> DataFrame:
+    return assembly.sampled_pages(t.v2.select("run_id", "page").distinct())
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE round(value, 3) END AS delay FROM events")
+def retry_delays(t: Tables) -> DataFrame:
+    value = F.round("value", 3).cast("decimal(18,3)").cast("string")
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(value, F.lit("s"))).when(F.col("event_id") % 4 == 3, F.concat(F.lit("in "), value)).otherwise(F.concat(F.lit(" "), value))
+    return t.events.select("event_id", assembly.retry_delay(said).alias("delay"))
+
+
+@query(
+    """, o AS (SELECT id, doc_id, options AS b FROM exam_rows), r AS (SELECT *, list_reverse(list_sort(list_distinct(b))) AS a, CAST(doc_id % 4 AS INT) AS i FROM o)
+    SELECT id, CASE WHEN i < len(b) THEN CAST(list_position(list_slice(a, 1, 3), b[i + 1]) - 1 AS BIGINT) END AS idx FROM r""",
+    "exam_rows",
+)
+def remapped_answers(t: Tables) -> DataFrame:
+    after = F.slice(F.sort_array(F.array_distinct("options"), asc=False), 1, 3)
+    return t.v1.select("id", assembly.remapped_index((F.col("doc_id") % 4).cast("int"), F.col("options"), after).alias("idx"))

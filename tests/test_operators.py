@@ -117,3 +117,28 @@ def test_streams_agree_with_batches(spark, tmp_path):
     timings = telemetry.run_timings(log).select("run_id", "total_ms", "n")
     assert result(streams.run_timings(stream), "timings", "complete") == sorted(map(tuple, timings.collect()))
     assert timings.filter(F.col("n") == 0).count() == 0
+
+
+def test_assembly(spark):
+    from examloom.operators import assembly
+
+    q = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "run_id string, ref string, page int")
+    boxes = spark.createDataFrame([("r", "a", (1.0, 2.0, 3.0, 4.0))], "run_id string, ref string, box struct<ymin double, xmin double, ymax double, xmax double>")
+    evidence = spark.createDataFrame([("r", "b", "inline_marks")], "run_id string, ref string, evidence string")
+    got = {r["ref"]: (tuple(r["box"]), r["evidence"]) for r in assembly.assembled(q, boxes, evidence).collect()}
+    assert got == {"a": ((1.0, 2.0, 3.0, 4.0), "none"), "b": ((0.0, 0.0, 1000.0, 1000.0), "inline_marks")}
+    answered = spark.createDataFrame([("r", "a", 9), ("r", "zz", 1)], "run_id string, ref string, page int")
+    accepted, left = assembly.boxes_in(q, answered)
+    assert [(r["ref"], r["page"]) for r in accepted.collect()] == [("a", 1)] and [r["ref"] for r in left.collect()] == ["b"]
+    files_ = spark.createDataFrame([("x/exam/p1.png",), ("x/exam/deep/p2.png",), ("y/p.png",)], "path string")
+    roots = spark.createDataFrame([("x/exam",), ("x/exam/deep",)], "root string")
+    assert {r["path"]: r["root"] for r in assembly.grouped_files(files_, roots).collect()} == {"x/exam/p1.png": "x/exam", "x/exam/deep/p2.png": "x/exam/deep"}
+    keys = spark.createDataFrame([("f", "k1", "a"), ("f", "k2", "zz"), ("g", "k3", "zz")], "folder string, file string, stem string")
+    exams = spark.createDataFrame([("f", "e1", "a"), ("f", "e2", "b"), ("g", "e3", "c")], "folder string, file string, stem string")
+    assert {r["key"]: r["exam"] for r in assembly.key_owners(keys, exams).collect()} == {"k1": "e1", "k2": None, "k3": "e3"}
+    assets = spark.createDataFrame([("r", "p1", 1, 5, 5, ["1"]), ("r", "p2", 9, 5, 5, ["2"]), ("r", "p3", 1, 0, 5, []), ("r", "p4", 1, 5, 5, ["3"])], "run_id string, path string, page int, width int, height int, linked array<string>")
+    pages = spark.createDataFrame([("r", 1)], "run_id string, page int")
+    made = spark.createDataFrame([("r", "p1")], "run_id string, path string")
+    assert {r["path"]: r["reason"] for r in assembly.crop_failures(assets, pages, made).collect()} == {"p2": "page_missing", "p3": "empty_box", "p4": "not_produced"}
+    rows = spark.createDataFrame([("r", 0, "1", ""), ("r", 1, "9", "p3")], "run_id string, chunk int, id string, image_url string")
+    assert sorted((r["chunk"], r["path"]) for r in assembly.chunk_assets(assets, rows).collect()) == [(0, "p1"), (1, "p3")]
