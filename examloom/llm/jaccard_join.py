@@ -17,6 +17,8 @@ joined:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,7 +39,8 @@ TEXT_BYTES = 1 << 20
 #: So many ids or fewer (8 bytes each) are broadcast to the texts; more are joined by a shuffle.
 FEW_IDS = 1_000_000
 
-SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("key_a", T.LongType()), T.StructField("key_b", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+SETS = "doc_id long, n long, key_a long, key_b long, grams array<long>"
+POSTED = "gram long, node long, n long"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -69,31 +72,33 @@ def fragment_size(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n - -(-n * ALIKE // 100) + 1 + n // 20)
 
 
-def gram_sets(text: Column, whole: bool) -> Column:
-    """struct<n, key_a, key_b, grams>: a set's size, 128 bits that stand for it, and its grams: the first fragment, or the ``whole``."""
-
-    @F.arrow_udf(SET)
-    def sets(column: pa.Array) -> pa.Array:
-        data, offsets = flat(column)
-        total = len(column)
-        n, a, b = np.zeros(total, np.int64), np.zeros(total, np.uint64), np.zeros(total, np.uint64)
-        parts = []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, set sizes, row of each gram, grams) of a few texts at a time: what leaves a task leaves it in small pieces."""
+    for batch in batches:
+        data, offsets = flat(batch.column("text"))
         for lo, hi in groups(offsets, TEXT_BYTES):
             r, h = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            here = np.bincount(r, minlength=hi - lo)
-            n[lo:hi] = here
-            cuts = np.append(0, np.cumsum(here))
-            for out, x in ((a, h), (b, mixed(h ^ MIX_B))):
-                sums = np.append(np.uint64(0), np.cumsum(x))
-                out[lo:hi] = sums[cuts[1:]] - sums[cuts[:-1]]
-            place = np.arange(len(h)) - cuts[r]
-            parts.append(h if whole else h[place < fragment_size(here)[r]])
-        sizes = n if whole else fragment_size(n)
-        grams = pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), grams)
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["n", "key_a", "key_b", "grams"])
-
-    return sets(text)
+            yield batch.column("doc_id").slice(lo, hi - lo), np.bincount(r, minlength=hi - lo), r, h
+
+
+def first_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SETS of (doc_id, text): a set's size, 128 bits that stand for it, and its first fragment."""
+    for ids, n, r, h in _blocks(batches):
+        cuts = np.append(0, np.cumsum(n))
+        keys = []
+        for x in (h, mixed(h ^ MIX_B)):
+            sums = np.append(np.uint64(0), np.cumsum(x))
+            keys.append(pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)))
+        sizes = fragment_size(n)
+        first = pa.array(h[np.arange(len(h)) - cuts[r] < sizes[r]].view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), first)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *keys, lists], names=["doc_id", "n", "key_a", "key_b", "grams"])
+
+
+def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """POSTED of (doc_id, text): a row for each gram of each set."""
+    for ids, n, r, h in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(r)), pa.array(n.astype(np.int64)[r])], names=["gram", "node", "n"])
 
 
 def missing_at_most(n: Column) -> Column:
@@ -114,7 +119,7 @@ def postings(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(gram, node, n, holders): the grams of ``ids``' documents that several of them hold."""
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     text = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    spread = text.select("doc_id", gram_sets(F.col("text"), True).alias("s")).select(F.col("doc_id").alias("node"), "s.n", F.explode("s.grams").alias("gram")).dropDuplicates(["gram", "node"])
+    spread = text.mapInArrow(whole_sets, POSTED).dropDuplicates(["gram", "node"])
     return spread.withColumn("holders", F.count("*").over(Window.partitionBy("gram"))).filter("holders > 1")
 
 
@@ -254,7 +259,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id count as one document if their texts agree (of different texts under one id, each gives a row). An empty table
     gives an empty result; only doc_id and text are read, and rows without a doc_id have no component.
     """
-    sets = materialize(docs.select("doc_id", gram_sets(F.col("text"), False).alias("s")).select("doc_id", "s.*"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = materialize(docs.mapInArrow(first_fragments, SETS))
     known = sets.filter("doc_id is not null and n > 0")
     keys = ["n", "key_a", "key_b"]
     least = known.groupBy(*keys).agg(F.min("doc_id").alias("node"))
