@@ -162,6 +162,12 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
     tied = np.zeros(n, bool)
     tied[sa] = ~new
     wide = np.append(symbols.astype(np.int16), np.full(most + 1, -1, np.int16))
+    # Seven symbols in one number: equal ones are stepped over at once. Behind the end nothing is equal, so the places differ.
+    seven = np.zeros(n + most + 1, np.int64)
+    seven[n:] = -np.arange(1, most + 2)
+    for j in range(7):
+        seven[: n - 6] = seven[: n - 6] << 9 | wide[j : n - 6 + j]
+    seven[max(0, n - 6) : n] = -np.arange(most + 2, most + 2 + min(n, 6))
     stride = -(-n // lanes)
     base = np.arange(0, n, stride)
     out = np.zeros(n, np.int16)
@@ -173,7 +179,11 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
         j = before[i]
         h[(j < 0) | (tied[i - 1] if t else False)] = 0
         h[tied[i]] = most
-        todo = np.flatnonzero((j >= 0) & ~tied[i])
+        every = todo = np.flatnonzero((j >= 0) & ~tied[i])
+        while len(todo):
+            todo = todo[(seven[i[todo] + h[todo]] == seven[j[todo] + h[todo]]) & (h[todo] + 7 <= most)]
+            h[todo] += 7
+        todo = every[h[every] < most]
         while len(todo):
             # Behind the end of the text there is nothing equal: the later of two places ends first.
             same = wide[i[todo] + h[todo]] == wide[j[todo] + h[todo]]
@@ -207,7 +217,7 @@ class Shard:
         self.ids, self.starts, self.parts, self.anchors = [], [], [], []
         self.size = 0
 
-    def add(self, ids: np.ndarray, data: np.ndarray, row: np.ndarray, cuts: np.ndarray, shift: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+    def add(self, ids: np.ndarray, data: np.ndarray, cuts: np.ndarray, shift: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
         """runs: first window, windows, hash and row of repeated anchors of a block, in order."""
         first, number, h, row = runs
         stop = first + number + LENGTH - 1
@@ -284,14 +294,16 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
         lists = batch.column("repeated")
         some = np.flatnonzero(np.asarray(lists.is_valid()))
-        for i in some.tolist():
-            known = np.sort(np.asarray(lists[i].values, np.int64).view(np.uint64))
-            whole = data[offsets[i] : offsets[i + 1]]
-            for _, _, shift, part, cuts in blocks(whole, np.array([0, len(whole)])):
-                first, number, h = anchors(part, cuts)
-                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                if hit.any():
-                    shard.add(ids[i : i + 1], part, NO_DATA, cuts, shift, (first[hit], number[hit], h[hit], np.zeros(int(hit.sum()), np.int64)))
+        # Texts without a repeated anchor are null here, so what lies together is what is needed.
+        known, row = lists.drop_null().flatten().to_numpy().view(np.uint64), np.repeat(some, lists.drop_null().value_lengths().to_numpy())
+        known = np.sort(_mix(known, row.astype(np.uint64)))
+        for lo, _, shift, part, cuts in blocks(data, offsets):
+            first, number, h = anchors(part, cuts)
+            row = np.searchsorted(cuts, first, "right") - 1
+            key = _mix(h, (lo + row).astype(np.uint64))
+            hit = known[np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))] == key if len(known) else np.zeros(len(key), bool)
+            if hit.any():
+                shard.add(ids[lo : lo + len(cuts) - 1], part, cuts, shift, (first[hit], number[hit], h[hit], row[hit]))
             if shard.size >= SHARD_BYTES:
                 yield from shard.rows()
                 shard = Shard()
