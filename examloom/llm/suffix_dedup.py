@@ -5,7 +5,7 @@
 2. *Shards.* What is left of some documents makes a shard. Its suffix array is refined by doubling (Larsson-Sadakane) to
    100 bytes, and common prefixes of neighbours (Kasai) show equal windows; all but the earliest are removed.
 3. *Merging.* The earliest windows of each shard meet those of other shards under their anchor. There, sorted windows are
-   found by binary search, and all but the earliest of equal ones are removed.
+   found by binary search, and all but the earliest of equal ones are removed. Anchors of many documents are merged in parts first.
 4. The removed windows of a document are joined with its text.
 
 Texts cross the network once: both joins read the same exchange.
@@ -33,6 +33,8 @@ TEXT_BYTES = 1 << 19
 SHARD_BYTES = 1 << 20
 #: Windows that are merged at once, where their anchors allow.
 MERGED = 1 << 20
+#: Anchors that more documents hold are merged in PARTS parts first, then together.
+HOT, PARTS = 500, 16
 NO_DATA = np.zeros(0, np.int64)
 
 
@@ -196,7 +198,8 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
     return lcp
 
 
-SLICE = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("shift", pa.int32()), ("bytes", pa.binary())])
+SLICE_DDL = "route long, part int, doc_id long, start long, windows int, shift int, bytes binary"
+SLICE = pa.schema([("route", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("shift", pa.int32()), ("bytes", pa.binary())])
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,9 +220,9 @@ class Shard:
         self.ids, self.starts, self.parts, self.anchors = [], [], [], []
         self.size = 0
 
-    def add(self, ids: np.ndarray, data: np.ndarray, cuts: np.ndarray, shift: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """runs: first window, windows, hash and row of repeated anchors of a block, in order."""
-        first, number, h, row = runs
+    def add(self, ids: np.ndarray, data: np.ndarray, cuts: np.ndarray, shift: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """runs: first window, windows, hash, hotness and row of repeated anchors of a block, in order."""
+        first, number, h, hot, row = runs
         stop = first + number + LENGTH - 1
         # Runs whose bytes touch are one stretch of text.
         new = np.append(True, (first[1:] > stop[:-1]) | (row[1:] != row[:-1]))
@@ -230,7 +233,7 @@ class Shard:
         self.ids.append(ids[row[at]])
         self.starts.append(lo - cuts[row[at]] + shift)
         self.parts.append((text, ends))
-        self.anchors.append((stretch, first - lo[stretch], number, h))
+        self.anchors.append((stretch, first - lo[stretch], number, h, hot))
         self.size += len(text)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -240,7 +243,7 @@ class Shard:
         sizes = np.concatenate([np.diff(e) for _, e in self.parts])
         text = np.concatenate([t for t, _ in self.parts])
         many = np.cumsum([0, *(len(e) - 1 for _, e in self.parts)])[:-1]
-        stretch, inner, number, h = (np.concatenate(x) for x in zip(*[(s + m, i, n, k) for (s, i, n, k), m in zip(self.anchors, many, strict=True)], strict=True))
+        stretch, inner, number, h, hot = (np.concatenate(x) for x in zip(*[(s + m, *rest) for (s, *rest), m in zip(self.anchors, many, strict=True)], strict=True))
         # Stretches in order of (doc_id, start), each with a gap behind it: an earlier place in the shard is an earlier one in the corpus.
         order = np.lexsort((starts, ids))
         seat = np.zeros(len(order), np.int64)
@@ -268,7 +271,8 @@ class Shard:
         lo, hi = _runs(removed)
         none = pa.nulls(len(lo), pa.binary())
         d = ids[owner[lo]]
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), pa.array(place[lo]), pa.array((hi - lo).astype(np.int32)), pa.array(np.zeros(len(lo), np.int32)), none], schema=SLICE)
+        flat_part = pa.array(np.zeros(len(lo), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(d), flat_part, pa.array(d), pa.array(place[lo]), pa.array((hi - lo).astype(np.int32)), flat_part, none], schema=SLICE)
         # Earliest windows go on under their anchor, in runs.
         base = seat[stretch] + inner
         many, ends = _gather(kept.view(np.uint8), base, number)
@@ -283,7 +287,9 @@ class Shard:
         binary = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
         # Where the run lies relative to the anchor is the same for equal windows: count from the end of the anchor's windows.
         anchor_end = number[run] - shift
-        yield pa.RecordBatch.from_arrays([pa.array(h[run].view(np.int64)), pa.array(ids[owner[at]]), pa.array(place[at]), pa.array((hi - lo).astype(np.int32)), pa.array(anchor_end.astype(np.int32)), binary], schema=SLICE)
+        doc = ids[owner[at]]
+        part = np.where(hot[run], 1 + doc % PARTS, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(h[run].view(np.int64)), pa.array(part.astype(np.int32)), pa.array(doc), pa.array(place[at]), pa.array((hi - lo).astype(np.int32)), pa.array(anchor_end.astype(np.int32)), binary], schema=SLICE)
 
 
 def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,38 +302,40 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(np.asarray(lists.is_valid()))
         # Texts without a repeated anchor are null here, so what lies together is what is needed.
         known, row = lists.drop_null().flatten().to_numpy().view(np.uint64), np.repeat(some, lists.drop_null().value_lengths().to_numpy())
-        known = np.sort(_mix(known, row.astype(np.uint64)))
+        known = _mix(known, row.astype(np.uint64))
+        order = np.argsort(known)
+        known, heat = known[order], batch.column("hot").drop_null().flatten().to_numpy(zero_copy_only=False)[order]
         for lo, _, shift, part, cuts in blocks(data, offsets):
             first, number, h = anchors(part, cuts)
             row = np.searchsorted(cuts, first, "right") - 1
             key = _mix(h, (lo + row).astype(np.uint64))
-            hit = known[np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))] == key if len(known) else np.zeros(len(key), bool)
+            at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+            hit = known[at] == key if len(known) else np.zeros(len(key), bool)
             if hit.any():
-                shard.add(ids[lo : lo + len(cuts) - 1], part, cuts, shift, (first[hit], number[hit], h[hit], row[hit]))
+                shard.add(ids[lo : lo + len(cuts) - 1], part, cuts, shift, (first[hit], number[hit], h[hit], heat[at[hit]], row[hit]))
             if shard.size >= SHARD_BYTES:
                 yield from shard.rows()
                 shard = Shard()
     yield from shard.rows()
 
 
-REMOVED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())])
-
-
-def merge_slices(slices: pa.Table) -> pa.RecordBatch:
-    """Windows of slices that are not the earliest of their like."""
+def merge_slices(slices: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+    """SLICE rows: windows of slices that are not the earliest of their like, without bytes; and unless this is the ``last`` merging, the
+    slices of hot anchors with an earliest window, for the next.
+    """
     data, offsets = flat(slices.column("bytes"))
-    route, ids, starts, number, shift = (slices.column(c).to_numpy() for c in ("route", "doc_id", "start", "windows", "shift"))
+    route, part, ids, starts, number, shift = (slices.column(c).to_numpy() for c in ("route", "part", "doc_id", "start", "windows", "shift"))
     number = number.astype(np.int64)
     ends = np.append(0, np.cumsum(number))
     owner = np.repeat(np.arange(len(number)), number)
     inner = np.arange(ends[-1]) - ends[owner]
     hashes = window_hashes(data)[offsets[owner] + inner]
-    # The anchor and the window's place under it go into the hash.
-    key = _mix(hashes, _mix(route.view(np.uint64)[owner], np.zeros(len(owner), np.uint64)))
-    # Each slice's owner order: windows sorted once, then every window finds its like by binary search.
+    # The anchor, and the part that its slices were dealt to, go into the hash.
+    key = _mix(hashes, _mix(route.view(np.uint64), part.astype(np.uint64))[owner])
     order = np.lexsort((starts, ids))
     seat = np.zeros(len(order), np.int64)
     seat[order] = np.arange(len(order))
+    # Windows are sorted once, the earliest of equal ones first; then every window finds its like by binary search.
     by_age = np.lexsort((inner, seat[owner]))
     sorted_keys, earliest = np.unique(key[by_age], return_index=True)
     first = by_age[earliest[np.searchsorted(sorted_keys, key)]]
@@ -336,15 +344,22 @@ def merge_slices(slices: pa.Table) -> pa.RecordBatch:
     flag[owner + np.arange(len(later))] = later
     lo, hi = _runs(flag)
     run = np.searchsorted(ends[:-1] + np.arange(len(number)), lo, "right") - 1
-    return pa.RecordBatch.from_arrays([pa.array(ids[run]), pa.array(starts[run] + lo - ends[run] - run), pa.array((hi - lo).astype(np.int32))], schema=REMOVED)
-
-
-def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed windows from a partition in order of route: windows without bytes are removed already, others are merged under their anchor."""
+    zero = pa.array(np.zeros(len(lo), np.int32))
+    d = pa.array(ids[run])
+    yield pa.RecordBatch.from_arrays([d, zero, d, pa.array(starts[run] + lo - ends[run] - run), pa.array((hi - lo).astype(np.int32)), zero, pa.nulls(len(lo), pa.binary())], schema=SLICE)
+    if not last:
+        # A slice with an earliest window goes on whole: its other windows are removed here, and find no earlier like than theirs there.
+        left = np.bincount(owner[~later], minlength=len(number)) > 0
+        on = slices.filter(pa.array((part > 0) & left)).combine_chunks()
+        yield from on.set_column(1, "part", pa.array(np.zeros(len(on), np.int32))).cast(SLICE).to_batches()
+
+
+def merge_rows(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """SLICE rows from a partition in order of route and part: windows without bytes are removed already, others are merged under their anchor."""
     waiting, number = [], 0
     for batch in batches:
         bare = np.asarray(batch.column("bytes").is_null())
-        yield batch.filter(pa.array(bare)).select(["doc_id", "start", "windows"])
+        yield batch.filter(pa.array(bare)).cast(SLICE)
         batch = batch.filter(pa.array(~bare))
         if not batch.num_rows:
             continue
@@ -352,26 +367,31 @@ def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number += int(batch.column("windows").to_numpy().sum())
         if number >= MERGED:
             held = pa.Table.from_batches(waiting)
-            route = held.column("route").to_numpy()
-            cut = int(np.searchsorted(route, route[-1]))
+            route, part = held.column("route").to_numpy(), held.column("part").to_numpy()
+            other = np.flatnonzero((route != route[-1]) | (part != part[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield merge_slices(held.slice(0, cut))
+                yield from merge_slices(held.slice(0, cut), last)
             rest = held.slice(cut)
             waiting, number = rest.to_batches(), int(rest.column("windows").to_numpy().sum())
     if waiting:
-        yield merge_slices(pa.Table.from_batches(waiting))
+        yield from merge_slices(pa.Table.from_batches(waiting), last)
 
 
 def removed_windows(texts: DataFrame) -> DataFrame:
     """(doc_id, start, windows): runs of windows that also start earlier, from (doc_id, text) without null ids."""
     ddl = "hash long, doc_id long, times int"
     seen = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "text").mapInArrow(anchor_rows, ddl)
-    seen = seen.withColumn("all", F.sum("times").over(Window.partitionBy("hash"))).filter(F.col("all") > 1)
-    repeated = seen.groupBy("doc_id").agg(F.collect_set("hash").alias("repeated"))
+    same = Window.partitionBy("hash")
+    seen = seen.withColumn("all", F.sum("times").over(same)).filter(F.col("all") > 1).withColumn("hot", F.count("*").over(same) > HOT)
+    pairs = F.collect_set(F.struct("hash", "hot")).alias("pairs")
+    repeated = seen.groupBy("doc_id").agg(pairs).select("doc_id", F.col("pairs.hash").alias("repeated"), F.col("pairs.hot").alias("hot"))
     joined = texts.join(repeated, "doc_id", "left")
     # All columns go along, so that this join and the last one read the same exchange.
-    slices = joined.withColumn("text", F.when(F.col("repeated").isNotNull(), F.col("text"))).mapInArrow(shard_rows, "route long, doc_id long, start long, windows int, shift int, bytes binary")
-    return slices.repartition("route").sortWithinPartitions("route").mapInArrow(merge_rows, "doc_id long, start long, windows int")
+    slices = joined.withColumn("text", F.when(F.col("repeated").isNotNull(), F.col("text"))).mapInArrow(shard_rows, SLICE_DDL)
+    merged = slices.repartition("route", "part").sortWithinPartitions("route", "part").mapInArrow(lambda rows: merge_rows(rows, False), SLICE_DDL)
+    merged = merged.repartition("route").sortWithinPartitions("route").mapInArrow(lambda rows: merge_rows(rows, True), SLICE_DDL)
+    return merged.select("doc_id", "start", "windows")
 
 
 CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType()))])
