@@ -436,16 +436,19 @@ def kept_text(kept: Column) -> Column:
     return text(kept)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, kept (bytes), starts and lengths of the removed runs, and ``carried`` (a struct of all other columns) of every document.
+def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, kept (bytes), starts and lengths of the removed runs of every document; with ``carry`` also ``carried``, a struct of all other columns.
 
     Null and empty texts, and those under 100 bytes, keep all they have. Rows with one doc_id count as one document: none is earlier than the
     other, and what is removed is removed from each. Rows without a doc_id are left as they are. An empty table gives an empty
-    result; other columns than doc_id and text are carried along, whatever their names.
+    result; other columns than doc_id and text are carried along or not read, whatever their names.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    carried = F.struct(*others) if others else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried"))
+    if carry and others:
+        # In an array, no field is pruned on the way: both joins need the same columns to read one exchange.
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.array(F.struct(*others)).alias("carried"))
     gone = removed_windows(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("windows"))
-    out = texts.join(gone, "doc_id", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows")).alias("c"), "carried")
-    return out.select("doc_id", "n_bytes", "c.kept", "c.starts", "c.lengths", "carried")
+    rest = [F.element_at("carried", 1).alias("carried")] if "carried" in texts.columns else []
+    out = texts.join(gone, "doc_id", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows")).alias("c"), *rest)
+    return out.select("doc_id", "n_bytes", "c.kept", "c.starts", "c.lengths", *(["carried"] if rest else []))
