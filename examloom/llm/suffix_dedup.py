@@ -5,7 +5,8 @@
 2. *Shards.* What is left of some documents makes a shard. Its suffix array is refined by doubling (Larsson-Sadakane) to
    100 bytes, and common prefixes of neighbours (Kasai) show equal windows; all but the earliest are removed.
 3. *Merging.* The earliest windows of each shard meet those of other shards under their anchor. There, sorted windows are
-   found by binary search, and all but the earliest of equal ones are removed. Anchors of many documents are merged in parts first.
+   found by binary search, and all but the earliest of equal ones are removed. Windows of hot anchors, which occur often, meet
+   under the hash of their own bytes instead, so a frequent line between different texts is spread like any other text.
 4. The removed windows of a document are joined with its text.
 
 Texts cross the network once: both joins read the same exchange.
@@ -33,8 +34,8 @@ TEXT_BYTES = 1 << 19
 SHARD_BYTES = 1 << 20
 #: Windows that are merged at once, where their anchors allow.
 MERGED = 1 << 20
-#: Anchors that more documents hold are merged in PARTS parts first, then together.
-HOT, PARTS = 500, 16
+#: Windows of anchors that occur more often are dealt out by their own hash.
+HOT = 500
 NO_DATA = np.zeros(0, np.int64)
 
 
@@ -198,8 +199,9 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
     return lcp
 
 
-SLICE_DDL = "route long, part int, doc_id long, start long, windows int, shift int, bytes binary"
-SLICE = pa.schema([("route", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("shift", pa.int32()), ("bytes", pa.binary())])
+#: Rows without bytes are windows that are removed, or (``windows`` = 0) one window under a hot anchor, whose route is its hash.
+SLICE_DDL = "route long, doc_id long, start long, windows int, bytes binary"
+SLICE = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +210,11 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return data[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
+def _bare(route: np.ndarray, ids: np.ndarray, starts: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    """SLICE rows without bytes."""
+    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids), pa.array(starts), pa.array(number.astype(np.int32)), pa.nulls(len(ids), pa.binary())], schema=SLICE)
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -269,11 +276,9 @@ class Shard:
         removed[sa[later]] = True
         kept[sa[whole & (sa == earliest)]] = True
         lo, hi = _runs(removed)
-        none = pa.nulls(len(lo), pa.binary())
         d = ids[owner[lo]]
-        flat_part = pa.array(np.zeros(len(lo), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(d), flat_part, pa.array(d), pa.array(place[lo]), pa.array((hi - lo).astype(np.int32)), flat_part, none], schema=SLICE)
-        # Earliest windows go on under their anchor, in runs.
+        yield _bare(d, d, place[lo], hi - lo)
+        # Earliest windows go on: in runs under their anchor, or where that is hot each under its own hash.
         base = seat[stretch] + inner
         many, ends = _gather(kept.view(np.uint8), base, number)
         flag = np.zeros(len(many) + len(number) + 1, np.uint8)
@@ -281,15 +286,19 @@ class Shard:
         flag[spread] = many
         lo, hi = _runs(flag)
         run = np.searchsorted(ends[:-1] + np.arange(len(number)), lo, "right") - 1
-        shift = lo - ends[run] - run
-        at = base[run] + shift
-        data, cuts = _gather((symbols - 1).astype(np.uint8), at, hi - lo + LENGTH - 1)
-        binary = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
-        # Where the run lies relative to the anchor is the same for equal windows: count from the end of the anchor's windows.
-        anchor_end = number[run] - shift
-        doc = ids[owner[at]]
-        part = np.where(hot[run], 1 + doc % PARTS, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(h[run].view(np.int64)), pa.array(part.astype(np.int32)), pa.array(doc), pa.array(place[at]), pa.array((hi - lo).astype(np.int32)), pa.array(anchor_end.astype(np.int32)), binary], schema=SLICE)
+        at, number = base[run] + lo - ends[run] - run, hi - lo
+        data = (symbols - 1).astype(np.uint8)
+        hot = hot[run]
+        text, cuts = _gather(data, at[hot], number[hot] + LENGTH - 1)
+        spread = np.repeat(np.arange(len(cuts) - 1), number[hot])
+        inner = np.arange(len(spread)) - np.repeat(np.cumsum(number[hot]) - number[hot], number[hot])
+        route = _mix(window_hashes(text)[cuts[spread] + inner], h[run][hot][spread]).view(np.int64)
+        seats = at[hot][spread] + inner
+        yield _bare(route, ids[owner[seats]], place[seats], np.zeros(len(seats)))
+        at, number, run = at[~hot], number[~hot], run[~hot]
+        text, cuts = _gather(data, at, number + LENGTH - 1)
+        binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(text)])
+        yield pa.RecordBatch.from_arrays([pa.array(h[run].view(np.int64)), pa.array(ids[owner[at]]), pa.array(place[at]), pa.array(number.astype(np.int32)), binary], schema=SLICE)
 
 
 def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,19 +328,17 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from shard.rows()
 
 
-def merge_slices(slices: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-    """SLICE rows: windows of slices that are not the earliest of their like, without bytes; and unless this is the ``last`` merging, the
-    slices of hot anchors with an earliest window, for the next.
-    """
+def merge_slices(slices: pa.Table) -> pa.RecordBatch:
+    """SLICE rows: windows of slices that are not the earliest of their like, without bytes."""
     data, offsets = flat(slices.column("bytes"))
-    route, part, ids, starts, number, shift = (slices.column(c).to_numpy() for c in ("route", "part", "doc_id", "start", "windows", "shift"))
+    route, ids, starts, number = (slices.column(c).to_numpy() for c in ("route", "doc_id", "start", "windows"))
     number = number.astype(np.int64)
     ends = np.append(0, np.cumsum(number))
     owner = np.repeat(np.arange(len(number)), number)
     inner = np.arange(ends[-1]) - ends[owner]
     hashes = window_hashes(data)[offsets[owner] + inner]
-    # The anchor, and the part that its slices were dealt to, go into the hash.
-    key = _mix(hashes, _mix(route.view(np.uint64), part.astype(np.uint64))[owner])
+    # The anchor goes into the hash.
+    key = _mix(hashes, route.view(np.uint64)[owner])
     order = np.lexsort((starts, ids))
     seat = np.zeros(len(order), np.int64)
     seat[order] = np.arange(len(order))
@@ -344,22 +351,29 @@ def merge_slices(slices: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
     flag[owner + np.arange(len(later))] = later
     lo, hi = _runs(flag)
     run = np.searchsorted(ends[:-1] + np.arange(len(number)), lo, "right") - 1
-    zero = pa.array(np.zeros(len(lo), np.int32))
-    d = pa.array(ids[run])
-    yield pa.RecordBatch.from_arrays([d, zero, d, pa.array(starts[run] + lo - ends[run] - run), pa.array((hi - lo).astype(np.int32)), zero, pa.nulls(len(lo), pa.binary())], schema=SLICE)
-    if not last:
-        # A slice with an earliest window goes on whole: its other windows are removed here, and find no earlier like than theirs there.
-        left = np.bincount(owner[~later], minlength=len(number)) > 0
-        on = slices.filter(pa.array((part > 0) & left)).combine_chunks()
-        yield from on.set_column(1, "part", pa.array(np.zeros(len(on), np.int32))).cast(SLICE).to_batches()
-
-
-def merge_rows(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """SLICE rows from a partition in order of route and part: windows without bytes are removed already, others are merged under their anchor."""
+    return _bare(ids[run], ids[run], starts[run] + lo - ends[run] - run, hi - lo)
+
+
+def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SLICE rows of removed windows from a partition in order of route, doc_id and start. What is held are the slices of MERGED windows, and of
+    an anchor that is not hot; of equal windows under hot anchors, which follow one another, only the first.
+    """
     waiting, number = [], 0
+    head = None
     for batch in batches:
-        bare = np.asarray(batch.column("bytes").is_null())
-        yield batch.filter(pa.array(bare)).cast(SLICE)
+        bare, size = np.asarray(batch.column("bytes").is_null()), batch.column("windows").to_numpy()
+        yield batch.filter(pa.array(bare & (size > 0))).cast(SLICE)
+        alone = batch.filter(pa.array(bare & (size == 0)))
+        if alone.num_rows:
+            route, ids, starts = (alone.column(c).to_numpy() for c in ("route", "doc_id", "start"))
+            new = np.append(head is None or head[0] != route[0], route[1:] != route[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(route)), -1))
+            of_id, of_start = ids[first], starts[first]
+            if head is not None:
+                of_id[first < 0], of_start[first < 0] = head[1:]
+            later = (ids != of_id) | (starts != of_start)
+            head = route[-1], of_id[-1], of_start[-1]
+            yield _bare(ids[later], ids[later], starts[later], np.ones(int(later.sum())))
         batch = batch.filter(pa.array(~bare))
         if not batch.num_rows:
             continue
@@ -367,15 +381,15 @@ def merge_rows(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Rec
         number += int(batch.column("windows").to_numpy().sum())
         if number >= MERGED:
             held = pa.Table.from_batches(waiting)
-            route, part = held.column("route").to_numpy(), held.column("part").to_numpy()
-            other = np.flatnonzero((route != route[-1]) | (part != part[-1]))
+            route = held.column("route").to_numpy()
+            other = np.flatnonzero(route != route[-1])
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from merge_slices(held.slice(0, cut), last)
+                yield merge_slices(held.slice(0, cut))
             rest = held.slice(cut)
             waiting, number = rest.to_batches(), int(rest.column("windows").to_numpy().sum())
     if waiting:
-        yield from merge_slices(pa.Table.from_batches(waiting), last)
+        yield merge_slices(pa.Table.from_batches(waiting))
 
 
 def removed_windows(texts: DataFrame) -> DataFrame:
@@ -383,14 +397,13 @@ def removed_windows(texts: DataFrame) -> DataFrame:
     ddl = "hash long, doc_id long, times int"
     seen = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "text").mapInArrow(anchor_rows, ddl)
     same = Window.partitionBy("hash")
-    seen = seen.withColumn("all", F.sum("times").over(same)).filter(F.col("all") > 1).withColumn("hot", F.count("*").over(same) > HOT)
+    seen = seen.withColumn("all", F.sum("times").over(same)).filter(F.col("all") > 1).withColumn("hot", F.col("all") > HOT)
     pairs = F.collect_set(F.struct("hash", "hot")).alias("pairs")
     repeated = seen.groupBy("doc_id").agg(pairs).select("doc_id", F.col("pairs.hash").alias("repeated"), F.col("pairs.hot").alias("hot"))
     joined = texts.join(repeated, "doc_id", "left")
     # All columns go along, so that this join and the last one read the same exchange.
     slices = joined.withColumn("text", F.when(F.col("repeated").isNotNull(), F.col("text"))).mapInArrow(shard_rows, SLICE_DDL)
-    merged = slices.repartition("route", "part").sortWithinPartitions("route", "part").mapInArrow(lambda rows: merge_rows(rows, False), SLICE_DDL)
-    merged = merged.repartition("route").sortWithinPartitions("route").mapInArrow(lambda rows: merge_rows(rows, True), SLICE_DDL)
+    merged = slices.repartition("route").sortWithinPartitions("route", "doc_id", "start").mapInArrow(merge_rows, SLICE_DDL)
     return merged.select("doc_id", "start", "windows")
 
 

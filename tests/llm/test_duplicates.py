@@ -120,6 +120,27 @@ def test_repeats_against_brute_force(spark, monkeypatch):
     assert cut(df) == want
 
 
+def test_a_line_in_many_texts_is_spread(spark, monkeypatch):
+    """A line of 60 bytes with other text around it: its windows are all different and must not meet under one route."""
+    line = words(8, 30)[:60]
+    rows = [(i, words(1000 + i, 20) + line + words(5000 + i, 20)) for i in range(300)]
+    rows += [(400 + i, words(1000 + i, 20) + line + words(9000 + i, 20)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1 << 13)
+    most = []
+    real = type(df).repartition
+
+    def seen(self, *a):
+        if "route" in self.columns:
+            most.append(self.filter("bytes is not null or windows = 0").groupBy(*a).agg(F.sum(F.greatest("windows", F.lit(1))).alias("n")).agg(F.max("n")).first()[0])
+        return real(self, *a)
+
+    monkeypatch.setattr(type(df), "repartition", seen)
+    assert cut(df) == brute_repeats(rows)
+    assert most and max(most) <= 5 * suffix_dedup.PLACES
+
+
 def test_odd_rows_in_the_dedup(spark, odd, none):
     got = suffix_dedup.remove_repeats(odd, carry=True).collect()
     assert len(got) == odd.count()
