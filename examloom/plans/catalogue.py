@@ -231,6 +231,12 @@ def final_flag_precedence(t: Tables) -> DataFrame:
     return flagged.select("id", joined(shown).alias("options"), "needs_review")
 
 
+@query()
+def final_flags_all_rows(t: Tables) -> DataFrame:
+    """final_flag_precedence without its oracle's filter: short lists, unlabelled options and blank ones are judged, too."""
+    return answers.final_flags(rel.labelled_options(t.v1), F.col("pos") % 5 == 4).select("id", joined("options").alias("options"), "needs_review")
+
+
 @query("SELECT run_id, CAST(mode AS INT) AS mode FROM modes", "modes")
 def modal_option_count(t: Tables) -> DataFrame:
     return answers.modal_option_count(t.v1)

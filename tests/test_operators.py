@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -45,6 +46,23 @@ def test_windows_cover_pages_once(spark):
     assert sorted(r["page"] for r in got if r["win"] == 1 and r["role"] == "context") == [2, 8]
 
 
+def test_final_flags_of_all_rows(spark):
+    """Against brute force, over every document: none is filtered away."""
+    from examloom.plans import catalogue
+    from examloom.sources import relations
+
+    sf, want = "/root/testdata/sf0.001", {}
+    for r in relations.exam_rows(relations.read(spark, sf, "documents")).collect():
+        rest, style = [o.lstrip() for o in r["options"]], r["doc_id"] % 5
+        labels = [(f"{chr(65 + i)}. ", f"({chr(97 + i)}) ", f"{i + 1}. ", ("i. ", "ii. ", "iii. ", "iv. ", "v. ")[i], "")[style] for i in range(len(rest))]
+        merge = style == 0 and len(rest) > 1 and all(re.fullmatch("[a-z]+", o) for o in rest)
+        bare = len(rest) > 1 and all(rest) and not merge
+        flag = "incomplete_options" if len(rest) < 2 else "options_cut_at_page_break" if r["pos"] % 5 == 4 else r["needs_review"] or ("" if r["question"].strip() else "empty_question") or ("possible_merge" if merge else "")
+        want[r["id"]] = ("|".join(rest if bare and style < 4 else [k + o for k, o in zip(labels, r["options"], strict=True)]), flag)
+    got = {r["id"]: (r["options"], r["needs_review"]) for r in catalogue.queries()["final_flags_all_rows"](spark, sf).collect()}
+    assert got == want and sum(f == "incomplete_options" for _, f in got.values()) > 0
+
+
 def test_mode_ties_go_to_the_larger(spark):
     rows = spark.createDataFrame([("a", ["x"] * n) for n in (2, 2, 4, 4)] + [("b", ["x"] * n) for n in (2, 3, 4, 5)] + [("c", ["x"])], "run_id string, options array<string>")
     assert {r["run_id"]: r["mode"] for r in answers.modal_option_count(rows).collect()} == {"a": 4, "b": None, "c": None}
