@@ -51,17 +51,20 @@ def twin_candidates(seen: DataFrame) -> DataFrame:
 def reconciled(seen: DataFrame) -> DataFrame:
     """(run_id, ref, page, rule, twin_ref); rule is ``kept`` or why an observation was dropped.
 
-    What is kept depends on what was kept before, in order of windows, so a run (one document) is one group.
+    What is kept depends on what was kept before, in order of windows, so a run (one document) is one group. Each row looks at what was
+    kept on its page and both neighbours only.
     """
     o = seen.select("run_id", "win", "ordinal", "is_core", "page", "ref", tx.trim(F.col("label")).alias("label"), tx.squeezed(F.col("anchor")).alias("anchor"), tx.is_generic(F.col("anchor")).alias("generic"))
 
     def fold(run: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
+        kept: dict[int, list] = {}
         out = []
 
         def twin(q):
-            for k in kept:
-                if k.win == q.win or abs(k.page - q.page) > 1:
+            near = (k for page in (q.page - 1, q.page, q.page + 1) for k in kept.get(page, ()))
+            # The one that was kept first, on whichever page.
+            for _, k in sorted(near, key=lambda x: x[0]):
+                if k.win == q.win:
                     continue
                 if q.label and k.label == q.label:
                     return k, "duplicate_label"
@@ -69,13 +72,16 @@ def reconciled(seen: DataFrame) -> DataFrame:
                     return k, "duplicate_anchor"
             return None, None
 
+        def keep(q):
+            kept.setdefault(q.page, []).append((len(out), q))
+
         run = run.sort_values(["win", "ordinal"])
         for q in run[run["is_core"]].itertuples(index=False):
             k, rule = twin(q)
             out.append((q.ref, q.page, rule or "kept", k.ref if k else None))
             if k is None:
-                kept.append(q)
-        owned = pd.Series([k.page for k in kept]).value_counts().to_dict()
+                keep(q)
+        owned = {page: len(some) for page, some in kept.items()}
         for _, window in run[~run["is_core"]].groupby("win", sort=True):
             reread = window["page"].value_counts().to_dict()
             rows = list(window.itertuples(index=False))
@@ -85,7 +91,7 @@ def reconciled(seen: DataFrame) -> DataFrame:
                 covered = q.page in aligned and reread[q.page] <= owned.get(q.page, 0)
                 weak = not q.label and q.generic and q.page in owned
                 if k is None and not covered and not weak:
-                    kept.append(q)
+                    keep(q)
                     out.append((q.ref, q.page, "kept", None))
                 else:
                     out.append((q.ref, q.page, rule or ("covered_reread" if covered else "page_not_owned"), k.ref if k else None))

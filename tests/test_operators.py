@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -38,6 +39,19 @@ def test_reconcile_rescues_and_drops(spark):
     assert got == {"w0q0": "kept", "w0q1": "kept", "w1q0": "kept", "w1q1": "duplicate_label", "w1q2": "page_not_owned", "w1q3": "kept"}
 
 
+def test_reconcile_takes_the_first_kept_and_looks_at_three_pages(spark):
+    """The twin is the one that was kept first, not the one on the lowest page; and a long run doesn't take the square of its rows."""
+    cols = "run_id string, win int, ordinal int, is_core boolean, page int, ref string, label string, anchor string"
+    rows = [("r", 0, 0, True, 3, "a", "7", "x"), ("r", 1, 0, True, 1, "b", "7", "x"), ("r", 2, 0, True, 2, "c", "7", "x"), ("r", 3, 0, False, 1, "d", "7", "x")]
+    got = {r["ref"]: (r["rule"], r["twin_ref"]) for r in reconcile.reconciled(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {"a": ("kept", None), "b": ("kept", None), "c": ("duplicate_label", "a"), "d": ("duplicate_label", "b")}
+    n = 20_000
+    long = spark.range(n).selectExpr("'r' run_id", "int(id div 10) win", "int(id % 10) ordinal", "true is_core", "int(id div 3) page", "string(id) ref", "'' label", "concat('what is meant by the word ', id) anchor")
+    began = time.monotonic()
+    assert reconcile.reconciled(long).filter("rule = 'kept'").count() == n
+    assert time.monotonic() - began < 20
+
+
 def test_windows_cover_pages_once(spark):
     pages = spark.createDataFrame([("r", p) for p in (1, 2, 4, 7, 8)], "run_id string, page int")
     got = reconcile.planned_windows(pages, 2).collect()
