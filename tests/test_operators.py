@@ -77,6 +77,20 @@ def test_final_flags_of_all_rows(spark):
     assert got == want and sum(f == "incomplete_options" for _, f in got.values()) > 0
 
 
+def test_candidates_meet_under_rare_tokens(spark):
+    """A word that every text holds makes no pairs of its own; the pairs are those of brute force."""
+    from examloom.operators import grading
+
+    texts = {i: {"common", *(f"word{(i * k) % 97}x" for k in range(1, 8)), *(f"own{i // 3}n{k}" for k in range(6))} for i in range(300)}
+    df = spark.createDataFrame([(i, " ".join(sorted(t))) for i, t in texts.items()], "id long, text string")
+    found = grading.similarity_candidates(df.filter("id % 3 = 0"), df.filter("id % 3 <> 0"))
+    score = lambda a, b: len(texts[a] & texts[b]) / max(len(texts[a]), len(texts[b]))
+    want = {(a, b): score(a, b) for a in texts for b in texts if a % 3 == 0 and b % 3 and score(a, b) >= 0.5}
+    assert want and {(r["ref_id"], r["var_id"]): r["score"] for r in found.collect()} == pytest.approx(want)
+    r, v = (df.filter(f).selectExpr(f"id {side}_id", f"split(text, ' ') {side}_t") for side, f in (("ref", "id % 3 = 0"), ("var", "id % 3 <> 0")))
+    assert grading.meeting(r, v, 0.5).count() < 100 * 200 / 5
+
+
 def test_mode_ties_go_to_the_larger(spark):
     rows = spark.createDataFrame([("a", ["x"] * n) for n in (2, 2, 4, 4)] + [("b", ["x"] * n) for n in (2, 3, 4, 5)] + [("c", ["x"])], "run_id string, options array<string>")
     assert {r["run_id"]: r["mode"] for r in answers.modal_option_count(rows).collect()} == {"a": 4, "b": None, "c": None}
