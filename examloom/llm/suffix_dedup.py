@@ -168,9 +168,10 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
     # Seven symbols in one number: equal ones are stepped over at once. Behind the end nothing is equal, so the places differ.
     seven = np.zeros(n + most + 1, np.int64)
     seven[n:] = -np.arange(1, most + 2)
+    inner = max(0, n - 6)
     for j in range(7):
-        seven[: n - 6] = seven[: n - 6] << 9 | wide[j : n - 6 + j]
-    seven[max(0, n - 6) : n] = -np.arange(most + 2, most + 2 + min(n, 6))
+        seven[:inner] = seven[:inner] << 9 | wide[j : inner + j]
+    seven[inner:n] = -np.arange(most + 2, most + 2 + n - inner)
     stride = -(-n // lanes)
     base = np.arange(0, n, stride)
     out = np.zeros(n, np.int16)

@@ -153,8 +153,8 @@ def test_odd_rows_in_the_dedup(spark, odd, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 3), min_size=1, max_size=400), st.integers(1, 4))
+@settings(max_examples=120, deadline=None)
+@given(st.one_of(st.lists(st.integers(1, 3), min_size=1, max_size=8), st.lists(st.integers(1, 3), min_size=1, max_size=400)), st.integers(1, 4))
 def test_suffix_array_and_common_prefixes(values, times):
     x = np.array(values * times, np.int16)
     sa, new = suffix_dedup.suffix_array(x)
