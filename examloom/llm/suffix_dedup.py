@@ -4,9 +4,10 @@
    equal anchors at equal places. Anchors are counted over the corpus; a window whose anchor occurs once has no equal.
 2. *Shards.* What is left of some documents makes a shard. Its suffix array is refined by doubling (Larsson-Sadakane) to
    100 bytes, and common prefixes of neighbours (Kasai) show equal windows; all but the earliest are removed.
-3. *Merging.* The earliest windows of each shard meet those of other shards under their anchor. There, sorted windows are
-   found by binary search, and all but the earliest of equal ones are removed. Windows of hot anchors, which occur often, meet
-   under the hash of their own bytes instead, so a frequent line between different texts is spread like any other text.
+3. *Merging.* The earliest windows of each shard meet those of other shards under their anchor. There, their suffixes are sorted
+   by their bytes, each window finds its like by binary search, and all but the earliest of equal ones are removed. Windows of
+   hot anchors, which occur often, meet under 128 bits of hashes of their own bytes instead, so a frequent line between different
+   texts is spread like any other text.
 4. The removed windows of a document are joined with its text.
 
 Texts cross the network once: both joins read the same exchange.
@@ -14,7 +15,7 @@ Texts cross the network once: both joins read the same exchange.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from examloom.llm.text_arrays import MIX_A, MIX_B, MIX_C, byte_values, flat, groups
+from examloom.llm.text_arrays import MIX_A, MIX_B, MIX_C, byte_values, flat, groups, mixed
 
 LENGTH, GRAM = 100, 32
 #: Places of a window where its anchor may start.
@@ -32,8 +33,8 @@ PLACE_BITS = 24
 TEXT_BYTES = 1 << 19
 #: Bytes whose suffixes are sorted at once.
 SHARD_BYTES = 1 << 20
-#: Windows that are merged at once, where their anchors allow.
-MERGED = 1 << 20
+#: Windows that are merged at once, where their anchors allow; each takes its LENGTH bytes some three times.
+MERGED = 1 << 18
 #: Windows of anchors that occur more often are dealt out by their own hash.
 HOT = 500
 NO_DATA = np.zeros(0, np.int64)
@@ -45,9 +46,9 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * MIX_C
 
 
-def gram_hashes(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
+def gram_hashes(data: np.ndarray, most: int, scramble: Callable = lambda x: x) -> dict[int, np.ndarray]:
     """Hashes of the substrings of 1, 2, 4 ... ``most`` bytes at every place."""
-    out = {1: byte_values(data)}
+    out = {1: scramble(byte_values(data))}
     n = 1
     while n < most:
         h = out[n]
@@ -56,9 +57,9 @@ def gram_hashes(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
     return out
 
 
-def window_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the LENGTH bytes at every place."""
-    h = gram_hashes(data, 64)[64]
+def window_hashes(data: np.ndarray, scramble: Callable = lambda x: x) -> np.ndarray:
+    """Hashes of the LENGTH bytes at every place; with another ``scramble`` of the bytes' values, other hashes."""
+    h = gram_hashes(data, 64, scramble)[64]
     rest = LENGTH - 64
     return _mix(h[:-rest], h[rest:]) if len(h) > rest else h[:0]
 
@@ -200,7 +201,7 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
     return lcp
 
 
-#: Rows without bytes are windows that are removed, or (``windows`` = 0) one window under a hot anchor, whose route is its hash.
+#: Rows without bytes are windows that are removed. With ``windows`` = 0, a row is one window under a hot anchor: its route and bytes are two hashes of it.
 SLICE_DDL = "route long, doc_id long, start long, windows int, bytes binary"
 SLICE = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
 
@@ -211,9 +212,10 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return data[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
-def _bare(route: np.ndarray, ids: np.ndarray, starts: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
-    """SLICE rows without bytes."""
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids), pa.array(starts), pa.array(number.astype(np.int32)), pa.nulls(len(ids), pa.binary())], schema=SLICE)
+def _bare(route: np.ndarray, ids: np.ndarray, starts: np.ndarray, number: np.ndarray, check: np.ndarray | None = None) -> pa.RecordBatch:
+    """SLICE rows without bytes, or with the 64 bits of ``check``."""
+    held = pa.nulls(len(ids), pa.binary()) if check is None else pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, 8 * len(ids) + 1, 8, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(check))])
+    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(ids), pa.array(starts), pa.array(number.astype(np.int32)), held], schema=SLICE)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,9 +295,11 @@ class Shard:
         text, cuts = _gather(data, at[hot], number[hot] + LENGTH - 1)
         spread = np.repeat(np.arange(len(cuts) - 1), number[hot])
         inner = np.arange(len(spread)) - np.repeat(np.cumsum(number[hot]) - number[hot], number[hot])
-        route = _mix(window_hashes(text)[cuts[spread] + inner], h[run][hot][spread]).view(np.int64)
-        seats = at[hot][spread] + inner
-        yield _bare(route, ids[owner[seats]], place[seats], np.zeros(len(seats)))
+        anchor, seats = h[run][hot][spread], at[hot][spread] + inner
+        route = _mix(window_hashes(text)[cuts[spread] + inner], anchor).view(np.int64)
+        # The second hash reads other values for the bytes.
+        check = _mix(window_hashes(text, mixed)[cuts[spread] + inner], anchor)
+        yield _bare(route, ids[owner[seats]], place[seats], np.zeros(len(seats)), check)
         at, number, run = at[~hot], number[~hot], run[~hot]
         text, cuts = _gather(data, at, number + LENGTH - 1)
         binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(text)])
@@ -330,23 +334,22 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_slices(slices: pa.Table) -> pa.RecordBatch:
-    """SLICE rows: windows of slices that are not the earliest of their like, without bytes."""
+    """SLICE rows: windows of slices that are not the earliest of their like, without bytes. Only bytes decide what is equal."""
     data, offsets = flat(slices.column("bytes"))
-    route, ids, starts, number = (slices.column(c).to_numpy() for c in ("route", "doc_id", "start", "windows"))
+    ids, starts, number = (slices.column(c).to_numpy() for c in ("doc_id", "start", "windows"))
     number = number.astype(np.int64)
     ends = np.append(0, np.cumsum(number))
     owner = np.repeat(np.arange(len(number)), number)
     inner = np.arange(ends[-1]) - ends[owner]
-    hashes = window_hashes(data)[offsets[owner] + inner]
-    # The anchor goes into the hash.
-    key = _mix(hashes, route.view(np.uint64)[owner])
+    # No byte of UTF-8 is 255, so bytes grow by one and none is the zero that ends a numpy string.
+    suffixes = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), LENGTH)[offsets[owner] + inner].view(f"S{LENGTH}")[:, 0]
     order = np.lexsort((starts, ids))
     seat = np.zeros(len(order), np.int64)
     seat[order] = np.arange(len(order))
-    # Windows are sorted once, the earliest of equal ones first; then every window finds its like by binary search.
+    # Suffixes are sorted once, the earliest of equal ones first; then every window finds its like by binary search.
     by_age = np.lexsort((inner, seat[owner]))
-    sorted_keys, earliest = np.unique(key[by_age], return_index=True)
-    first = by_age[earliest[np.searchsorted(sorted_keys, key)]]
+    by_bytes = by_age[np.argsort(suffixes[by_age], kind="stable")]
+    first = by_bytes[np.searchsorted(suffixes[by_bytes], suffixes)]
     later = (ids[owner] != ids[owner[first]]) | (starts[owner] + inner != starts[owner[first]] + inner[first])
     flag = np.zeros(len(later) + len(number) + 1, np.uint8)
     flag[owner + np.arange(len(later))] = later
@@ -356,24 +359,27 @@ def merge_slices(slices: pa.Table) -> pa.RecordBatch:
 
 
 def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SLICE rows of removed windows from a partition in order of route, doc_id and start. What is held are the slices of MERGED windows, and of
+    """SLICE rows of removed windows from a partition in order of route, for hot anchors second hash, doc_id and start. What is held are the slices of MERGED windows, and of
     an anchor that is not hot; of equal windows under hot anchors, which follow one another, only the first.
     """
     waiting, number = [], 0
     head = None
     for batch in batches:
         bare, size = np.asarray(batch.column("bytes").is_null()), batch.column("windows").to_numpy()
-        yield batch.filter(pa.array(bare & (size > 0))).cast(SLICE)
-        alone = batch.filter(pa.array(bare & (size == 0)))
+        yield batch.filter(pa.array(bare)).cast(SLICE)
+        alone = batch.filter(pa.array(~bare & (size == 0)))
+        bare |= size == 0
         if alone.num_rows:
             route, ids, starts = (alone.column(c).to_numpy() for c in ("route", "doc_id", "start"))
-            new = np.append(head is None or head[0] != route[0], route[1:] != route[:-1])
+            check = np.frombuffer(flat(alone.column("bytes"))[0].tobytes(), np.uint64)
+            same = (route[1:] == route[:-1]) & (check[1:] == check[:-1])
+            new = np.append(head is None or head[:2] != (route[0], check[0]), ~same)
             first = np.maximum.accumulate(np.where(new, np.arange(len(route)), -1))
             of_id, of_start = ids[first], starts[first]
             if head is not None:
-                of_id[first < 0], of_start[first < 0] = head[1:]
+                of_id[first < 0], of_start[first < 0] = head[2:]
             later = (ids != of_id) | (starts != of_start)
-            head = route[-1], of_id[-1], of_start[-1]
+            head = route[-1], check[-1], of_id[-1], of_start[-1]
             yield _bare(ids[later], ids[later], starts[later], np.ones(int(later.sum())))
         batch = batch.filter(pa.array(~bare))
         if not batch.num_rows:
@@ -396,7 +402,7 @@ def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_windows(texts: DataFrame) -> DataFrame:
     """(doc_id, start, windows): runs of windows that also start earlier, from (doc_id, text) without null ids."""
     ddl = "hash long, doc_id long, times int"
-    seen = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "text").mapInArrow(anchor_rows, ddl)
+    seen = texts.filter(F.octet_length("text") >= LENGTH).select("doc_id", "text").mapInArrow(anchor_rows, ddl)
     same = Window.partitionBy("hash")
     seen = seen.withColumn("all", F.sum("times").over(same)).filter(F.col("all") > 1).withColumn("hot", F.col("all") > HOT)
     pairs = F.collect_set(F.struct("hash", "hot")).alias("pairs")
@@ -404,7 +410,7 @@ def removed_windows(texts: DataFrame) -> DataFrame:
     joined = texts.join(repeated, "doc_id", "left")
     # All columns go along, so that this join and the last one read the same exchange.
     slices = joined.withColumn("text", F.when(F.col("repeated").isNotNull(), F.col("text"))).mapInArrow(shard_rows, SLICE_DDL)
-    merged = slices.repartition("route").sortWithinPartitions("route", "doc_id", "start").mapInArrow(merge_rows, SLICE_DDL)
+    merged = slices.repartition("route").sortWithinPartitions("route", F.when(F.col("windows") == 0, F.col("bytes")), "doc_id", "start").mapInArrow(merge_rows, SLICE_DDL)
     return merged.select("doc_id", "start", "windows")
 
 
@@ -462,7 +468,11 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     if carry and others:
         # In an array, no field is pruned on the way: both joins need the same columns to read one exchange.
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.array(F.struct(*others)).alias("carried"))
-    gone = removed_windows(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("windows"))
     rest = [F.element_at("carried", 1).alias("carried")] if "carried" in texts.columns else []
-    out = texts.join(gone, "doc_id", "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows")).alias("c"), *rest)
+    named = texts.filter("doc_id is not null")
+    gone = removed_windows(named).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("windows"))
+    nothing = F.lit(None).cast(gone.schema["windows"].dataType)
+    # Rows without an id stay out of the joins, where they would all meet in one task.
+    out = named.join(gone, "doc_id", "left").unionByName(texts.filter("doc_id is null").withColumn("windows", nothing))
+    out = out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows")).alias("c"), *rest)
     return out.select("doc_id", "n_bytes", "c.kept", "c.starts", "c.lengths", *(["carried"] if rest else []))
