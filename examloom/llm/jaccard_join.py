@@ -1,18 +1,20 @@
 """Operator 4, n-gram Jaccard join by vertical partitioning.
 
-A document is its set of word 5-grams, as 64-bit hashes. Documents with equal sets are one class, and classes are
-joined:
+A document is its set of word 5-grams, as 64-bit hashes. Documents with equal sets are one class, named by a hash of its set, and
+classes are joined:
 
 1. *First fragment.* Of each set, the least quarter of the hashes is dealt out by hash. A partner at the threshold shares
    all but a fifth of a set, so a class that shares too few of this fragment with any other has no partner at all.
 2. *Postings.* What is left is dealt out in full; 5-grams of one class only can't overlap and fall out. The others have
    an order, rarest first, and partners share one of each set's first 5-grams in it (its prefix).
-3. *Blocks.* Classes lie in blocks of at most BLOCK. The order is cut into fragments; for two blocks, each fragment gives
-   a matrix of partial overlaps on its own, and the matrices are summed per pair of blocks and held against the threshold.
-   Only a spanning forest of the links found leaves a pair of blocks.
+3. *Blocks.* Classes lie in blocks of about BLOCK. The order, rarest first, is cut into fragments of about as many postings each; for
+   two blocks, each fragment gives a matrix of partial overlaps on its own, and the matrices are summed per pair of blocks and
+   held against the threshold. Only a spanning forest of the links found leaves a pair of blocks.
 4. *Two rounds.* The first joins classes with the commonest holder of their prefixes. The second has what is left: all pairs
    of blocks that share a prefix 5-gram between different components. So no pair that could link two components is left out,
    and the many links within a group of near copies need not be found.
+
+A 5-gram of many sets is counted by partial sums and joined, never gathered under a window.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ BLOCK = 256
 FRAGMENTS = 4
 TEXT_BYTES = 1 << 20
 #: So many ids or fewer (8 bytes each) are broadcast to the texts; more are joined by a shuffle.
-FEW_IDS = 1_000_000
+FEW_IDS = 500_000
 
 SETS = "doc_id long, n long, key_a long, key_b long, grams array<long>"
-POSTED = "gram long, node long, n long"
+POSTED, POSTED_BY_ID = "gram long, node long, n long", "gram long, node long, n long, key_b long, doc_id long"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +83,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
             yield batch.column("doc_id").slice(lo, hi - lo), np.bincount(r, minlength=hi - lo), r, h
 
 
+def set_keys(n: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """128 bits that stand for each set; ``h``: the grams of sets of ``n``, one after the other."""
+    cuts = np.append(0, np.cumsum(n))
+    sums = [np.append(np.uint64(0), np.cumsum(x)) for x in (h, mixed(h ^ MIX_B))]
+    return [mixed(x[cuts[1:]] - x[cuts[:-1]]).view(np.int64) for x in sums]
+
+
 def first_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SETS of (doc_id, text): a set's size, 128 bits that stand for it, and its first fragment."""
     for ids, n, r, h in _blocks(batches):
         cuts = np.append(0, np.cumsum(n))
-        keys = []
-        for x in (h, mixed(h ^ MIX_B)):
-            sums = np.append(np.uint64(0), np.cumsum(x))
-            keys.append(pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)))
+        keys = map(pa.array, set_keys(n, h))
         sizes = fragment_size(n)
         first = pa.array(h[np.arange(len(h)) - cuts[r] < sizes[r]].view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), first)
@@ -96,9 +102,16 @@ def first_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """POSTED of (doc_id, text): a row for each gram of each set."""
+    """POSTED_BY_ID of (doc_id, text): a row for each gram of each set."""
     for ids, n, r, h in _blocks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(r)), pa.array(n.astype(np.int64)[r])], names=["gram", "node", "n"])
+        a, b = set_keys(n, h)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(x[r]) for x in (a, n.astype(np.int64), b)), ids.take(pa.array(r))], names=["gram", "node", "n", "key_b", "doc_id"])
+
+
+def bare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """POSTED of (doc_id, text)."""
+    for batch in whole_sets(batches):
+        yield batch.select(["gram", "node", "n"])
 
 
 def missing_at_most(n: Column) -> Column:
@@ -106,21 +119,36 @@ def missing_at_most(n: Column) -> Column:
     return n - F.ceil(n * ALIKE / 100)
 
 
+def shared_grams(spread: DataFrame) -> DataFrame:
+    """(gram, holders) of the grams that several rows hold: partial sums leave a task, not a common gram's rows."""
+    return spread.groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1")
+
+
 def survivors(sets: DataFrame) -> DataFrame:
-    """doc_ids whose first fragment shares enough grams with sets of other keys."""
-    spread = sets.filter("n > 0").select("doc_id", "n", "key_a", F.explode("grams").alias("gram"))
-    same = Window.partitionBy("gram")
-    shared = spread.select("doc_id", "n", "gram", F.min("key_a").over(same).alias("least"), F.max("key_a").over(same).alias("most")).filter(F.col("least") != F.col("most"))
+    """doc_id, n and keys of the sets whose first fragment shares enough grams with other rows; copies of one set count as others here."""
+    keys = ["doc_id", "n", "key_a", "key_b"]
+    spread = sets.select(*keys, F.explode("grams").alias("gram"))
     fragment = F.least(F.col("n"), missing_at_most(F.col("n")) + 1 + F.floor(F.col("n") / 20))
-    return shared.groupBy("doc_id", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= fragment - missing_at_most(F.col("n"))).select("doc_id")
+    hits = spread.join(shared_grams(spread), "gram").groupBy(*keys).agg(F.count("*").alias("hits"))
+    return hits.filter(F.col("hits") >= fragment - missing_at_most(F.col("n"))).select(*keys)
 
 
-def postings(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(gram, node, n, holders): the grams of ``ids``' documents that several of them hold."""
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    text = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    spread = text.mapInArrow(whole_sets, POSTED).dropDuplicates(["gram", "node"])
-    return spread.withColumn("holders", F.count("*").over(Window.partitionBy("gram"))).filter("holders > 1")
+def postings(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """(gram, node, n, holders): the grams of the classes ``able`` (node, doc_id, n, key_a, key_b) that several of them hold.
+
+    Each class is read from one document. Of several texts under one id, those count whose sets are in ``able``.
+    """
+    ids = materialize(able.select("doc_id").distinct())
+    few = ids.count() <= FEW_IDS
+    mine = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    if mine.select("doc_id").count() == able.count():
+        held = mine.mapInArrow(bare_sets, POSTED)
+    else:
+        # Repeated rows of a document are one holder, and other texts under its id none.
+        keys = ["doc_id", "n", "node", "key_b"]
+        known = able.select(*keys)
+        held = mine.mapInArrow(whole_sets, POSTED_BY_ID).join(F.broadcast(known) if few else known, keys, "left_semi").select("gram", "node", "n").distinct()
+    return held.join(shared_grams(held), "gram").select("gram", "node", "n", "holders")
 
 
 def prefixes(posted: DataFrame) -> DataFrame:
@@ -131,13 +159,31 @@ def prefixes(posted: DataFrame) -> DataFrame:
     return ranked.filter(alone + F.col("place") <= missing_at_most(F.col("n")) + 1).select("gram", "node")
 
 
-def packed(members: DataFrame, posted: DataFrame) -> DataFrame:
-    """(block, fragment, nodes, sizes, owners, grams) from (node, block): what each block's sets hold of each fragment of the order."""
-    order = F.pmod(F.col("gram"), F.lit(FRAGMENTS)).cast("int")
+def fragment_of(posted: DataFrame) -> Column:
+    """The fragment of a posting: the order (holders, gram) is cut where about a FRAGMENTS-th of all postings lies behind each cut.
+
+    Grams are even in the range of 64-bit numbers, so a share of those with one number of holders is a share of that range. Three numbers of
+    holders and their counts go to the driver.
+    """
+    shares = [f / FRAGMENTS for f in range(1, FRAGMENTS)]
+    at = posted.agg(F.percentile_approx("holders", shares).alias("at")).first()["at"] or []
+    if not at:
+        return F.lit(0)
+    counts = posted.agg(F.count("*").alias("n"), *(F.struct(F.count_if(F.col("holders") < h).alias("below"), F.count_if(F.col("holders") == h).alias("here")).alias(f"c{i}") for i, h in enumerate(at))).first()
+    out = F.lit(0)
+    for i, (h, share) in enumerate(zip(at, shares, strict=True)):
+        part = min(1.0, max(0.0, (share * counts["n"] - counts[f"c{i}"]["below"]) / max(1, counts[f"c{i}"]["here"])))
+        cut = min((1 << 63) - 1, int(part * (1 << 64)) - (1 << 63))
+        out = out + ((F.col("holders") > h) | ((F.col("holders") == h) & (F.col("gram") >= cut))).cast("int")
+    return out
+
+
+def packed(members: DataFrame, posted: DataFrame, order: Column) -> DataFrame:
+    """(block, fragment, sets) from (node, block): what each block's sets hold of each fragment ``order``, as array<struct<node, n, grams>>."""
     held = posted.join(members, "node").groupBy("block", "node", "n").agg(*(F.collect_list(F.when(order == f, F.col("gram"))).alias(f"g{f}") for f in range(FRAGMENTS)))
     fragments = F.explode(F.array(*(F.struct(F.lit(f).alias("fragment"), F.col(f"g{f}").alias("grams")) for f in range(FRAGMENTS))))
     rows = held.select("block", "node", "n", fragments.alias("f")).select("block", "f.fragment", F.struct("node", "n", "f.grams").alias("set"))
-    # At most BLOCK sets each.
+    # About BLOCK sets each.
     return rows.groupBy("block", "fragment").agg(F.array_sort(F.collect_list("set")).alias("sets"))
 
 
@@ -205,22 +251,23 @@ def links_between(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return partial.groupBy("i", "j").applyInPandas(summed, "a long, b long")
 
 
-def chunks(members: DataFrame, key: str) -> DataFrame:
-    """(node, block) from (node, ``key``, order): runs of BLOCK nodes of a key."""
-    run = F.floor((F.row_number().over(Window.partitionBy(key).orderBy("order", "node")) - 1) / BLOCK)
-    return members.select("node", F.concat_ws("/", F.col(key).cast("string"), run.cast("string")).alias("block"))
+def chunks(members: DataFrame, key: str, together: str) -> DataFrame:
+    """(node, block) from (node, ``key``, ``together``): the nodes of a key are dealt to as many blocks as make about BLOCK each, by a hash of ``together``."""
+    sizes = members.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    run = F.pmod(F.xxhash64(together), F.col("parts"))
+    return members.join(sizes, key).select("node", F.concat_ws("/", F.col(key).cast("string"), run.cast("string")).alias("block"))
 
 
 def class_links(posted: DataFrame) -> DataFrame:
     """(node, component) of the classes that are linked with another."""
     heads = materialize(prefixes(posted))
+    order = fragment_of(posted)
     # A block's key is the holder that most of a set's prefix grams name; holders are the least nodes.
-    named = heads.withColumn("holder", F.min("node").over(Window.partitionBy("gram")))
+    named = heads.join(heads.groupBy("gram").agg(F.min("node").alias("holder")), "gram")
     votes = named.groupBy("node", "holder").agg(F.count("*").alias("votes"))
-    key = votes.groupBy("node").agg(F.max_by("holder", F.struct("votes", -F.col("holder"))).alias("key"))
-    key = materialize(key)
-    first = materialize(chunks(key.withColumn("order", F.lit(0)), "key"))
-    blocks = materialize(packed(first, posted))
+    key = materialize(votes.groupBy("node").agg(F.max_by("holder", F.struct("votes", -F.col("holder").cast("double"))).alias("key")))
+    first = materialize(chunks(key, "key", "node"))
+    blocks = materialize(packed(first, posted, order))
     names = first.select(F.col("block").alias("j")).distinct()
     start = F.concat(F.substring_index("j", "/", 1), F.lit("/0"))
     pairs = names.select(F.explode(F.array_distinct(F.array("j", start))).alias("i"), "j")
@@ -228,21 +275,24 @@ def class_links(posted: DataFrame) -> DataFrame:
     so_far = components(found)
     # Second round: blocks of one component where it fills them, mixed ones for the rest.
     placed = key.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("size", F.count("*").over(Window.partitionBy("component")))
-    large = F.col("size") >= BLOCK
-    placed = placed.select("node", "component", F.when(large, F.concat(F.lit("c"), F.col("component"))).otherwise(F.concat(F.lit("k"), F.col("key"))).alias("key"), F.col("component").alias("order"))
-    placed = materialize(placed.join(chunks(placed, "key"), "node"))
+    placed = materialize(placed)
+    large = placed.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= BLOCK)
+    placed = placed.join(large, "component", "left")
+    own = F.when(F.col("size").isNotNull(), F.concat(F.lit("c"), F.col("component"))).otherwise(F.concat(F.lit("k"), F.col("key")))
+    # A small component stays in one block.
+    placed = placed.select("node", "component", own.alias("key"), F.when(F.col("size").isNotNull(), F.col("node")).otherwise(F.col("component")).alias("together"))
+    placed = materialize(placed.join(chunks(placed, "key", "together"), "node"))
     # Blocks meet under a gram, whatever number of their sets hold it, if there are two components among them.
     seen = heads.join(placed, "node").groupBy("gram", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    spans = Window.partitionBy("gram")
-    seen = seen.withColumn("least", F.min("lo").over(spans)).withColumn("most", F.max("hi").over(spans)).filter("least <> most").select("gram", "block", "lo", "hi")
+    open_grams = seen.groupBy("gram").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("gram")
+    seen = materialize(seen.join(open_grams, "gram"))
     a, b = seen.alias("a"), seen.alias("b")
     mixed_pair = F.least("a.lo", "b.lo") < F.greatest("a.hi", "b.hi")
     open_pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.block") <= F.col("b.block")) & mixed_pair)
     open_pairs = open_pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
     open_pairs = materialize(open_pairs)
     needed = open_pairs.select(F.explode(F.array("i", "j")).alias("block")).distinct()
-    again = materialize(packed(placed.select("node", "block").join(needed, "block", "left_semi"), posted))
+    again = materialize(packed(placed.select("node", "block").join(needed, "block", "left_semi"), posted, order))
     return components(found.unionByName(materialize(links_between(open_pairs, again))))
 
 
@@ -256,17 +306,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
 
     Null and empty texts, and those of white space only, have no shingles and are linked with nothing. Rows that repeat a
-    doc_id count as one document if their texts agree (of different texts under one id, each gives a row). An empty table
-    gives an empty result; only doc_id and text are read, and rows without a doc_id have no component.
+    doc_id count each: equal texts are one class, and different texts under one id are sets of their own, each with the component of
+    its own set. An empty table gives an empty result; only doc_id and text are read, and rows without a doc_id have no component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(docs.mapInArrow(first_fragments, SETS))
-    known = sets.filter("doc_id is not null and n > 0")
+    able = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     keys = ["n", "key_a", "key_b"]
-    least = known.groupBy(*keys).agg(F.min("doc_id").alias("node"))
-    classes = materialize(known.select("doc_id", *keys).join(least, keys).select("doc_id", "node"))
-    able = survivors(known).join(classes.filter("doc_id = node"), "doc_id", "left_semi").distinct()
-    posted = materialize(postings(docs, materialize(able)))
-    linked = class_links(posted)
-    named = classes.join(linked, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = materialize(sets.filter(able).groupBy(*keys).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("key_a")))
+    likely = survivors(sets.filter(able)).select(*keys).distinct()
+    posted = materialize(postings(docs, materialize(classes.join(likely, keys))))
+    linked = class_links(posted).join(classes, "node").select("component", *keys, "doc_id")
+    linked = materialize(linked)
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(linked.join(least, "component").select(*keys, "least"), keys, "left").select(*keys, F.coalesce("least", "doc_id").alias("component_id"))
+    named = sets.filter(able).select("doc_id", *keys).join(classes, keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # Rows without an id or a shingle stay out of the join, where they would all meet in one task.
+    return named.unionByName(sets.filter(~able).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

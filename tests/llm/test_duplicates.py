@@ -84,6 +84,27 @@ def test_odd_rows_in_the_join(spark, odd, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_several_texts_under_one_id(spark):
+    """Half of each text of id 1 makes no text that is near to one of them; a near copy of the second is linked with it alone."""
+    a, b = words(21, 60), words(22, 60)
+    half = " ".join(a.split(" ")[:30] + b.split(" ")[:30])
+    rows = [(1, a), (1, b), (1, b), (2, half), (3, b + " more"), (4, words(23, 60)), (4, words(23, 60) + " end"), (None, b)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r["component_id"])
+    assert len(got) == len(rows)
+    assert by == {1: [1, 1, 1], 2: [2], 3: [1], 4: [4, 4], None: [None]}
+
+
+def test_fragments_follow_the_order(spark):
+    rows = [(g, n, 1, h) for n in range(40) for g, h in ((n << 57, 2), (-(n << 57), 2), (n, 5), (1000 + n, 9))]
+    df = spark.createDataFrame(rows, "gram long, node long, n long, holders long")
+    got = df.select("holders", "gram", jaccard_join.fragment_of(df).alias("f")).orderBy("holders", "gram").collect()
+    assert [r["f"] for r in got] == sorted(r["f"] for r in got)
+    assert {r["f"] for r in got} == {0, 1, 2, 3} and max(sum(r["f"] == f for r in got) for f in range(4)) <= 60
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 9), (7, 8), (8, 8), (8, 7), (2, 10), (10, 11), (11, 2), *((20 + i, 21 + i) for i in range(40))]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
