@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from examloom.llm.labelled import remainder
+from examloom.llm.labelled import remainder, sample
 from examloom.llm.text_arrays import flat, pieces
 
 #: Families of language codes. A code that is not listed is a family of its own.
@@ -34,8 +34,8 @@ FAMILIES = {
 BITS = 15
 GRAMS = (1, 2, 3, 4)
 BLOCK = 1 << 19
-#: At most so many documents of each language are fitted.
-PER_LANGUAGE = 600
+#: At most so many documents of each language are fitted, and so many bytes of their texts.
+PER_LANGUAGE, LANGUAGE_BYTES = 600, 1 << 23
 #: Margins grow by this factor before they become probabilities; features are small, as they are averages.
 SHARPNESS = 4.0
 
@@ -164,20 +164,12 @@ def decide(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
     return lang, score
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fits on at most ``per_language`` documents of each language (smallest id hashes), from rows with crc32(doc_id) mod 4 other than 2 and a lang."""
-    usable = docs.select("doc_id", "lang").filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    ids = None
-    for lang in sorted(sizes):
-        some = usable.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        ids = some if ids is None else ids.unionByName(some)
-    if ids is None:
-        return train([], [])
-    text = docs.select("doc_id", F.col("lang").alias("own"), "text")
-    picked = text.join(F.broadcast(ids.distinct()), "doc_id").filter(F.col("own") == F.col("lang"))
-    rows = picked.select("doc_id", "lang", F.arrow_udf(bag, T.BinaryType())("text").alias("bag")).limit(2 * per_language * len(sizes)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES) -> LanguageModel:
+    """Fits on a bounded sample of the documents of each language, from rows with crc32(doc_id) mod 4 other than 2 and a lang; an id with several languages takes the greatest."""
+    usable = docs.select("doc_id", "lang", "text").filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    picked = sample(usable, usable.select("doc_id", "lang"), "lang", per_language, language_bytes)
+    rows = picked.select("doc_id", F.col("label").alias("lang"), F.arrow_udf(bag, T.BinaryType())("text").alias("bag")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([bytes(r["bag"]) for r in rows], [r["lang"] for r in rows])
 
 
@@ -203,7 +195,8 @@ def predict(model: LanguageModel, text: Column) -> Column:
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Every document with its predicted language.
 
-    Texts that are null or hold no letter give ``und`` with score 0. Repeated rows are predicted each; an empty
+    Texts that are null or hold no letter give ``und`` with score 0. Of families with equal margins, the first by name is taken, and so is the
+    first language where votes and sums of margins are equal. Repeated rows are predicted each; an empty
     table gives an empty result; only doc_id, text and lang are read, and lang only for training.
     """
     model = fit(docs)

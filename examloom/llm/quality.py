@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from examloom.llm.labelled import balanced_ids, remainder
+from examloom.llm.labelled import remainder, sample
 from examloom.llm.text_arrays import byte_values, flat, pieces, span_hashes, words
 
 BITS = 17
 GRAMS = (3, 5)
 BLOCK = 1 << 19
-#: At most so many labelled documents of each class are fitted.
-PER_CLASS = 1500
+#: At most so many labelled documents of each class are fitted, and so many bytes of their texts.
+PER_CLASS, CLASS_BYTES = 1500, 1 << 24
 
 
 def feature_positions(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -104,11 +104,11 @@ def train(bags: list[bytes], labels: np.ndarray, dim: int = 8, epochs: int = 6,
     return SubwordClassifier((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> SubwordClassifier:
-    """Fits on at most ``per_class`` labelled documents of each class; ``docs`` needs doc_id and text, ``labels`` doc_id and the label."""
-    ids = balanced_ids(labels.select("doc_id", label), label, per_class, [0, 1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.arrow_udf(bag, T.BinaryType())("text").alias("bag")).limit(4 * per_class).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> SubwordClassifier:
+    """Fits on a bounded sample of labelled documents of the classes 0 and 1; ``docs`` needs doc_id and text, ``labels`` doc_id and the label."""
+    picked = sample(docs, labels.select("doc_id", label).filter(F.col(label).isin(0, 1)), label, per_class, class_bytes)
+    rows = picked.select("doc_id", "label", F.arrow_udf(bag, T.BinaryType())("text").alias("bag")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([bytes(r["bag"]) for r in rows], np.array([int(r["label"]) for r in rows], np.int64))
 
 
