@@ -7,6 +7,7 @@ fingerprint of them, and shared runs below K words are never seen.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ K = 5
 WINDOW = 8
 #: Rows of a block when texts meet their successors, unless that makes more than MOST_BLOCKS of them.
 BLOCK_ROWS, MOST_BLOCKS = 512, 50_000
+#: Ids are cut at so many quantiles at most, and between them evenly.
+PLACES = 4096
 _PLACES = (1 << 31) - 1
 
 
@@ -69,35 +72,74 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both))
 
 
+def ranges(cuts: list[int], lo: int, hi: int, parts: int) -> list[tuple[int, float, int, bool]]:
+    """(first id, width of a part, parts, whether rows are told apart by their hashes) of ranges that cover lo to hi, from ``cuts`` at even quantiles.
+
+    An id at several cuts has as many times the rows of a range: it is a range of its own, with as many times the parts.
+    """
+    times: dict[int, int] = {}
+    for c in cuts:
+        times[c] = times.get(c, 0) + 1
+    hot = {c for c, n in times.items() if n > 1}
+    firsts = sorted({lo, *times, *(c + 1 for c in hot if c < hi)})
+    ends = [*firsts[1:], hi + 1]
+    return [(a, max(1.0, (b - a) / parts), parts * times[a] if a in hot else parts, a in hot) for a, b in zip(firsts, ends, strict=True)]
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds place and part to rows with doc_id and tie (a hash): by descending doc_id and tie, rows of one (place, part) follow one another, and
+    pairs follow in descending order. A pair has about BLOCK_ROWS rows, or as many as MOST_BLOCKS pairs make it.
+
+    Ids are cut at quantiles of all rows' ids, so it doesn't matter where they lie; quantiles are approximate, but the order is exact.
+    """
+    sizes = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    blocks = max(1, min(MOST_BLOCKS, sizes["n"] // BLOCK_ROWS))
+    nulls = max(1, blocks * (sizes["n"] - sizes["ids"]) // max(1, sizes["n"]))
+    level = lambda parts: F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts).cast("int"), parts - 1)
+    if not sizes["ids"]:
+        return rows.withColumn("place", F.lit(-1)).withColumn("part", level(F.lit(nulls)))
+    many = min(PLACES, blocks)
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)], 20 * many).alias("c")).first()["c"] if many > 1 else []
+    found = ranges(list(cuts), sizes["lo"], sizes["hi"], -(-blocks // many))
+    # The first ids in runs of 64: a row looks through the heads of the runs, and then through one run.
+    firsts = [r[0] for r in found]
+    runs = [firsts[i : i + 64] for i in range(0, len(firsts), 64)]
+    constant = lambda v, kind: F.from_json(F.lit(json.dumps(v)), kind)
+    reached = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col("doc_id")))
+    run = reached(constant([r[0] for r in runs], "array<bigint>"))
+    place = (run - 1) * 64 + reached(F.get(constant(runs, "array<array<bigint>>"), run - 1)) - 1
+    table = F.broadcast(rows.sparkSession.createDataFrame([(i, float(f[0]), f[1], f[2], f[3]) for i, f in enumerate(found)] + [(-1, 0.0, 1.0, nulls, True)], "place int, first double, width double, parts int, tied boolean"))
+    rows = rows.withColumn("place", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place)).join(table, "place")
+    even = F.least(F.floor((F.col("doc_id").cast("double") - F.col("first")) / F.col("width")).cast("int"), F.col("parts") - 1)
+    return rows.withColumn("part", F.when(F.col("tied"), level(F.col("parts"))).otherwise(even)).drop("first", "width", "parts", "tied")
+
+
 def with_successors(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``following``, a struct of the next row's ``columns`` by descending doc_id; the first row follows the last.
 
-    Ids are cut into equal ranges, and a range also gets the first row of the range below it, so that all successors are found
-    within ranges. Null ids come last, equal ids in descending order of ``columns``.
+    Null ids come last; rows with one id, or without, come in the order of a hash of ``columns``. Each block of rows also gets the
+    first row of the next block, so that all successors are found within blocks.
     """
-    place = F.col("doc_id").cast("double")
-    known = rows.agg(F.count("*").alias("n"), F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi")).first()
-    blocks = max(1, min(MOST_BLOCKS, known["n"] // BLOCK_ROWS))
-    low = known["lo"] or 0.0
-    width = max(1.0, ((known["hi"] or 0.0) - low + 1) / blocks)
-    rows = rows.withColumn("block", F.coalesce(F.floor((place - low) / width), F.lit(-1)).cast("int"))
-    # At most MOST_BLOCKS + 2 rows.
-    heads = rows.groupBy("block").agg(F.max("doc_id").alias("head")).collect()
-    order = sorted(heads, key=lambda r: -r["block"])
-    above = [(r["block"], r["head"], order[i - 1]["block"]) for i, r in enumerate(order)]
-    table = F.broadcast(rows.sparkSession.createDataFrame(above, "block int, head long, above int"))
-    seats = F.array(F.struct(F.col("block").alias("seat"), F.lit(0).alias("guest")), F.struct(F.col("above").alias("seat"), F.lit(1).alias("guest")))
-    seated = rows.join(table, "block").withColumn("seats", F.when(F.col("doc_id").eqNullSafe(F.col("head")), seats).otherwise(F.slice(seats, 1, 1)))
-    seated = seated.select(*rows.columns, F.explode("seats").alias("at")).select(*[c for c in rows.columns if c != "block"], "at.seat", "at.guest")
-    order = Window.partitionBy("seat").orderBy("guest", F.col("doc_id").desc_nulls_last(), *(F.col(c).desc() for c in columns))
-    return seated.withColumn("following", F.lead(F.struct(*columns)).over(order)).filter(F.col("guest") == 0).drop("seat", "guest")
+    rows = placed(rows.withColumn("tie", F.xxhash64(*columns)))
+    here = ["place", "part"]
+    heads = rows.groupBy(*here).agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
+    # At most one row for each block.
+    order = sorted(heads, key=lambda r: (-r["place"], -r["part"]))
+    above = [(r["place"], r["part"], *r["head"], order[i - 1]["place"], order[i - 1]["part"]) for i, r in enumerate(order)]
+    table = F.broadcast(rows.sparkSession.createDataFrame(above, "place int, part int, head long, head_tie long, above int, above_part int"))
+    own, other = (F.struct(F.col(a).alias("place"), F.col(b).alias("part"), F.lit(g).alias("guest")) for a, b, g in (("place", "part", 0), ("above", "above_part", 1)))
+    first = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))
+    kept = [c for c in rows.columns if c not in here]
+    seated = rows.join(table, here).select(*kept, F.explode(F.when(first, F.array(own, other)).otherwise(F.array(own))).alias("at")).select(*kept, "at.*")
+    following = F.lead(F.struct(*columns)).over(Window.partitionBy(*here).orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()))
+    return seated.withColumn("following", following).filter(F.col("guest") == 0).drop(*here, "guest", "tie")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike it is to the edited text's and the next document's.
 
     The edited text has its last third replaced by as much of the next document's start. Null texts count as empty and have an
-    empty fingerprint; repeated rows are treated each; an empty table gives an empty result; only doc_id and text are read.
+    empty fingerprint; repeated rows, and several texts under one id, are treated each (the next of a row may be its own copy); an empty table gives an empty result; only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("prints", winnow(F.col("text")))

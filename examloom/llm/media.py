@@ -21,6 +21,8 @@ from examloom.llm.text_arrays import flat
 
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes nested deeper than this are not gone into; the deepest standard ones lie at six.
+DEPTH = 16
 RATE = 8000
 #: One sample is a block of so many bytes; payloads are padded to a multiple of it.
 UNIT = 64
@@ -99,64 +101,96 @@ def walk(data: bytes, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...
         if end > hi or end < body:
             return
         yield (*path, kind), body, end
-        if kind in CONTAINERS:
+        if kind in CONTAINERS and len(path) < DEPTH:
             yield from walk(data, body, end, (*path, kind))
         lo = end
 
 
-def _table(data: bytes, body: int, dtype: str, width: int) -> np.ndarray:
+class Damaged(ValueError):
+    """A table that does not fit its box, its track or the file."""
+
+
+def _field(data: bytes, form: str, at: int, end: int) -> tuple:
+    if at + struct.calcsize(form) > end:
+        raise Damaged("a box is too short for its fields")
+    return struct.unpack_from(form, data, at)
+
+
+def _table(data: bytes, box: tuple[int, int], dtype: str, width: int) -> np.ndarray:
     """The entries of a counted table behind version, flags and count."""
-    n = struct.unpack_from(">I", data, body + 4)[0]
+    body, end = box
+    n = _field(data, ">I", body + 4, end)[0]
+    if n * width * np.dtype(dtype).itemsize > end - body - 8:
+        raise Damaged("a table has fewer entries than it says")
     return np.frombuffer(data, dtype, n * width, body + 8).reshape(n, width).astype(np.int64)
 
 
 def sample_ranges(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(file offset, size) of every sample, from the chunk, size and offset tables."""
-    body = boxes[b"stsz"][0]
-    same, n = struct.unpack_from(">II", data, body + 4)
+    """(file offset, size) of every sample, from the chunk, size and offset tables. All samples lie within the file, so counts are held against its length."""
+    body, end = boxes[b"stsz"]
+    same, n = _field(data, ">II", body + 4, end)
+    if n * (same or 4) > (len(data) if same else end - body - 12):
+        raise Damaged("more samples than the file has room for")
     sizes = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, body + 12).astype(np.int64)
     kind = b"co64" if b"co64" in boxes else b"stco"
-    chunks = _table(data, boxes[kind][0], ">u8" if kind == b"co64" else ">u4", 1)[:, 0]
-    runs = _table(data, boxes[b"stsc"][0], ">u4", 3)
-    if not len(chunks) or not len(runs) or not n:
-        return np.zeros(0, np.int64), sizes[:0]
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
-    chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
+    chunks = _table(data, boxes[kind], ">u8" if kind == b"co64" else ">u4", 1)[:, 0]
+    runs = _table(data, boxes[b"stsc"], ">u4", 3)
+    if not n:
+        return np.zeros(0, np.int64), sizes
+    lengths = np.diff(np.append(runs[:, 0] - 1, len(chunks)))
+    if not len(chunks) or not len(runs) or runs[0, 0] != 1 or (lengths < 0).any() or (runs[:, 1] > n).any() or (runs[:, 1] * lengths).sum() != n:
+        raise Damaged("chunks do not hold the samples")
+    per_chunk = np.repeat(runs[:, 1], lengths)
+    chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)
     before = np.cumsum(sizes) - sizes
     first = (np.cumsum(per_chunk) - per_chunk)[chunk_of]
-    return chunks[chunk_of] + before - before[first], sizes
+    starts = chunks[chunk_of] + before - before[first]
+    if (starts < 0).any() or (starts + sizes > len(data)).any():
+        raise Damaged("a sample lies outside the file")
+    return starts, sizes
+
+
+def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
+    at, end = boxes[b"mdhd"]
+    wide = bool(_field(data, ">B", at, end)[0])
+    scale, duration = _field(data, ">IQ" if wide else ">II", at + (20 if wide else 12), end)
+    starts, sizes = sample_ranges(data, boxes)
+    keys = _table(data, boxes[b"stss"], ">u4", 1)[:, 0] - 1 if b"stss" in boxes else np.arange(len(starts))
+    if len(keys) and (keys.min() < 0 or keys.max() >= len(starts)):
+        raise Damaged("a key frame is no sample")
+    s, e = starts[keys], starts[keys] + sizes[keys]
+    edge = np.flatnonzero(np.r_[True, s[1:] != e[:-1]]) if len(s) else np.zeros(0, int)
+    ranges = np.stack([s[edge], np.maximum.reduceat(e, edge)], axis=1).tolist() if len(s) else []
+    name = boxes[b"stsd"][0] + 12
+    codec = _field(data, ">4s", name, boxes[b"stsd"][1])[0].decode("latin-1").strip()
+    return {"codec": codec, "timescale": scale, "duration": duration, "samples": len(starts), "keyframes": len(keys), "ranges": ranges}
 
 
 def tracks(data: bytes) -> list[dict]:
-    """Codec, duration and key-frame byte ranges of each track; adjacent key frames are one range."""
-    out: list[dict] = []
+    """Codec, duration and key-frame byte ranges of each track; adjacent key frames are one range.
+
+    A track without all its tables is left out. One whose tables do not fit together, or not the file, is {"damaged": why}.
+    """
     found: list[dict[bytes, tuple[int, int]]] = []
     for path, body, end in walk(data):
         if path == (b"moov", b"trak"):
             found.append({})
         elif found and path[:2] == (b"moov", b"trak"):
             found[-1].setdefault(path[-1], (body, end))
+    out = []
     for boxes in found:
         if not {b"stsd", b"stsz", b"stsc", b"mdhd"} <= boxes.keys() or not {b"stco", b"co64"} & boxes.keys():
             continue
-        at = boxes[b"mdhd"][0]
-        scale, duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
-        starts, sizes = sample_ranges(data, boxes)
-        keys = _table(data, boxes[b"stss"][0], ">u4", 1)[:, 0] - 1 if b"stss" in boxes else np.arange(len(starts))
-        s, e = starts[keys], starts[keys] + sizes[keys]
-        edge = np.flatnonzero(np.r_[True, s[1:] != e[:-1]]) if len(s) else np.zeros(0, int)
-        ranges = np.stack([s[edge], np.maximum.reduceat(e, edge)], axis=1).tolist() if len(s) else []
-        codec = data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16].decode("latin-1").strip()
-        out.append({"codec": codec, "timescale": scale, "duration": duration, "samples": len(starts), "keyframes": len(keys), "ranges": ranges})
+        try:
+            out.append(_track(data, boxes))
+        except Damaged as why:
+            out.append({"damaged": str(why)})
     return out
 
 
 def payload(data: bytes) -> bytes:
-    """The first track's sample bytes, in order."""
-    parts = []
-    for t in tracks(data)[:1]:
-        parts = [data[a:b] for a, b in t["ranges"]]
-    return b"".join(parts)
+    """The first track's sample bytes, in order; none of a damaged track."""
+    return b"".join(data[a:b] for t in tracks(data)[:1] for a, b in t.get("ranges", ()))
 
 
 def _mux_column(text: pa.Array) -> pa.Array:
@@ -180,7 +214,8 @@ def store_texts(text: Column) -> Column:
 
 
 def read_media(media: Column) -> Column:
-    """struct<payload, feature> of each file; feature is JSON, a list with an object per track. A file without tracks has an empty payload."""
+    """struct<payload, feature> of each file; feature is JSON, a list with an object per track. A null or cut file, or one without tracks, has an empty payload and
+    no tracks; damaged tables are told in the feature, and never fail a task or take more memory than the file."""
     return F.arrow_udf(_read_column, READ)(media)
 
 

@@ -223,11 +223,42 @@ def test_fingerprint_documents(spark, odd, none, monkeypatch):
         assert rows[i]["n_chars"] == len(t)
         assert rows[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - third] + following[:third]).encode()).hexdigest(), i
         assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
+        of = {k: set(re.findall(r"([0-9A-F]+):", rows[i][k])) for k in ("fingerprint", "edited_fingerprint")}
+        then = set(re.findall(r"([0-9A-F]+):", rows[order[(k + 1) % len(order)]]["fingerprint"]))
+        for name, other in (("near_edited", of["edited_fingerprint"]), ("near_next", then)):
+            both, either = of["fingerprint"] & other, of["fingerprint"] | other
+            assert rows[i][name] == pytest.approx(len(both) / len(either) if either else 1.0), (i, name)
+    whole = {r["text"]: r["p"] for r in spark.createDataFrame([((t[: len(t) - len(t) // 3] + texts[order[(k + 1) % len(order)]][: len(t) // 3]),) for k, (i, t) in enumerate((i, texts[i]) for i in order)], "text string").select("text", fingerprint.shown(fingerprint.winnow(F.col("text"))).alias("p")).collect()}
+    for k, i in enumerate(order):
+        t = texts[i]
+        assert rows[i]["edited_fingerprint"] == whole[t[: len(t) - len(t) // 3] + texts[order[(k + 1) % len(order)]][: len(t) // 3]]
     assert rows[1]["fingerprint"] == rows[2]["fingerprint"] != "" and rows[2]["near_next"] == 1 and rows[8]["fingerprint"] == ""
     assert fingerprint.fingerprint_documents(odd).count() == odd.count()
     assert fingerprint.fingerprint_documents(none).count() == 0
 
 
+def test_successors_wherever_ids_lie(spark, monkeypatch):
+    """Outlying ids, one id with a third of the rows, and many rows without one: blocks stay small and no successor is lost."""
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", 10)
+    ids = [*range(200), 1 << 60, -(1 << 62), (1 << 62) + 5, *[77] * 150, *[None] * 100]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    most = fingerprint.placed(df.withColumn("tie", F.xxhash64("text"))).groupBy("place", "part").count().agg(F.max("count")).first()[0]
+    assert most <= 40
+    got = fingerprint.with_successors(df, ["text"]).select("doc_id", "text", "following.text").collect()
+    assert len(got) == len(rows)
+    after = {r[1]: r[2] for r in got}
+    of = {t: i for i, t in rows}
+    seen, at = [], rows[200][1]
+    for _ in rows:
+        seen.append(at)
+        at = after[at]
+    assert len(set(seen)) == len(rows)
+    start = seen.index(f"text {ids.index((1 << 62) + 5)}")
+    order = [of[t] for t in seen[start:] + seen[:start]]
+    assert order == sorted((i for i in ids if i is not None), reverse=True) + [None] * 100
+
+
 def test_pipeline(spark, odd, none, labels, sf):
     import corpus_pipeline as p
 

@@ -7,6 +7,8 @@ import struct
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from examloom.llm import media, url_filter
@@ -41,6 +43,38 @@ def test_walk_and_sample_tables():
     assert media.tracks(b"") == [] and media.tracks(file[:40]) == [] and list(media.walk(b"\0\0\0\x04abcd")) == []
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_damaged_files(data):
+    """Whatever is changed or cut off, a file is read to its end or its damage is told."""
+    whole = media.mux(media.padded(bytes(range(256)) * 300))
+    file = bytearray(whole)
+    tables = [hi for path, lo, hi in media.walk(whole) if path[-1] in (b"stsz", b"stsc", b"stco", b"mdhd", b"stsd", b"stss")]
+    for _ in range(data.draw(st.integers(1, 4))):
+        at = data.draw(st.sampled_from(tables)) - data.draw(st.integers(1, 40))
+        file[at] = data.draw(st.integers(0, 255))
+    file = bytes(file)[: data.draw(st.sampled_from([len(file), len(file), len(file) - 1, len(file) - 70, 40]))]
+    for t in media.tracks(file):
+        assert "damaged" in t or all(0 <= a <= b <= len(file) for a, b in t["ranges"])
+    assert len(media.payload(file)) <= len(file)
+
+
+def test_a_count_beyond_the_file():
+    file = bytearray(media.mux(media.padded(b"x" * 1000)))
+    at = file.index(b"stsz")
+    file[at + 12 : at + 16] = b"\xff\xff\xff\xff"
+    assert media.tracks(bytes(file)) == [{"damaged": "more samples than the file has room for"}] and media.payload(bytes(file)) == b""
+
+
+def test_read_media_of_odd_files(spark):
+    good = media.mux(media.padded(b"abc"))
+    bad = good.replace(b"stsc" + bytes(4), b"stsc" + bytes(3) + b"\1").replace(b"\0\0\0\1\0\0\0\1\0\0\0\1", b"\0\0\0\1\0\0\0\1\0\0\1\0")
+    rows = spark.createDataFrame([(1, good), (2, None), (3, b""), (4, good[:50]), (5, bad)], "id int, media binary")
+    got = {r["id"]: r["r"] for r in rows.select("id", media.read_media(F.col("media")).alias("r")).collect()}
+    assert bytes(got[1]["payload"])[:3] == b"abc"
+    assert [got[i]["feature"] for i in (2, 3, 4)] == ["[]"] * 3 and "damaged" in got[5]["feature"] and bytes(got[5]["payload"]) == b""
+
+
 def test_media_columns(spark, odd, none):
     rows = {r["doc_id"]: r for r in media.media_columns(odd).collect()}
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in odd.collect()}
