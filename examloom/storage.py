@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where no one has set it (tests), a new folder of our own."""
+    """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a local session (tests) gets a new folder of its own, as all its tasks run on this machine; a cluster has to name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and named != _DEFAULT:
+    if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -25,9 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
-    The result has no lineage behind it: a lost executor costs a reread, not a recomputation.
+    The result has no lineage behind it: a lost executor costs a reread, not a recomputation. Results read these tables for as long
+    as the application lasts, so they are deleted when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/examloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
