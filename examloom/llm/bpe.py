@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from examloom.llm.pretokens import Encoder, keeping_spaces
+from examloom.llm.batches import in_small_batches
+from examloom.llm.pretokens import Encoder, keeping_spaces, strings
 
 #: Rank of a pair that never merges.
 NONE = (1 << 62) - 1
@@ -230,8 +231,7 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def encoded(column: pa.Array) -> pa.Array:
-        texts = [t or "" for t in column.to_pylist()]
-        return pa.array([x.astype("<u4").tobytes() for x in codec(path).encode(texts)], pa.binary())
+        return pa.array([x.astype("<u4").tobytes() for texts in strings(column) for x in codec(path).encode(texts)], pa.binary())
 
     return encoded(text)
 
@@ -247,9 +247,25 @@ def decode(ids: Column, path: str) -> Column:
     return decoded(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """struct<ids, decoded>: ``encode`` and ``decode`` in one function, so that a text is encoded once and by one worker."""
+    kind = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def both(column: pa.Array) -> pa.Array:
+        c, ids, decoded = codec(path), [], []
+        for texts in strings(column):
+            for x in c.encode(texts):
+                ids.append(x.astype("<u4").tobytes())
+                decoded.append(c.decode(np.frombuffer(ids[-1], "<u4")))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded text of every document.
 
     Null and empty texts have no ids. Repeated rows give repeated rows, an empty table an empty one; other columns aren't read.
     """
-    return docs.select("doc_id", encode(F.col("text"), path).alias("ids")).withColumn("decoded", decode(F.col("ids"), path))
+    return in_small_batches(docs).select("doc_id", round_trip(F.col("text"), path).alias("r")).select("doc_id", "r.ids", "r.decoded")

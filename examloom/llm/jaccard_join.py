@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.llm.batches import in_small_batches
 from examloom.llm.components import components
 from examloom.llm.text_arrays import LOWER, MIX_A, MIX_B, byte_values, flat, groups, mixed, span_hashes, words
 from examloom.storage import materialize
@@ -309,7 +310,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id count each: equal texts are one class, and different texts under one id are sets of their own, each with the component of
     its own set. An empty table gives an empty result; only doc_id and text are read, and rows without a doc_id have no component.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(docs.mapInArrow(first_fragments, SETS))
     able = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     keys = ["n", "key_a", "key_b"]

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.llm.batches import in_small_batches
 from examloom.llm.labelled import remainder, sample
 from examloom.llm.text_arrays import flat, pieces
 
@@ -166,7 +167,7 @@ def decide(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES) -> LanguageModel:
     """Fits on a bounded sample of the documents of each language, from rows with crc32(doc_id) mod 4 other than 2 and a lang; an id with several languages takes the greatest."""
-    usable = docs.select("doc_id", "lang", "text").filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    usable = in_small_batches(docs).select("doc_id", "lang", "text").filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     picked = sample(usable, usable.select("doc_id", "lang"), "lang", per_language, language_bytes)
     rows = picked.select("doc_id", F.col("label").alias("lang"), F.arrow_udf(bag, T.BinaryType())("text").alias("bag")).collect()
     rows.sort(key=lambda r: r["doc_id"])

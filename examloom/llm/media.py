@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.llm.batches import in_small_batches
 from examloom.llm.text_arrays import flat
 
 #: Boxes that hold boxes.
@@ -219,10 +220,22 @@ def read_media(media: Column) -> Column:
     return F.arrow_udf(_read_column, READ)(media)
 
 
+def _both_columns(text: pa.Array) -> pa.Array:
+    media = _mux_column(text)
+    payload, feature = _read_column(media).flatten()
+    return pa.StructArray.from_arrays([media, payload, feature], names=["media", "payload", "feature"])
+
+
+def store_and_read(text: Column) -> Column:
+    """struct<media, payload, feature>: ``store_texts`` and ``read_media`` of its bytes in one function, so that a file is made once."""
+    return F.arrow_udf(_both_columns, T.StructType([T.StructField("media", T.BinaryType()), *READ]))(text)
+
+
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the stored media and what reading it back gives.
 
     Null and empty texts are one block of zeros. Repeated rows give repeated rows, an empty table an empty one; other columns aren't read.
     """
-    stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), store_texts(F.col("text")).alias("media"))
-    return stored.withColumn("read", read_media(F.col("media"))).select("doc_id", "n_bytes", "media", "read.payload", "read.feature")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    stored = in_small_batches(docs).select("doc_id", size.alias("n_bytes"), store_and_read(F.col("text")).alias("r"))
+    return stored.select("doc_id", "n_bytes", "r.media", "r.payload", "r.feature")

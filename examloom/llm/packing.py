@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from examloom.llm.pretokens import Encoder, dropping_spaces
+from examloom.llm.batches import in_small_batches
+from examloom.llm.pretokens import Encoder, dropping_spaces, strings
 from examloom.storage import materialize
 
 CAPACITY = 4096
@@ -45,7 +46,8 @@ class WordCodec:
         self.encoder = Encoder(dropping_spaces, self._words)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        # The library's results are objects of some hundred bytes a word.
+        ids = [e.ids for lo in range(0, len(words), 4096) for e in self.library.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
@@ -72,10 +74,9 @@ def word_codec(path: str) -> WordCodec:
 def token_pieces(text: Column, path: str, capacity: int = CAPACITY) -> Column:
     """array<struct<start, doc_tokens, ids>>: a text's ids and END, cut every ``capacity`` ids; ids are little-endian unsigned 32-bit."""
 
-    @F.arrow_udf(PIECES)
-    def cut(column: pa.Array) -> pa.Array:
+    def part(texts: list[str]) -> pa.Array:
         starts, totals, parts, offsets = [], [], [], [0]
-        for ids in word_codec(path).encode([t or "" for t in column.to_pylist()]):
+        for ids in word_codec(path).encode(texts):
             ids = np.append(ids, END).astype("<u4")
             for lo in range(0, len(ids), capacity):
                 starts.append(lo)
@@ -85,12 +86,17 @@ def token_pieces(text: Column, path: str, capacity: int = CAPACITY) -> Column:
         values = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(parts, pa.binary())], names=["start", "doc_tokens", "ids"])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
+    @F.arrow_udf(PIECES)
+    def cut(column: pa.Array) -> pa.Array:
+        done = [part(texts) for texts in strings(column)]
+        return pa.concat_arrays(done) if done else part([])
+
     return cut(text)
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, start, doc_tokens, ids of every piece; null and empty texts are the one id END."""
-    return docs.select("doc_id", F.explode(token_pieces(F.col("text"), path)).alias("piece")).select("doc_id", "piece.*")
+    return in_small_batches(docs).select("doc_id", F.explode(token_pieces(F.col("text"), path)).alias("piece")).select("doc_id", "piece.*")
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -173,7 +179,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, *digests: Column) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id and offset of every piece, and ``digests`` of its ids.
 
-    Pieces are written once, without their ids unless ``digests`` asks for them.
+    Pieces are written once, without their ids unless ``digests`` asks for them. Null and empty texts are one piece of the one id END; repeated rows,
+    and texts under one id, are placed each; an empty table gives an empty result; only doc_id and text are read.
     """
     cut = tokenize(docs, path).withColumn("length", F.expr("cast(length(ids) div 4 as int)"))
     return pack(materialize(cut.select("doc_id", "start", "length", "doc_tokens", *digests)))

@@ -1,19 +1,20 @@
 """Cutting texts into pre-tokens with numpy, and giving each distinct pre-token its ids once.
 
 A text is a vector of code points. Class changes (letter, number, space, other) mark where pre-tokens start; the
-rules about single spaces, digits and contractions move some of these marks. Equal pre-tokens have equal 64-bit
-hashes, so a task encodes every distinct one once and lays the ids out by repetition.
+rules about single spaces, digits and contractions move some of these marks. Pre-tokens are grouped by 64-bit hashes and
+compared character by character, so a task encodes every distinct one once and lays the ids out by repetition.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
-from examloom.llm.text_arrays import mixed, span_hashes
+from examloom.llm.text_arrays import flat, groups, mixed, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points with the White_Space property.
@@ -23,7 +24,16 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points are handled in runs of about this many; a longer text comes alone.
 BLOCK = 1 << 18
 #: A task forgets its pre-tokens when it knows so many.
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 1 << 18
+#: Bytes of text that become Python strings at once.
+STRING_BYTES = 1 << 20
+
+
+def strings(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column (null: empty) in runs of about STRING_BYTES: a whole batch as Python strings would take several times its size."""
+    _, offsets = flat(column)
+    for lo, hi in groups(offsets, STRING_BYTES):
+        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
 @cache
@@ -100,56 +110,86 @@ def keeping_spaces(x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.append(starts[1:], n)
 
 
+def rows_of(store: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of store[start : start + size] for all rows, one after the other."""
+    at = np.append(0, np.cumsum(sizes))
+    return store[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])], at
+
+
 class Encoder:
-    """Ids of texts. ``encode_words`` gets distinct pre-tokens and returns their ids in a row, and the number of each one's; it is called for unknown ones only."""
+    """Ids of texts. ``encode_words`` gets distinct pre-tokens and returns their ids in a row, and the number of each one's; it is called for unknown ones only.
+
+    Known pre-tokens lie in flat arrays in order of their hashes, with their characters: a hash only says where to look, and
+    characters are compared, so two pre-tokens of one hash never get each other's ids.
+    """
 
     def __init__(self, cut: Callable, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.cut, self.encode_words = cut, encode_words
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.first = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids, counts = self.encode_words(words)
-        k, n = len(self.known), len(keys)
-        while k + n > len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.first[k : k + n] = self.used + np.cumsum(counts) - counts
-        self.count[k : k + n] = counts
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known.update(zip(keys, range(k, k + n), strict=True))
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.ids_at = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
+        self.points, self.points_at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+
+    @staticmethod
+    def _append(store: np.ndarray, at: np.ndarray, k: int, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds rows k, k + 1 ... to rows of ``store`` that start at ``at``."""
+        n, used = len(counts), int(at[k])
+        if k + n >= len(at):
+            at = np.resize(at, max(2 * len(at), k + n + 1))
+        if used + len(values) > len(store):
+            store = np.resize(store, max(2 * len(store), used + len(values)))
+        np.cumsum(counts, out=at[k + 1 : k + n + 1])
+        at[k + 1 : k + n + 1] += used
+        store[used : used + len(values)] = values
+        return store, at
+
+    def _learn(self, hashes: np.ndarray, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        points, _ = rows_of(x, starts, ends - starts)
+        text = points.tobytes().decode("utf-32-le", "surrogatepass")
+        at = np.append(0, np.cumsum(ends - starts)).tolist()
+        ids, counts = self.encode_words([text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        k = len(self.hashes)
+        self.ids, self.ids_at = self._append(self.ids, self.ids_at, k, ids, counts)
+        self.points, self.points_at = self._append(self.points, self.points_at, k, points, ends - starts)
+        where = np.searchsorted(self.hashes, hashes)
+        self.slots = np.insert(self.slots, where, np.arange(k, k + len(hashes), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, where, hashes)
+
+    def _plainly(self, texts: list[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens, number of each one's) without hashes."""
+        whole = "".join(texts)
+        ids, counts = self.encode_words([whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return ids.astype(np.int32), counts
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a few texts."""
         x, offsets = code_points(texts)
-        if not len(x):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        starts, ends = self.cut(x, offsets)
+        starts, ends = self.cut(x, offsets) if len(x) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         hashes = span_hashes(mixed(x.astype(np.uint64)), starts, ends)
         distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MOST_KNOWN:
+        sizes = ends - starts
+        if len(self.hashes) + len(distinct) > MOST_KNOWN:
             self.forget()
-        keys = distinct.tolist()
-        unknown = [i for i, k in enumerate(keys) if k not in self.known]
-        if unknown:
-            whole = "".join(texts)
-            at = example[unknown]
-            self._learn([keys[i] for i in unknown], [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-        count = self.count[slot]
-        total = np.zeros(len(slot) + 1, np.int64)
-        np.cumsum(count, out=total[1:])
-        ids = self.ids[np.repeat(self.first[slot] - total[:-1], count) + np.arange(total[-1])]
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if new.any():
+            self._learn(distinct[new], x, starts[example[new]], ends[example[new]])
+            at = np.searchsorted(self.hashes, distinct)
+        slot = self.slots[at]
+        own, _ = rows_of(x, starts, sizes)
+        known_sizes = self.points_at[slot + 1] - self.points_at[slot]
+        same = np.array_equal(known_sizes[inverse], sizes) and np.array_equal(rows_of(self.points, self.points_at[slot][inverse], sizes)[0], own)
+        if same:
+            slot = slot[inverse]
+            count = self.ids_at[slot + 1] - self.ids_at[slot]
+            ids, _ = rows_of(self.ids, self.ids_at[slot], count)
+        else:
+            ids, count = self._plainly(texts, starts, ends)
+        total = np.append(0, np.cumsum(count))
         return ids, total[np.searchsorted(starts, offsets)]
 
     def all(self, texts: list[str]):

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.llm.batches import in_small_batches
 from examloom.llm.labelled import remainder, sample
 from examloom.llm.text_arrays import byte_values, flat, pieces, span_hashes, words
 
@@ -106,7 +107,7 @@ def train(bags: list[bytes], labels: np.ndarray, dim: int = 8, epochs: int = 6,
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> SubwordClassifier:
     """Fits on a bounded sample of labelled documents of the classes 0 and 1; ``docs`` needs doc_id and text, ``labels`` doc_id and the label."""
-    picked = sample(docs, labels.select("doc_id", label).filter(F.col(label).isin(0, 1)), label, per_class, class_bytes)
+    picked = sample(in_small_batches(docs), labels.select("doc_id", label).filter(F.col(label).isin(0, 1)), label, per_class, class_bytes)
     rows = picked.select("doc_id", "label", F.arrow_udf(bag, T.BinaryType())("text").alias("bag")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([bytes(r["bag"]) for r in rows], np.array([int(r["label"]) for r in rows], np.int64))

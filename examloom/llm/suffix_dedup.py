@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.llm.batches import in_small_batches
 from examloom.llm.text_arrays import MIX_A, MIX_B, MIX_C, byte_values, flat, groups, mixed
 
 LENGTH, GRAM = 100, 32
@@ -414,13 +415,15 @@ def removed_windows(texts: DataFrame) -> DataFrame:
     return merged.select("doc_id", "start", "windows")
 
 
-CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType()))])
+def cut_out(text: Column, windows: Column, as_text: bool = False) -> Column:
+    """struct<kept, starts, lengths>: a text's bytes without the given array<struct<start, windows>>, and the runs that are removed.
 
+    With ``as_text``, kept is a string; bytes of characters that were cut through fall out of it.
+    """
+    longs = T.ArrayType(T.LongType())
+    kind = T.StructType([T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("starts", longs), T.StructField("lengths", longs)])
 
-def cut_out(text: Column, windows: Column) -> Column:
-    """struct<kept, starts, lengths>: a text's bytes without the given array<struct<start, windows>>, and the runs that are removed."""
-
-    @F.arrow_udf(CUT)
+    @F.arrow_udf(kind)
     def cut(column: pa.Array, runs: pa.Array) -> pa.Array:
         data, offsets = flat(column)
         kept, starts, lengths, counts = [], [], [], [0]
@@ -435,34 +438,26 @@ def cut_out(text: Column, windows: Column) -> Column:
                 gone = np.cumsum(delta[:-1]) > 0
                 lo, hi = _runs(gone)
                 t = t[~gone]
-            kept.append(t.tobytes())
+            kept.append(t.tobytes().decode("utf-8", "ignore") if as_text else t.tobytes())
             starts.append(lo)
             lengths.append(hi - lo)
             counts.append(counts[-1] + len(lo))
         at = pa.array(np.array(counts, np.int32))
         lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if x else NO_DATA)) for x in (starts, lengths)]
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *lists], names=["kept", "starts", "lengths"])
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string() if as_text else pa.binary()), *lists], names=["kept", "starts", "lengths"])
 
     return cut(text, windows)
 
 
-def kept_text(kept: Column) -> Column:
-    """What is left as text; bytes of characters that were cut through fall out."""
-
-    @F.arrow_udf(T.StringType())
-    def text(column: pa.Array) -> pa.Array:
-        return pa.array([(b.as_py() or b"").decode("utf-8", "ignore") for b in column], pa.string())
-
-    return text(kept)
-
-
-def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, kept (bytes), starts and lengths of the removed runs of every document; with ``carry`` also ``carried``, a struct of all other columns.
+def remove_repeats(docs: DataFrame, carry: bool = False, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, kept (bytes), starts and lengths of the removed runs of every document; with ``carry`` also ``carried``, a struct of all other columns;
+    with ``as_text``, kept is a string without the bytes of characters that were cut through.
 
     Null and empty texts, and those under 100 bytes, keep all they have. Rows with one doc_id count as one document: none is earlier than the
     other, and what is removed is removed from each. Rows without a doc_id are left as they are. An empty table gives an empty
     result; other columns than doc_id and text are carried along or not read, whatever their names.
     """
+    docs = in_small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     if carry and others:
@@ -474,5 +469,5 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     nothing = F.lit(None).cast(gone.schema["windows"].dataType)
     # Rows without an id stay out of the joins, where they would all meet in one task.
     out = named.join(gone, "doc_id", "left").unionByName(texts.filter("doc_id is null").withColumn("windows", nothing))
-    out = out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows")).alias("c"), *rest)
+    out = out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut_out(F.col("text"), F.col("windows"), as_text).alias("c"), *rest)
     return out.select("doc_id", "n_bytes", "c.kept", "c.starts", "c.lengths", *(["carried"] if rest else []))

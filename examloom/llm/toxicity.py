@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.llm.batches import in_small_batches
 from examloom.llm.labelled import remainder, sample
 from examloom.llm.quality import training_labels
 from examloom.llm.text_arrays import LOWER, flat
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Fits on a bounded sample of labelled documents of the classes 0 and 1, of any length; the prior is counted over all labels."""
     labels = labels.select("doc_id", label).filter(F.col(label).isin(0, 1))
     counts = {r[label]: r["n"] for r in labels.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    rows = sample(docs, labels, label, per_class, class_bytes).select("doc_id", "label", F.encode("text", "UTF-8").alias("text")).collect()
+    rows = sample(in_small_batches(docs), labels, label, per_class, class_bytes).select("doc_id", "label", F.encode("text", "UTF-8").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     sides = [[bytes(r["text"]) for r in rows if r["label"] == c] for c in (1, 0)]
     total = max(1, counts.get(0, 0) + counts.get(1, 0))

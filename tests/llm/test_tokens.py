@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from examloom.llm import bpe, packing
+from examloom.llm import bpe, packing, pretokens
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 PARTS = ["a", "the", "é", "'s", "'t", "'ll", " ", "  ", "\n", "\r\n", "\t", "1", "23", "!", "'", "日本", "🙂", " ", "́", "<|endoftext|>", "don't", "''s", "\x1c", "_", "'S", "word" * 30, "²", "ΑΣ", "İ", "ß", "​"]
@@ -111,6 +111,15 @@ def test_little_padding():
     assert sum(n * k for n, k in histogram.items()) / (4096 * sum(c for c, _ in packs)) > 0.99
 
 
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """Pre-tokens whose hashes agree get their own ids all the same."""
+    real = pretokens.span_hashes
+    monkeypatch.setattr(pretokens, "span_hashes", lambda *a: real(*a) % np.uint64(11))
+    codec, library = packing.WordCodec(WORDS), Tokenizer.from_file(WORDS)
+    texts = mixtures(200)
+    assert [g.tolist() for g in codec.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("capacity", [1, 7])
 def test_no_pieces(capacity):
     assert packing.patterns({}, capacity) == []
