@@ -27,8 +27,8 @@ from examloom.storage import materialize
 CAPACITY = 4096
 #: Id behind each document's tokens.
 END = 2
-#: Pieces of one length are ranked in so many parts.
-PARTS = 256
+#: Pieces of one length are ranked in parts of about so many.
+PART_ROWS = 100_000
 PIECES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]))
 SLOT = "length int, first_rank long, packs long, first_sequence long, offset long"
 
@@ -160,19 +160,28 @@ def slots(packs: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, and any other columns); each has at most ``capacity`` tokens.
 
-    Equal rows are placed each. An empty table gives an empty one.
+    Equal rows are placed each. An empty table gives an empty one. Pieces of one length are ranked in parts of about PART_ROWS, so that a length that
+    many pieces have is not one task; a piece looks for its slot among those of a bucket of ranks, of which there are about two.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = spark.createDataFrame(slots(patterns(histogram, capacity)), SLOT)
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int"))
+    placed = slots(patterns(histogram, capacity))
+    wide: dict[int, int] = {}
+    for length, *_ in placed:
+        wide[length] = wide.get(length, 0) + 1
+    # A bucket is as wide as a slot of the length is on average.
+    wide = {n: max(1, histogram[n] // k) for n, k in wide.items()}
+    table = spark.createDataFrame([(b, *x) for x in placed for b in range(x[1] // wide[x[0]], (x[1] + x[2] - 1) // wide[x[0]] + 1)], f"bucket long, {SLOT}")
+    # At most ``capacity`` rows.
+    plan = F.broadcast(spark.createDataFrame([(n, -(-k // PART_ROWS), wide.get(n, 1)) for n, k in histogram.items()], "length int, parts int, wide long"))
+    parted = pieces.join(plan, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int"))
     ranked = parted.withColumn("rank_in_part", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start")) - 1)
     sizes = parted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = ranked.join(sizes, ["length", "part"]).withColumn("rank", F.col("rank_in_part") + F.col("before"))
+    ranked = ranked.join(sizes, ["length", "part"]).withColumn("rank", F.col("rank_in_part") + F.col("before")).withColumn("bucket", F.expr("rank div wide"))
     r, s = ranked.alias("r"), F.broadcast(table).alias("s")
-    here = (F.col("r.length") == F.col("s.length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("packs"))
+    here = (F.col("r.length") == F.col("s.length")) & (F.col("r.bucket") == F.col("s.bucket")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("packs"))
     return r.join(s, here).select(*(f"r.{c}" for c in pieces.columns), (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("s.offset").alias("offset"))
 
 

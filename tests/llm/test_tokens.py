@@ -111,6 +111,24 @@ def test_little_padding():
     assert sum(n * k for n, k in histogram.items()) / (4096 * sum(c for c, _ in packs)) > 0.99
 
 
+def test_ranks_in_parts(spark, monkeypatch):
+    """Many pieces of one length, in many parts: each sequence is gapless and holds what fits."""
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    rows = [(i, 0, 64 if i % 3 else 1 + i % 40) for i in range(900)] + [(5, 0, 64)] * 3
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, start long, length int").repartition(5), 64).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((i, n) for i, _, n in rows)
+    held: dict = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(held) == list(range(len(held)))
+    for spans in held.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     """Pre-tokens whose hashes agree get their own ids all the same."""
     real = pretokens.span_hashes
