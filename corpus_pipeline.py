@@ -33,7 +33,7 @@ def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; every document stays, with its new n_chars. A null text becomes an empty one."""
-    cut = suffix_dedup.remove_repeats(docs, carry=True).withColumn("text", suffix_dedup.kept_text(F.col("kept")))
+    cut = suffix_dedup.remove_repeats(docs, carry=True, as_text=True).withColumnRenamed("kept", "text")
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.select(*[own[c].alias(c) if c in own else F.col("carried")[c].alias(c) for c in docs.columns])
 
