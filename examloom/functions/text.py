@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: White space as scripts in browsers see it: ASCII white space, no-break space and byte order mark.
 WS = r"[\s\x{00A0}\x{FEFF}]"
+#: Fixed value: a question's printed number.
 QUESTION_LABEL = r"(?i)^\s*(?:q(?:uestion)?\s*)?\d{1,3}\s*[.):\-–—]\s+"
 #: Openings that identify no question.
 GENERIC_OPENINGS = ("which", "what", "select", "choose", "according", "refer", "please", "in the", "the most", "how", "why", "where", "case stem", "question")
-ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
-#: (name, pattern with the label as its group), in the order they are tried.
+#: Fixed values: (name, pattern with the label as its group), in the order they are tried.
 LABEL_STYLES = (
     ("roman", r"^([ivxlIVXL]{1,6})\.\s+"),
     ("roman", r"^\(?([ivxlIVXL]{1,6})\)\s*"),
@@ -151,6 +151,13 @@ def strip_table(c: Column) -> Column:
     return F.when(F.concat(c, F.lit("\n")).rlike(r"\|[^\n]*\n[ \t]*[|:\-\s]*-") & (bare != ""), bare).otherwise(c)
 
 
+def roman_value(label: Column) -> Column:
+    """the number that a numeral of i, v, x and l in one case says, null for anything else: a figure counts against a greater one behind it."""
+    figures = F.transform(F.regexp_extract_all(F.lower(label), F.lit("([ivxl])"), 1), lambda c: F.when(c == "i", 1).when(c == "v", 5).when(c == "x", 10).otherwise(50))
+    signed = F.transform(figures, lambda x, i: F.when(F.get(figures, i + 1) > x, -x).otherwise(x))
+    return F.when(label.rlike("^([ivxl]+|[IVXL]+)$"), F.aggregate(signed, F.lit(0), lambda a, x: a + x))
+
+
 def strip_enumeration(options: Column) -> Column:
     """struct<options, ambiguous>. Labels go where all options have the same style, in sequence from its start, with text behind.
 
@@ -170,8 +177,7 @@ def _without_labels(options: Column, name: str, pattern: str) -> Column:
     labels = F.transform(options, lambda o: F.regexp_extract(o, pattern, 1))
     every = F.forall(options, lambda o: o.rlike(pattern)) & F.forall(rest, lambda r: F.length(r) > 0)
     if name == "roman":
-        numerals = F.slice(F.array(*map(F.lit, ROMAN)), F.lit(1), F.least(n, F.lit(len(ROMAN))))
-        sequence = (labels == numerals) | (labels == F.transform(numerals, F.upper))
+        sequence = F.coalesce(F.transform(labels, roman_value) == F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(False))
     elif name == "number":
         sequence = F.transform(labels, lambda x: x.try_cast("int")) == F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     else:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from examloom.functions import text as tx
 
 CONFIDENCES = ("certain", "likely", "unsure")
-REFERENCE = r"(?i)\b(?:question\s*\d+|q\d+|(?:previous|above)\s+question)\b"
-MATCHING = r"(?i)\b(?:match(?:es|ed|ing)?|pair(?:s|ed|ing)?)\b"
+#: Words that refer to another question, or ask for a matching.
+REFERENCE = r"(?i)\b(question\s+\d+|q\d+|q\s+\d+|previous\s+question|above\s+question)\b"
+MATCHING = r"(?i)\bmatch(?:es|ed|ing)?\b|\bpair(?:s|ed|ing)?\b"
 
 
 def chunk_violations(planned: DataFrame, worker: DataFrame) -> DataFrame:

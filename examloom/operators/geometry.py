@@ -10,10 +10,13 @@ FOOTER = 975.0
 
 def next_tops(rows: DataFrame) -> DataFrame:
     """Each row with ``next_top``, the nearest prompt that starts below its options in the same column of its page."""
-    o = rows.select("run_id", "page", F.col("row_id").alias("other"), F.col("py0").alias("top"), F.col("px0").alias("left"), F.col("px1").alias("right"))
-    near = (F.col("other") != F.col("row_id")) & (F.col("top") > F.col("oy0")) & (F.col("right") > F.col("ox0")) & (F.col("left") < F.col("ox1"))
-    below = rows.select("run_id", "page", "row_id", "oy0", "ox0", "ox1").join(o, ["run_id", "page"]).filter(near).groupBy("run_id", "row_id").agg(F.min("top").alias("next_top"))
-    return rows.join(below, ["run_id", "row_id"], "left")
+    # A page has some ten rows, and some hundred at most: they meet in one array, which is shuffled once.
+    row = F.struct(*(c for c in rows.columns if c not in ("run_id", "page")))
+    pages = rows.groupBy("run_id", "page").agg(F.collect_list(row).alias("all"))
+    near = lambda r: lambda o: (o["row_id"] != r["row_id"]) & (o["py0"] > r["oy0"]) & (o["px1"] > r["ox0"]) & (o["px0"] < r["ox1"])
+    below = lambda r: F.array_min(F.transform(F.filter("all", near(r)), lambda o: o["py0"]))
+    each = F.explode(F.transform("all", lambda r: F.struct(r.alias("row"), below(r).alias("next_top"))))
+    return pages.select("run_id", "page", each.alias("r")).select("run_id", "page", "r.row.*", "r.next_top").select(*rows.columns, "next_top")
 
 
 def page_boundary(rows: DataFrame) -> DataFrame:

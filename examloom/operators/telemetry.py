@@ -31,10 +31,15 @@ def batch_progress(runs: DataFrame) -> DataFrame:
     return runs.groupBy("job_id").agg((F.sum(F.col("progress") * w) / F.sum(w)).alias("progress"))
 
 
+def utc_day(t: Column) -> Column:
+    """the UTC day of an instant, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(t) / F.lit(86_400_000_000)).cast("int"))
+
+
 def daily_quota(log: DataFrame, limit: int = 500) -> DataFrame:
     """Requests per UTC day and model, and what is left of the allowance."""
     n = F.count("*")
-    return log.groupBy(F.to_date("t").alias("day"), "model").agg(n.alias("requests"), F.greatest(F.lit(0), F.lit(limit) - n).alias("left"))
+    return log.groupBy(utc_day(F.col("t")).alias("day"), "model").agg(n.alias("requests"), F.greatest(F.lit(0), F.lit(limit) - n).alias("left"))
 
 
 def stage_totals(log: DataFrame) -> DataFrame:

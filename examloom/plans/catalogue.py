@@ -166,9 +166,14 @@ def dedupe_by_label(t: Tables) -> DataFrame:
     return stitch.best_of(rows, "run_id", "label")
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A run is a document of at most 500 rows: what is folded row by row is one group of its own."""
+    return rows.withColumn("run_id", F.concat("run_id", F.lit("/"), F.expr("string(pos div 500)")))
+
+
 @query()
 def dedupe_keep_best(t: Tables) -> DataFrame:
-    return stitch.deduped(t.v1.withColumn("label", F.when(F.col("pos") % 7 == 0, "").otherwise((F.col("pos") % 40).cast("string"))))
+    return stitch.deduped(_bounded(t.v1).withColumn("label", F.when(F.col("pos") % 7 == 0, "").otherwise((F.col("pos") % 40).cast("string"))))
 
 
 @query(
@@ -447,7 +452,7 @@ def twin_candidates(t: Tables) -> DataFrame:
 
 @query()
 def reconcile_windows(t: Tables) -> DataFrame:
-    return reconcile.reconciled(t.seen)
+    return reconcile.reconciled(_bounded(t.seen))
 
 
 @query(
@@ -653,26 +658,27 @@ def truth_score(t: Tables) -> DataFrame:
     return grading.truth_score(t.v1, truth)
 
 
-def _firsts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    start = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    documents = t.documents
-    return documents.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), start.alias("text")), documents.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), start.alias("text"))
+def _alike(t: Tables) -> DataFrame:
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return grading.similarity_candidates(texts, texts).filter("ref_id < var_id")
 
 
-_FOLDED = squeezed("regexp_replace(regexp_replace(regexp_replace(array_to_string(list_slice(string_split(text, ' '), 1, 12), ' '), '[‘’ʼ]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g')")
+_FOLDED = squeezed("regexp_replace(regexp_replace(regexp_replace(text, '[‘’ʼ]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g')")
 
 
 @query(
     f"""WITH k AS (SELECT doc_id, list_distinct(list_filter(string_split({_FOLDED}, ' '), lambda x: length(x) > 2)) AS tk FROM documents), f AS (SELECT doc_id, len(tk) AS n, unnest(tk) AS tok FROM k)
-    SELECT r.doc_id AS ref_id, v.doc_id AS var_id, round(count(*) / greatest(r.n, v.n)::DOUBLE, 9) AS score FROM f r JOIN f v ON r.tok = v.tok WHERE r.doc_id % 3 = 0 AND v.doc_id % 3 <> 0 GROUP BY r.doc_id, v.doc_id, r.n, v.n HAVING count(*) / greatest(r.n, v.n)::DOUBLE >= 0.5"""
+    SELECT r.doc_id AS ref_id, v.doc_id AS var_id, round(count(*) / greatest(r.n, v.n)::DOUBLE, 9) AS score FROM f r JOIN f v ON r.tok = v.tok WHERE r.doc_id < v.doc_id GROUP BY r.doc_id, v.doc_id, r.n, v.n HAVING count(*) / greatest(r.n, v.n)::DOUBLE >= 0.5"""
 )
 def similarity_candidates(t: Tables) -> DataFrame:
-    return grading.similarity_candidates(*_firsts(t)).withColumn("score", F.round("score", 9))
+    return _alike(t).withColumn("score", F.round("score", 9))
 
 
 @query()
 def greedy_alignment(t: Tables) -> DataFrame:
-    c = grading.similarity_candidates(*_firsts(t)).withColumn("exam", F.col("ref_id") % 20)
+    # An exam is at most 500 rows of a source.
+    exams = t.v1.select(F.col("doc_id").alias("ref_id"), F.concat("run_id", F.lit("/"), F.expr("string(pos div 500)")).alias("exam"))
+    c = _alike(t).join(exams, "ref_id")
     return grading.greedy_alignment(c, "exam")
 
 
@@ -767,8 +773,8 @@ def ordinal_pairs(t: Tables) -> DataFrame:
 
 
 @query(
-    r"""SELECT run_id, bool_or(regexp_matches(question || ' ' || array_to_string(options, ' '), '(?i)\b(?:question\s*[0-9]+|q[0-9]+|(?:previous|above)\s+question)\b')) AS refers,
-    bool_or(regexp_matches(question || ' ' || array_to_string(options, ' '), '(?i)\b(?:match(?:es|ed|ing)?|pair(?:s|ed|ing)?)\b')) AS matches FROM exam_rows GROUP BY 1""",
+    r"""SELECT run_id, bool_or(regexp_matches(question || ' ' || array_to_string(options, ' '), '(?i)\b(question\s+[0-9]+|q[0-9]+|q\s+[0-9]+|previous\s+question|above\s+question)\b')) AS refers,
+    bool_or(regexp_matches(question || ' ' || array_to_string(options, ' '), '(?i)\bmatch(?:es|ed|ing)?\b|\bpair(?:s|ed|ing)?\b')) AS matches FROM exam_rows GROUP BY 1""",
     "exam_rows",
 )
 def question_gates(t: Tables) -> DataFrame:

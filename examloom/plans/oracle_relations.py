@@ -18,7 +18,7 @@ PARTS = {
     "exam_rows": (
         (),
         """SELECT source AS run_id, pos, doc_id, CAST(doc_id AS VARCHAR) AS id,
-        CASE doc_id % 4 WHEN 0 THEN CAST(pos AS VARCHAR) || '. ' WHEN 1 THEN 'Q' || CAST(pos AS VARCHAR) || ') ' ELSE '' END || array_to_string(list_slice(w, 1, 12), ' ') AS question,
+        CASE doc_id % 4 WHEN 0 THEN CAST(pos AS VARCHAR) || '. ' WHEN 1 THEN 'Q' || CAST(pos AS VARCHAR) || ') ' ELSE '' END || array_to_string(list_concat(list_slice(w, 1, 12), list_slice(w, 13 + doc_id % 6, len(w))), ' ') AS question,
         list_slice(w, 13, 12 + doc_id % 6) AS options,
         CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'x' ELSE CAST(doc_id % 5 AS VARCHAR) END AS correct_index,
         CASE doc_id % 13 WHEN 0 THEN 'no_answer_key' WHEN 1 THEN 'conflicting_marks' WHEN 2 THEN 'options_cut_at_page_break' WHEN 3 THEN 'key_unclear' WHEN 4 THEN 'not_mcq' ELSE '' END AS needs_review,

@@ -20,19 +20,34 @@ def pick(key: Column, *values: str, default: str = "") -> Column:
     return out
 
 
+#: Ids of one range are numbered together.
+ID_RANGE = 100_000
+
+
+def positions(documents: DataFrame) -> DataFrame:
+    """(source, doc_id, pos): the place of each id in its source. Ids are unique; their texts stay out of it, and a source of any size is numbered by ranges of ids."""
+    ids = documents.select("source", "doc_id", F.expr(f"doc_id div {ID_RANGE}").alias("span"))
+    sizes = ids.groupBy("source", "span").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("source", "span", before.alias("before"))
+    inner = F.row_number().over(Window.partitionBy("source", "span").orderBy("doc_id"))
+    return ids.withColumn("inner", inner).join(sizes, ["source", "span"]).select("source", "doc_id", (F.col("inner") + F.col("before")).cast("int").alias("pos"))
+
+
 def exam_rows(documents: DataFrame) -> DataFrame:
-    """V1: run_id, pos, doc_id, id, question, options, correct_index, needs_review, year, image_url."""
+    """V1, of whole texts (the words that are no option are the question): run_id, pos, doc_id, id, question, options, correct_index, needs_review, year, image_url."""
     d, pos = F.col("doc_id"), F.col("pos").cast("string")
     w = F.split("text", " ")
-    rows = documents.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    rows = documents.select("source", "doc_id", "text").join(positions(documents), ["source", "doc_id"])
+    n = (d % 6).cast("int")
     prefix = F.when(d % 4 == 0, F.concat(pos, F.lit(". "))).when(d % 4 == 1, F.concat(F.lit("Q"), pos, F.lit(") "))).otherwise("")
     return rows.select(
         F.col("source").alias("run_id"),
         "pos",
         "doc_id",
         d.cast("string").alias("id"),
-        F.concat(prefix, F.array_join(F.slice(w, 1, 12), " ")).alias("question"),
-        F.slice(w, F.lit(13), (d % 6).cast("int")).alias("options"),
+        F.concat(prefix, F.array_join(F.concat(F.slice(w, 1, 12), F.slice(w, n + 13, F.greatest(F.lit(0), F.size(w) - n - 12))), " ")).alias("question"),
+        F.slice(w, F.lit(13), n).alias("options"),
         F.when(d % 7 == 0, "").when(d % 11 == 0, "x").otherwise((d % 5).cast("string")).alias("correct_index"),
         pick(d % 13, "no_answer_key", "conflicting_marks", "options_cut_at_page_break", "key_unclear", "not_mcq").alias("needs_review"),
         F.when(d % 3 == 0, "2024").otherwise("").alias("year"),

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from examloom.operators.telemetry import utc_day
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -14,7 +16,7 @@ def daily_quota(log: DataFrame, lateness: str = "1 day", limit: int = 500) -> Da
     """ST5: requests per UTC day and model; a day closes when events are ``lateness`` past its end."""
     day = F.window("t", "1 day")
     counted = log.withWatermark("t", lateness).groupBy(day, "model").agg(F.count("*").alias("requests"))
-    return counted.select(F.to_date("window.start").alias("day"), "model", "requests", F.greatest(F.lit(0), F.lit(limit) - F.col("requests")).alias("left"))
+    return counted.select(utc_day(F.col("window.start")).alias("day"), "model", "requests", F.greatest(F.lit(0), F.lit(limit) - F.col("requests")).alias("left"))
 
 
 def run_timings(log: DataFrame) -> DataFrame:
