@@ -822,3 +822,6 @@ def retry_delays(t: Tables) -> DataFrame:
 def remapped_answers(t: Tables) -> DataFrame:
     after = F.slice(F.sort_array(F.array_distinct("options"), asc=False), 1, 3)
     return t.v1.select("id", assembly.remapped_index((F.col("doc_id") % 4).cast("int"), F.col("options"), after).alias("idx"))
+
+# The queries of these modules register themselves, with what stands above.
+from examloom.plans import narrowing_queries  # noqa: E402,F401

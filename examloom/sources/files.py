@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examloom.operators import narrowing
 from examloom.functions.text import trim
 
 EXAM = T.StructType([
@@ -35,9 +36,7 @@ def documents_in(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Data
 
 def parsed_responses(responses: DataFrame) -> DataFrame:
     """Raw answers of a model as variants: one code fence falls away, what can't be parsed is null with ``bad`` set."""
-    body = F.trim(F.col("text"))
-    fenced = F.regexp_extract(body, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
-    value = F.try_parse_json(F.when(fenced != "", fenced).otherwise(body))
+    value = narrowing.parsed(F.col("text"))
     return responses.withColumn("value", value).withColumn("bad", value.isNull())
 
 
