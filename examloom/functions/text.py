@@ -187,3 +187,34 @@ def _without_labels(options: Column, name: str, pattern: str) -> Column:
     if name == "letter-dot":
         stripped = F.when(F.forall(rest, lambda r: r.rlike("^[a-z]+$")), F.struct(options.alias("options"), F.lit(True).alias("ambiguous"))).otherwise(stripped)
     return F.when(every & sequence, stripped)
+
+
+def leaks(question: Column) -> Column:
+    """struct<label, number>: whether a label of the plan, or the printed number, was left in a question."""
+    return F.struct(trim(question).rlike(r"(?i)^(case stem:|question:)").alias("label"), question.rlike(r"^\s*\(?\d{1,3}\s*[.)-]").alias("number"))
+
+
+def inline_options(line: Column) -> Column:
+    """the texts behind A to D in one line, null unless all four are there."""
+    found = F.array(*(trim(F.regexp_extract(line, r"(?i)^\s*\(?A[.)]\s*(.+?)\s+\(?B[.)]\s*(.+?)\s+\(?C[.)]\s*(.+?)\s+\(?D[.)]\s*(.+)$", k)) for k in range(1, 5)))
+    return F.when(F.forall(found, lambda o: o != ""), found)
+
+
+def short_number(n: Column) -> Column:
+    """thousands with one decimal and a k."""
+    return F.when(n >= 1000, F.concat(F.format_string("%.1f", (n / 1000).cast("double")), F.lit("k"))).otherwise(n.cast("string"))
+
+
+def cleaned_topics(topics: Column) -> Column:
+    """trimmed, without blank ones."""
+    return F.filter(F.transform(topics, trim), lambda t: t != "")
+
+
+def backup_name(at: Column, product: str, everything: Column, extension: str) -> Column:
+    """sorts by time, in the session's time zone."""
+    return F.concat(F.lit(f"{product} "), F.date_format(at, "yyyy-MM-dd HHmm"), F.when(everything, " full").otherwise(""), F.lit(extension))
+
+
+def backup_due(reason: Column, last: Column, now: Column, hours: int = 12) -> Column:
+    """always behind a batch; at startup without a backup, or with one of ``hours`` or more."""
+    return (reason == "batch-finished") | last.isNull() | (F.unix_micros(now) - F.unix_micros(last) >= hours * 3_600_000_000)

@@ -54,3 +54,30 @@ def crop_box(y0: Column, x0: Column, y1: Column, x1: Column, width: int, height:
     left, top = F.greatest(F.lit(0), F.floor(at(x0, width))), F.greatest(F.lit(0), F.floor(at(y0, height)))
     right, bottom = F.least(F.lit(width), F.ceil(at(x1, width))), F.least(F.lit(height), F.ceil(at(y1, height)))
     return F.when((right > left) & (bottom > top), F.struct(left.alias("left"), top.alias("top"), (right - left).alias("width"), (bottom - top).alias("height")))
+
+
+def rounded_crop(y0: Column, x0: Column, y1: Column, x1: Column, width: int, height: int) -> Column:
+    """pixels of a box, each edge rounded half up, one pixel wide at least and not beyond the page."""
+    at = lambda v, n: F.floor(v / 1000 * n + 0.5)
+    left, top = at(x0, width), at(y0, height)
+    return F.struct(left.alias("left"), top.alias("top"), F.greatest(F.lit(1), F.least(width - left, at(x1 - x0, width))).alias("width"), F.greatest(F.lit(1), F.least(height - top, at(y1 - y0, height))).alias("height"))
+
+
+def answer_focus(rows: DataFrame, pad: float = 25.0) -> DataFrame:
+    """the box around an answer's marks: the union of prompt and options, padded by ``pad``."""
+    return region_union(rows, pad)
+
+
+def clamped(c: Column) -> Column:
+    """within 0 and 1."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+
+def dpi_scale(dpi: Column) -> Column:
+    """a page's points are 1/72 inch."""
+    return dpi / 72
+
+
+def solver_requests(rows: Column, per_request: int) -> Column:
+    """F35."""
+    return F.ceil(rows / per_request)

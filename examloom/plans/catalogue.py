@@ -694,9 +694,9 @@ def corpus_survey(t: Tables) -> DataFrame:
     return grading.survey(t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("WITH m AS (SELECT doc_id AS id, text, strpos(lower(text), 'email') AS i FROM documents) SELECT id, CAST(i AS INT) AS \"at\", substr(text, greatest(1, i - 120), least(i - 1, 120) + 220) AS snippet FROM m WHERE i > 0")
+@query("WITH m AS (SELECT doc_id AS id, text, strpos(lower(text), 'license') AS i FROM documents) SELECT id, CAST(i AS INT) AS \"at\", substr(text, greatest(1, i - 120), least(i - 1, 120) + 220) AS snippet FROM m WHERE i > 0")
 def corpus_grep(t: Tables) -> DataFrame:
-    return grading.grep(t.documents.select(F.col("doc_id").alias("id"), "text"), "email")
+    return grading.grep(t.documents.select(F.col("doc_id").alias("id"), "text"), "license")
 
 
 @query(
@@ -824,4 +824,4 @@ def remapped_answers(t: Tables) -> DataFrame:
     return t.v1.select("id", assembly.remapped_index((F.col("doc_id") % 4).cast("int"), F.col("options"), after).alias("idx"))
 
 # The queries of these modules register themselves, with what stands above.
-from examloom.plans import narrowing_queries, planning_queries, store_queries  # noqa: E402,F401
+from examloom.plans import edit_queries, narrowing_queries, planning_queries, store_queries  # noqa: E402,F401
