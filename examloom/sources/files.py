@@ -1,4 +1,4 @@
-"""Scans and sinks: page text, responses, topic lists, line-oriented exams, manifests, CSV bundles, snapshots."""
+"""Scans and sinks: page text, responses, topic lists, line-oriented exams, manifests, CSV bundles, snapshots."""
 
 from __future__ import annotations
 
