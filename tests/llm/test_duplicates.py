@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from examloom.llm import fingerprint, jaccard_join, suffix_dedup
 from examloom.llm.components import components
+from examloom.llm.quality import classify_quality
+from examloom.llm.toxicity import classify_toxicity
 
 
 def words(seed: int, n: int) -> str:
@@ -266,6 +268,10 @@ def test_pipeline(spark, odd, none, labels, sf):
     for name, stage in p.STAGES[:-1]:
         before, docs = docs, p.materialize(stage(spark, docs, sf))
         assert docs.columns == before.columns and 0 < docs.count() <= before.count(), name
+        if name in ("quality", "toxicity"):
+            judge, keep = (classify_quality, "score >= 0.3") if name == "quality" else (classify_toxicity, "score < 0.5")
+            want = judge(before, spark.read.parquet(f"{sf}/labels.parquet")).filter(keep)
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(r["doc_id"] for r in want.collect()), name
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
             assert {r["doc_id"] for r in docs.collect()} == {i for i, c in brute_components(brute_sets(rows)).items() if i == c}
@@ -275,6 +281,7 @@ def test_pipeline(spark, odd, none, labels, sf):
             assert sum(len(r["text"].encode()) for r in docs.collect()) == pytest.approx(sum(w[0] - w[1] for w in want.values()), abs=20)
     assert p.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.count()
     assert p.run(spark, sf).count() >= docs.count()
-    for name, stage in p.STAGES[2:]:
+    for name, stage in p.STAGES:
         assert stage(spark, none, sf).count() == 0, name
-        assert stage(spark, odd, sf).count() > 0, name
+        # A stage may reject all of so few rows, but not fail on them.
+        assert stage(spark, odd, sf).count() >= (0 if name in ("quality", "toxicity") else 1), name
