@@ -27,8 +27,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d
 """
 
 
-def op8(rules: list[tuple[str, str]], steps: int, damping: float) -> str:
-    """``rules``: (verdict, text). One table expression for each step of the propagation."""
+def op8(rules: list[tuple[str, str]], damping: float, decimals: int, steps: int = 200) -> str:
+    """``rules``: (verdict, text). After ``steps`` steps, less than 1e-14 of the trust is on its way."""
     name, verdict = "NULL", "NULL"
     for v, text in sorted(rules, key=lambda r: (len(r[1]), len(r[1].partition("/")[0]), r[1])):
         host, slash, path = text.partition("/")
@@ -45,8 +45,8 @@ def op8(rules: list[tuple[str, str]], steps: int, damping: float) -> str:
         "e AS (SELECT source, target, count(*)::DOUBLE AS n FROM k WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2)",
         "g AS (SELECT source AS host, target AS next, n / sum(n) OVER (PARTITION BY source) AS wt, 0.0::DOUBLE AS wd FROM e UNION ALL SELECT target, source, 0.0::DOUBLE, n / sum(n) OVER (PARTITION BY target) FROM e)",
     ]
-    for i in range(steps):
-        passed = f"SELECT next AS host, t * wt * {d} AS t, d * wd * {d} AS d FROM s{i} JOIN g USING (host)"
-        parts.append(f"s{i + 1} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM ({passed} UNION ALL SELECT host, t * (1 - {d}), d * (1 - {d}) FROM s0) GROUP BY host)")
-    reached = f"(SELECT host, CASE WHEN (t - d) / (t + d) < 0 THEN 'block' ELSE 'allow' END AS reached FROM s{steps} WHERE t + d > 0)"
-    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(ruled, reached, 'allow') AS verdict FROM j LEFT JOIN {reached} USING (host)"
+    parts.append(f"w AS (SELECT 0 AS i, host, t, d FROM s0 UNION ALL SELECT i + 1, next, sum(t * wt) * {d}, sum(d * wd) * {d} FROM w JOIN g USING (host) WHERE i < {steps} AND (t > 0 OR d > 0) GROUP BY ALL)")
+    parts.append("z AS (SELECT host, sum(t) AS t, sum(d) AS d FROM w GROUP BY host)")
+    parts.append("q AS (SELECT host, t / greatest(1e-300, sum(t) OVER ()) AS t, d / greatest(1e-300, sum(d) OVER ()) AS d FROM z)")
+    reached = f"(SELECT host, CASE WHEN round((t - d) / (t + d), {decimals}) < 0 THEN 'block' ELSE 'allow' END AS reached FROM q WHERE t + d > 0)"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(ruled, reached, 'allow') AS verdict FROM j LEFT JOIN {reached} USING (host)"

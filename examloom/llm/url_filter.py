@@ -2,7 +2,8 @@
 
 Pages that rules allow make their hosts trusted seeds, pages that rules block make them blocked seeds. Trust follows
 links forwards (personalised PageRank from the trusted seeds); distrust follows them backwards, from a blocked host to
-those that link to it. Each host's balance of the two is held against a threshold.
+those that link to it, until no further host is reached and next to nothing is on its way. Each host's balance of the two is
+held against a threshold.
 
 Hosts are rows: every step is a join of the scores with the host edges and a sum per host.
 """
@@ -18,9 +19,12 @@ from examloom.storage import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-STEPS = 20
+#: Propagation ends when what is still on its way is less than this share of all trust, and of all distrust, and no further host is reached.
+TOLERANCE = 1e-6
 #: Steps between two written tables: lineage and plans stay short.
 STRIDE = 5
+#: Decimals of a balance: the order in which a host's sums are added is no difference.
+DECIMALS = 9
 #: So many hosts or fewer are broadcast to the pages (some 100 bytes each); more are joined by a shuffle.
 FEW_HOSTS = 200_000
 
@@ -73,10 +77,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.filter((F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))).groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) from seeds of the same columns, each summing to 1, over (source, target, links).
+def propagate(seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) from seeds of the same columns, each summing to 1 (or 0), over (source, target, links).
 
-    A host without outgoing links passes nothing on: what it holds leaves the system.
+    Personalised PageRank as a series: a step passes on what the step before has brought, and a host's score is the sum of what
+    came by. What is on its way shrinks with every step, whatever the graph. What reaches a host without links returns to the seeds;
+    that makes all scores larger by one factor, so it is done once, at the end, by scaling each kind to its sum.
     """
     sent = links.groupBy("source").agg(F.sum("links").alias("sent"))
     got = links.groupBy("target").agg(F.sum("links").alias("got"))
@@ -84,14 +90,24 @@ def propagate(seeds: DataFrame, links: DataFrame, steps: int = STEPS, damping: f
     forth = edges.select(F.col("source").alias("host"), F.col("target").alias("next"), (F.col("links") / F.col("sent")).alias("t"), F.lit(0.0).alias("d"))
     back = edges.select(F.col("target").alias("host"), F.col("source").alias("next"), F.lit(0.0).alias("t"), (F.col("links") / F.col("got")).alias("d"))
     edges = materialize(forth.unionByName(back))
-    start = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    now = seeds
-    for step in range(steps if edges.take(1) else 0):
-        passed = now.join(edges, "host").select(F.col("next").alias("host"), (F.col("trust") * F.col("t") * damping).alias("trust"), (F.col("distrust") * F.col("d") * damping).alias("distrust"))
-        now = passed.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if step % STRIDE == STRIDE - 1:
-            now = materialize(now)
-    return now
+    now = seeds.select("host", "trust", "distrust", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+    names, sums = ("trust", "distrust"), [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("trust", "distrust", "t", "d")]
+    reached = [F.count_if(F.col(c) > 0).alias(f"with_{c}") for c in names]
+    totals, going, before = None, bool(edges.take(1)), None
+    while going:
+        for _ in range(STRIDE):
+            moving = now.filter((F.col("t") > 0) | (F.col("d") > 0)).select("host", F.col("t").alias("has_t"), F.col("d").alias("has_d"))
+            brought = moving.join(edges, "host").select(F.col("next").alias("host"), (F.col("has_t") * F.col("t") * damping).alias("t"), (F.col("has_d") * F.col("d") * damping).alias("d"))
+            kept = now.select("host", "trust", "distrust", F.lit(0.0).alias("t"), F.lit(0.0).alias("d"))
+            both = kept.unionByName(brought.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), "t", "d"))
+            now = both.groupBy("host").agg((F.sum("trust") + F.sum("t")).alias("trust"), (F.sum("distrust") + F.sum("d")).alias("distrust"), F.sum("t").alias("t"), F.sum("d").alias("d"))
+        now = materialize(now)
+        totals = now.agg(*sums, *reached).first()
+        hosts = totals["with_trust"], totals["with_distrust"]
+        going = hosts != before or totals["t"] > tolerance * totals["trust"] or totals["d"] > tolerance * totals["distrust"]
+        before = hosts
+    totals = totals or now.agg(*sums).first()
+    return now.select("host", *((F.col(c) / F.lit(totals[c] or 1.0)).alias(c) for c in names))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.0, unknown: str = "allow") -> DataFrame:
@@ -107,6 +123,6 @@ def filter_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.0, unk
     seeds = materialize(counts.select("host", (F.col("a") / F.lit(float(max(1, total["a"])))).alias("trust"), (F.col("b") / F.lit(float(max(1, total["b"])))).alias("distrust")))
     scores = propagate(seeds, materialize(host_links(pages)))
     both = F.col("trust") + F.col("distrust")
-    verdicts = materialize(scores.filter(both > 0).select("host", F.when((F.col("trust") - F.col("distrust")) / both < threshold, "block").otherwise("allow").alias("reached")))
+    verdicts = materialize(scores.filter(both > 0).select("host", F.when(F.round((F.col("trust") - F.col("distrust")) / both, DECIMALS) < threshold, "block").otherwise("allow").alias("reached")))
     verdicts = F.broadcast(verdicts) if verdicts.count() <= FEW_HOSTS else verdicts
     return ruled.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "reached", F.lit(unknown)).alias("verdict"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from examloom.llm import media, url_filter
+from examloom.llm import media, oracles, queries, url_filter
 from examloom.llm.url_filter import filter_urls, rule
 
 
@@ -87,14 +88,16 @@ def test_media_columns(spark, odd, none):
 RULES = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
 
 
-def brute_rank(seeds: dict, links: list[tuple], reverse: bool, steps=url_filter.STEPS, d=url_filter.DAMPING) -> dict:
+def brute_rank(seeds: dict, links: list[tuple], reverse: bool, steps=300, d=url_filter.DAMPING) -> dict:
+    """Power iteration; a host without links gives what it holds back to the seeds in every step."""
     edges = [(b, a, n) if reverse else (a, b, n) for a, b, n in links]
     out: dict = {}
     for a, _, n in edges:
         out[a] = out.get(a, 0) + n
     now = dict(seeds)
     for _ in range(steps):
-        new = {h: (1 - d) * s for h, s in seeds.items()}
+        idle = sum(v for h, v in now.items() if h not in out)
+        new = {h: (1 - d + d * idle) * s for h, s in seeds.items()}
         for a, b, n in edges:
             new[b] = new.get(b, 0) + d * now.get(a, 0) * n / out[a]
         now = new
@@ -102,12 +105,33 @@ def brute_rank(seeds: dict, links: list[tuple], reverse: bool, steps=url_filter.
 
 
 def test_propagation_against_brute_force(spark):
-    links = [("a.org", "b.net", 2), ("b.net", "c.net", 1), ("c.net", "bad.com", 3), ("d.net", "bad.com", 1), ("b.net", "a.org", 1), ("e.net", "d.net", 5)]
+    chain = [(f"far{i}.net", f"far{i + 1}.net", 1) for i in range(30)]
+    links = [("a.org", "b.net", 2), ("b.net", "c.net", 1), ("c.net", "bad.com", 3), ("d.net", "bad.com", 1), ("b.net", "a.org", 1), ("e.net", "d.net", 5), ("b.net", "far0.net", 1), *chain]
     seeds = spark.createDataFrame([("a.org", 1.0, 0.0), ("bad.com", 0.0, 1.0)], "host string, trust double, distrust double")
     got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(seeds, spark.createDataFrame(links, "source string, target string, links long")).collect()}
     trust, distrust = brute_rank({"a.org": 1.0, "bad.com": 0.0}, links, False), brute_rank({"a.org": 0.0, "bad.com": 1.0}, links, True)
+    assert {h for h, v in trust.items() if v} | {h for h, v in distrust.items() if v} == set(got)
     for h in got:
-        assert got[h] == pytest.approx((trust.get(h, 0), distrust.get(h, 0)))
+        assert got[h] == pytest.approx((trust.get(h, 0), distrust.get(h, 0)), rel=1e-4)
+    assert got["far30.net"][0] > 0 and sum(t for t, _ in got.values()) == pytest.approx(1) == sum(d for _, d in got.values())
+    none = url_filter.propagate(seeds.filter("trust > 0"), spark.createDataFrame([], "source string, target string, links long"))
+    assert [tuple(r) for r in none.collect()] == [("a.org", 1.0, 0.0)]
+
+
+def test_propagation_against_sql(spark, tmp_path):
+    """A pages table with links between hosts: chains and rings behind trusted and blocked seeds, ties among them."""
+    urls = ["http://seed.org/1", "http://seed.com/de/1", *(f"http://h{i}.net/p" for i in range(60)), None, "no scheme"]
+    html = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
+    pages = [(i, u, html(*(f"h{(i * k) % 60}.net" for k in (1, 7)), *(["seed.com"] if i % 9 == 0 else []), *(["seed.org"] if i % 11 == 0 else [])) if i % 13 else None) for i, u in enumerate(urls)]
+    pages += [(100, "http://both.net/", html("seed.com")), (101, "http://seed.org/2", html("both.net")), (102, "http://chain0.net/", html("seed.com"))] + [(103 + i, f"http://chain{i + 1}.net/", html(f"chain{i}.net")) for i in range(25)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {r[0]: r for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({oracles.op8(queries.URL_RULES, url_filter.DAMPING, url_filter.DECIMALS)})").fetchall()}
+    got = {r["page_id"]: tuple(r) for r in filter_urls(df, RULES).collect()}
+    assert got == want
+    assert got[127][4] == "block" and {v[4] for v in got.values() if v[3] is None} == {"allow", "block"}
 
 
 def test_urls(spark):
