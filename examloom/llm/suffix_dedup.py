@@ -38,6 +38,8 @@ SHARD_BYTES = 1 << 20
 MERGED = 1 << 18
 #: Windows of anchors that occur more often are dealt out by their own hash.
 HOT = 500
+#: Rows of anchors that a task holds to find those that are hot already there, and the salts that spread those.
+HELD, SALTS = 1 << 19, 4096
 NO_DATA = np.zeros(0, np.int64)
 
 
@@ -104,11 +106,33 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, in
             yield lo, hi, at - base, part, np.array([0, len(part)])
 
 
-ANCHOR = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int32())])
+ANCHOR = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int64()), ("salt", pa.int32())])
+
+
+def common_apart(h: np.ndarray, ids: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """ANCHOR rows of (hash, doc_id, times). Rows of an anchor that is hot among these alone are told apart by a salt above 0, as no count
+    is needed to know them; one row with their sum, without an id, goes to the others of that anchor.
+    """
+    order = np.argsort(h, kind="stable")
+    edge = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    total = np.add.reduceat(times[order], edge)
+    often = total > HOT
+    which = order[np.repeat(often, np.diff(np.append(edge, len(h))))]
+    salt = np.zeros(len(h), np.int32)
+    salt[which] = 1 + (mixed(ids[which].view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+    extra = int(often.sum())
+    columns = [
+        pa.array(np.append(h, h[order[edge[often]]]).view(np.int64)),
+        pa.array(np.append(ids, np.zeros(extra, np.int64)), mask=np.arange(len(ids) + extra) >= len(ids)),
+        pa.array(np.append(times, total[often])),
+        pa.array(np.append(salt, np.zeros(extra, np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=ANCHOR)
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's anchors, once each, with how often they occur in it."""
+    """Each document's anchors, once for each block of it, with how often they occur there; see ``common_apart``."""
+    held, size = [], 0
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -118,8 +142,13 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((h, row))
             r, h = row[order], h[order]
             edge = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))) if len(h) else NO_DATA
-            times = np.diff(np.append(edge, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[edge].view(np.int64)), pa.array(ids[lo + r[edge]]), pa.array(times.astype(np.int32))], schema=ANCHOR)
+            held.append((h[edge], ids[lo + r[edge]], np.diff(np.append(edge, len(h))).astype(np.int64)))
+            size += len(edge)
+            if size >= HELD:
+                yield common_apart(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+    if size:
+        yield common_apart(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -402,10 +431,12 @@ def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_windows(texts: DataFrame) -> DataFrame:
     """(doc_id, start, windows): runs of windows that also start earlier, from (doc_id, text) without null ids."""
-    ddl = "hash long, doc_id long, times int"
+    ddl = "hash long, doc_id long, times long, salt int"
     seen = texts.filter(F.octet_length("text") >= LENGTH).select("doc_id", "text").mapInArrow(anchor_rows, ddl)
-    same = Window.partitionBy("hash")
-    seen = seen.withColumn("all", F.sum("times").over(same)).filter(F.col("all") > 1).withColumn("hot", F.col("all") > HOT)
+    # One sort counts all anchors. The rows of a hot one are spread over salts, and each task sends their count in one row.
+    salted = F.col("salt") > 0
+    seen = seen.withColumn("all", F.sum("times").over(Window.partitionBy("hash", "salt"))).filter(F.col("doc_id").isNotNull() & (salted | (F.col("all") > 1)))
+    seen = seen.withColumn("hot", salted | (F.col("all") > HOT))
     pairs = F.collect_set(F.struct("hash", "hot")).alias("pairs")
     repeated = seen.groupBy("doc_id").agg(pairs).select("doc_id", F.col("pairs.hash").alias("repeated"), F.col("pairs.hot").alias("hot"))
     joined = texts.join(repeated, "doc_id", "left")

@@ -164,6 +164,19 @@ def test_a_line_in_many_texts_is_spread(spark, monkeypatch):
     assert most and max(most) <= 5 * suffix_dedup.PLACES
 
 
+def test_an_anchor_in_most_texts_is_spread(spark):
+    """More texts with a line than make it hot in one task: no (hash, salt) meets many rows, and the result is that of brute force."""
+    line = words(8, 30)[:95]
+    rows = [(i, words(1000 + i, 6) + line + words(5000 + i, 6)) for i in range(1300)] + [(2000, words(1000, 6) + line + words(5000, 6)), (-5, words(1, 12) + line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    seen = df.mapInArrow(suffix_dedup.anchor_rows, "hash long, doc_id long, times long, salt int")
+    by = seen.groupBy("hash").agg(F.count("doc_id").alias("n"), F.count_if(F.expr("doc_id is null and salt = 0")).alias("sums"), F.sum(F.when(F.expr("salt = 0 and doc_id is null"), F.col("times"))).alias("t"), F.sum(F.when(F.expr("doc_id is not null"), F.col("times"))).alias("all"))
+    assert by.filter("n > 500 and (sums <> 1 or t <> all)").count() == 0 < by.filter("n > 500").count()
+    sizes = seen.groupBy("hash", "salt").count()
+    assert sizes.agg(F.max("count")).first()[0] <= suffix_dedup.HOT and sizes.filter("salt > 0").agg(F.max("count")).first()[0] <= 10
+    assert cut(df) == cut(df.repartition(3)) == brute_repeats(rows)
+
+
 def test_odd_rows_in_the_dedup(spark, odd, none):
     got = suffix_dedup.remove_repeats(odd, carry=True).collect()
     assert len(got) == odd.count()
