@@ -489,11 +489,13 @@ def remove_repeats(docs: DataFrame, carry: bool = False, as_text: bool = False)
     result; other columns than doc_id and text are carried along or not read, whatever their names.
     """
     docs = in_small_batches(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Under an alias of its own, a column that is long already would differ between the two joins, and each would shuffle the texts.
+    number = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    texts = docs.select(number, F.coalesce("text", F.lit("")).alias("text"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     if carry and others:
         # In an array, no field is pruned on the way: both joins need the same columns to read one exchange.
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.array(F.struct(*others)).alias("carried"))
+        texts = docs.select(number, F.coalesce("text", F.lit("")).alias("text"), F.array(F.struct(*others)).alias("carried"))
     rest = [F.element_at("carried", 1).alias("carried")] if "carried" in texts.columns else []
     named = texts.filter("doc_id is not null")
     gone = removed_windows(named).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("windows"))

@@ -177,6 +177,20 @@ def test_an_anchor_in_most_texts_is_spread(spark):
     assert cut(df) == cut(df.repartition(3)) == brute_repeats(rows)
 
 
+def test_texts_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for kind in ("long", "int"):
+            df = spark.range(5).selectExpr(f"cast(id as {kind}) doc_id", "'x' text", "'y' source")
+            for carry in (False, True):
+                plan = suffix_dedup.remove_repeats(df, carry=carry)._jdf.queryExecution().executedPlan().toString()
+                assert "ReusedExchange" in plan, (kind, carry)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_odd_rows_in_the_dedup(spark, odd, none):
     got = suffix_dedup.remove_repeats(odd, carry=True).collect()
     assert len(got) == odd.count()
