@@ -1,0 +1,32 @@
+"""Places in an order of all rows, without a window over all of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from examloom.storage import materialize
+
+#: ``monotonically_increasing_id`` counts the rows of a partition in so many bits, below the partition's number.
+ROW_BITS = 33
+
+
+def in_order(rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """``rows`` with ``rid``, a long that ascends in the order of ``keys``, written once. Rows of equal keys are told apart by where they were read, so
+    that even one key of most rows is dealt to many partitions."""
+    spread = rows.withColumn("_read_at", F.monotonically_increasing_id())
+    keys = [*keys, F.col("_read_at").asc()]
+    return materialize(spread.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_read_at").withColumn("rid", F.monotonically_increasing_id()))
+
+
+def ranked(rows: DataFrame, keys: list[Column]) -> tuple[DataFrame, int]:
+    """(``rows`` with ``rank`` 1, 2, 3 ... in the order of ``keys``, their number). The driver gets one row for each partition."""
+    placed = in_order(rows, keys).withColumn("_part", F.shiftright("rid", ROW_BITS))
+    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, table = 0, []
+    for part, n in sizes:
+        table.append((part, before))
+        before += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(table, "_part long, _before long"))
+    rank = F.col("_before") + F.col("rid").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
+    return placed.join(offsets, "_part").withColumn("rank", rank).drop("_part", "_before", "rid"), before
