@@ -96,6 +96,43 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.conversations import damaged, digests, repair
+
+    talks = table(spark, sf_dir, "conversations")
+    report, turns = repair(damaged(talks))
+    every = talks.select("conv_id").distinct().alias("e")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    for some, name in ((report, "r"), (digests(turns), "d")):
+        every = every.join(some.withColumnRenamed("conv_id", f"{name}_id"), F.col("e.conv_id").eqNullSafe(F.col(f"{name}_id")), "left")
+    return every.select(
+        F.col("e.conv_id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from examloom.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from examloom.llm.backtrack import encode_documents
+
+    coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +140,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_jaccard_join, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_toxicity, op4_jaccard_join, op5_packing, op6_bpe, op7_media_columns, op8_url_filters, op9_quality_classifier, op10_fingerprints, op11_conversation_repair, op12_importance, op13_byte_bpe, pipeline)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
