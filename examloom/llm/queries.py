@@ -146,4 +146,4 @@ def llm_queries() -> dict:
 def llm_oracle_sql() -> dict[str, str]:
     from examloom.llm import oracles, url_filter
 
-    return {"op1_suffix_dedup": oracles.OP1, "op4_jaccard_join": oracles.OP4, "op8_url_filters": oracles.op8(URL_RULES, url_filter.DAMPING, url_filter.DECIMALS)}
+    return {"op1_suffix_dedup": oracles.OP1, "op4_jaccard_join": oracles.OP4, "op8_url_filters": oracles.op8(URL_RULES, url_filter.DAMPING, url_filter.DECIMALS), "op11_conversation_repair": oracles.OP11, "op12_importance": oracles.OP12}
