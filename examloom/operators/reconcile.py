@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.functions import text as tx
+from examloom.rounds import first_independent
+from examloom.storage import materialize
 
 
 def planned_windows(pages: DataFrame, size: int, context: int = 1) -> DataFrame:
@@ -49,57 +50,50 @@ def twin_candidates(seen: DataFrame) -> DataFrame:
 
 
 def reconciled(seen: DataFrame) -> DataFrame:
-    """(run_id, ref, page, rule, twin_ref); rule is ``kept`` or why an observation was dropped.
+    """J8, ST9, U1: (run_id, ref, page, rule, twin_ref); rule is ``kept`` or why an observation was dropped. Refs are unique in a run.
 
-    What is kept depends on what was kept before, in order of windows, so a run (one document) is one group. Each row looks at what was
-    kept on its page and both neighbours only.
+    Windows are gone through in order, first what they own and then what they only saw. An observation is dropped if one that was kept before is its
+    twin: of another window, at most a page apart, with the same label, or with telling anchors of which one starts the other. What a window only saw is also
+    dropped on a page where one of its observations has a twin and it saw no more than was owned there, and if it has no label, no telling anchor and
+    the page has owners. All rows whose earlier twins are settled are settled at once, so a run may have any number of them; a page's rows meet each other.
     """
-    o = seen.select("run_id", "win", "ordinal", "is_core", "page", "ref", tx.trim(F.col("label")).alias("label"), tx.squeezed(F.col("anchor")).alias("anchor"), tx.is_generic(F.col("anchor")).alias("generic"))
-
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[int, list] = {}
-        out = []
-
-        def twin(q):
-            near = (k for page in (q.page - 1, q.page, q.page + 1) for k in kept.get(page, ()))
-            # The one that was kept first, on whichever page.
-            for _, k in sorted(near, key=lambda x: x[0]):
-                if k.win == q.win:
-                    continue
-                if q.label and k.label == q.label:
-                    return k, "duplicate_label"
-                if q.anchor and not k.generic and not q.generic and (k.anchor.startswith(q.anchor) or q.anchor.startswith(k.anchor)):
-                    return k, "duplicate_anchor"
-            return None, None
-
-        def keep(q):
-            kept.setdefault(q.page, []).append((len(out), q))
-
-        run = run.sort_values(["win", "ordinal"])
-        for q in run[run["is_core"]].itertuples(index=False):
-            k, rule = twin(q)
-            out.append((q.ref, q.page, rule or "kept", k.ref if k else None))
-            if k is None:
-                keep(q)
-        owned = {page: len(some) for page, some in kept.items()}
-        for _, window in run[~run["is_core"]].groupby("win", sort=True):
-            reread = window["page"].value_counts().to_dict()
-            rows = list(window.itertuples(index=False))
-            aligned = {q.page for q in rows if twin(q)[0] is not None}
-            for q in rows:
-                k, rule = twin(q)
-                covered = q.page in aligned and reread[q.page] <= owned.get(q.page, 0)
-                weak = not q.label and q.generic and q.page in owned
-                if k is None and not covered and not weak:
-                    keep(q)
-                    out.append((q.ref, q.page, "kept", None))
-                else:
-                    out.append((q.ref, q.page, rule or ("covered_reread" if covered else "page_not_owned"), k.ref if k else None))
-        frame = pd.DataFrame(out, columns=["ref", "page", "rule", "twin_ref"])
-        frame.insert(0, "run_id", run["run_id"].iloc[0])
-        return frame
-
-    return o.groupBy("run_id").applyInPandas(fold, "run_id string, ref string, page int, rule string, twin_ref string")
+    label, anchor = (rule(F.coalesce(F.col(c), F.lit(""))) for c, rule in (("label", tx.trim), ("anchor", tx.squeezed)))
+    o = materialize(seen.select("run_id", "win", "ordinal", "is_core", "page", "ref", label.alias("label"), anchor.alias("anchor"), tx.is_generic(anchor).alias("generic"), F.struct("run_id", "ref").alias("node")))
+    e = o.select("run_id", F.col("page").alias("near"), *(F.col(c).alias(f"e_{c}") for c in ("win", "ordinal", "is_core", "ref", "label", "anchor", "generic", "node")))
+    near = o.withColumn("near", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1))).join(e, ["run_id", "near"])
+    before = F.when(F.col("is_core"), F.col("e_is_core") & (F.col("e_win") < F.col("win"))).otherwise((F.col("e_is_core") & (F.col("e_win") != F.col("win"))) | (~F.col("e_is_core") & (F.col("e_win") < F.col("win"))))
+    same_label = (F.col("label") != "") & (F.col("label") == F.col("e_label"))
+    telling = (F.col("anchor") != "") & ~F.col("generic") & ~F.col("e_generic") & (F.col("anchor").startswith(F.col("e_anchor")) | F.col("e_anchor").startswith(F.col("anchor")))
+    rule = F.when(same_label, "duplicate_label").otherwise("duplicate_anchor")
+    place = F.struct((~F.col("e_is_core")).cast("int"), "e_win", "e_ordinal", "e_ref")
+    twins = materialize(near.filter(before & (same_label | telling)).select("node", "is_core", "run_id", "win", "page", F.col("e_node").alias("earlier"), F.col("e_is_core").alias("to_core"), F.struct(place.alias("place"), rule.alias("rule"), F.col("e_ref").alias("ref")).alias("twin")))
+
+    core_dropped = materialize(first_independent(twins.filter("is_core")))
+    owned = o.filter("is_core").join(core_dropped, "node", "left_anti").groupBy("run_id", "page").agg(F.count("*").alias("owned"))
+
+    # What a window saw on a page: whether a twin of one of them drops all.
+    here = ["run_id", "win", "page"]
+    saw = o.filter("not is_core")
+    groups = saw.groupBy(*here).agg(F.count("*").alias("reread")).join(owned, ["run_id", "page"], "left").withColumn("closed", F.col("reread") <= F.coalesce("owned", F.lit(0)))
+    saw = saw.join(groups.select(*here, "closed", F.col("owned").isNotNull().alias("covered")), here)
+    weak = (F.col("label") == "") & F.col("generic") & F.col("covered")
+    to_kept_core = twins.filter("not is_core and to_core").join(core_dropped.withColumnRenamed("node", "earlier"), "earlier", "left_anti")
+    members = materialize(saw.select("node", *here, "closed", weak.alias("weak")))
+    closed = members.filter("closed").select(*here)
+    with_mates = lambda some: some.join(closed.distinct(), here, "left_semi").select(*here, "earlier").join(members.filter("closed").select(*here, "node"), here).select("node", "earlier")
+    surely = members.filter("weak").select("node").unionByName(to_kept_core.select("node")).unionByName(with_mates(to_kept_core).select("node")).distinct()
+    surely = materialize(surely)
+    later = twins.filter("not is_core and not to_core")
+    edges = later.select("node", "earlier").unionByName(with_mates(later)).join(surely, "node", "left_anti").join(surely.withColumnRenamed("node", "earlier"), "earlier", "left_anti")
+    dropped = materialize(core_dropped.unionByName(surely).unionByName(first_independent(edges)))
+
+    kept_twin = twins.join(dropped.withColumnRenamed("node", "earlier"), "earlier", "left_anti").groupBy("node").agg(F.min("twin").alias("twin"))
+    # A page is aligned if any of the window's rows there has a kept twin.
+    aligned = members.filter("closed").join(kept_twin, "node", "left_semi").select(*here).distinct()
+    swept = members.filter("closed").join(aligned, here, "left_semi").select("node", F.lit(True).alias("swept"))
+    out = o.select("node", "run_id", "ref", "page").join(dropped.withColumn("gone", F.lit(True)), "node", "left").join(kept_twin, "node", "left").join(swept, "node", "left")
+    why = F.when(F.col("gone").isNull(), "kept").when(F.col("twin").isNotNull(), F.col("twin.rule")).when(F.col("swept"), "covered_reread").otherwise("page_not_owned")
+    return out.select("run_id", "ref", "page", why.alias("rule"), F.when(F.col("gone"), F.col("twin.ref")).alias("twin_ref"))
 
 
 def verified_pages(questions: DataFrame, page_text: DataFrame) -> DataFrame:

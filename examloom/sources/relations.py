@@ -127,6 +127,15 @@ def continuations(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), F.col("turn").alias("page"), (F.col("role") != "user").alias("continuation"), F.slice(w, F.lit(1), (F.col("turn") % 4 + 1).cast("int")).alias("options"))
 
 
+def chained_continuations(conversations: DataFrame) -> DataFrame:
+    """V5 with two rows on a page, continuations of continuations, answers and reasons: run_id, pos, page, continuation, options, correct_index, needs_review."""
+    turn = F.col("turn")
+    rows = continuations(conversations.withColumn("role", F.when((turn + F.col("conv_id")) % 4 == 0, "user").otherwise("other")))
+    answer = F.when(F.col("pos") % 3 == 0, "").otherwise((F.col("pos") % (F.col("pos") % 4 + 1)).cast("string"))
+    reason = pick(F.col("pos") % 5, "no_visible_answer", "", "key_unclear", "options_cut_at_page_break", default="incomplete_options")
+    return rows.withColumn("page", F.floor(F.col("pos") / 2)).withColumn("correct_index", answer).withColumn("needs_review", reason)
+
+
 def log_events(events: DataFrame) -> DataFrame:
     """V6: seq, t, event, level, run_id, ms, k, model."""
     k = F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
