@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from examloom.functions import text as tx
+
 #: States of an answer's evidence, and answer policies.
 STATES = ("none", "inline", "separate", "ambiguous", "illegible")
 POLICIES = ("no_answer_key", "separate_key", "inline_marks", "mixed", "uncertain")
@@ -17,14 +19,34 @@ RISKS = ("safe_to_import", "not_safe_to_import")
 
 
 def parsed(text: Column) -> Column:
-    """a response as a variant, null where it is no JSON; one code fence around it falls away."""
-    body = F.trim(text)
-    fenced = F.regexp_extract(body, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
+    """a response as a variant, null where it is no JSON; one code fence around it falls away, if its marks stand on lines of their own."""
+    body = tx.trim(text)
+    fence = rf"(?s)^```(?:json)?{tx.WS}*\n(.*?)\n```{tx.WS}*\z"
+    bare = F.when(body.rlike(fence), F.regexp_extract(body, fence, 1)).otherwise(body)
     # The parser stops behind the first value: as the one element of an array, a value with more text behind it is refused.
-    alone = F.try_parse_json(F.concat(F.lit("["), F.when(fenced != "", fenced).otherwise(body), F.lit("]")))
+    alone = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))
     return F.when(F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1, F.try_variant_get(alone, "$[0]", "variant"))
 
 
+def read_responses(responses: DataFrame, text: str = "text") -> DataFrame:
+    """``responses`` with ``value``; of a key that is repeated in an object, the last one counts.
+
+    Whether repeated keys are an error is a setting of the session, which an expression keeps as it was when it was built; the setting is put back at once.
+    """
+    conf, name = responses.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return responses.withColumn("value", parsed(F.col(text)))
+    finally:
+        conf.set(name, before)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, also within a function of higher order."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind(value: Column, path: str) -> Column:
     """the type at a path: OBJECT<...>, ARRAY<...>, STRING, BOOLEAN, BIGINT, VOID (a null); null where there is nothing."""
     return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
@@ -39,12 +61,18 @@ def flag_at(value: Column, path: str) -> Column:
 
 
 def number_at(value: Column, path: str) -> Column:
-    return F.when(kind(value, path) == "BIGINT", F.try_variant_get(value, path, "bigint"))
+    """Any number, as a double."""
+    return F.when(kind(value, path).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(value, path, "double"))
+
+
+def count_at(value: Column, path: str) -> Column:
+    """A number as a count: whole, and 0 at least."""
+    return let(number_at(value, path), lambda n: F.when(n.isNotNull(), F.greatest(F.floor(n), F.lit(0).cast("bigint"))))
 
 
 def page_at(value: Column, path: str) -> Column:
-    n = number_at(value, path)
-    return F.when(n >= 1, n)
+    """A positive whole number, whether written as 1 or as 1.0."""
+    return let(number_at(value, path), lambda n: F.when((n >= 1) & (n == F.floor(n)), n.cast("bigint")))
 
 
 def items_at(value: Column, path: str) -> Column:
@@ -125,9 +153,12 @@ def figure_detections(responses: DataFrame) -> DataFrame:
 
 def box_at(value: Column, path: str) -> Column:
     """four numbers from 0 to 1000 with a positive extent, [y0, x0, y1, x1]; null for anything else."""
-    parts = F.transform(items_at(value, path), lambda x: F.when(kind(x, "$").rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(x, "$", "double")))
-    ok = (F.size(parts) == 4) & F.forall(parts, lambda x: x.isNotNull() & (x >= 0) & (x <= 1000)) & (F.get(parts, F.lit(2)) > F.get(parts, F.lit(0))) & (F.get(parts, F.lit(3)) > F.get(parts, F.lit(1)))
-    return F.when(ok, parts)
+
+    def boxed(parts: Column) -> Column:
+        ok = (F.size(parts) == 4) & F.forall(parts, lambda x: x.isNotNull() & (x >= 0) & (x <= 1000)) & (F.get(parts, F.lit(2)) > F.get(parts, F.lit(0))) & (F.get(parts, F.lit(3)) > F.get(parts, F.lit(1)))
+        return F.when(ok, parts)
+
+    return let(F.transform(items_at(value, path), lambda x: number_at(x, "$")), boxed)
 
 
 def boxed_figures(responses: DataFrame) -> DataFrame:
@@ -187,7 +218,7 @@ def quota_rows(stored: DataFrame, model: str) -> DataFrame:
     """(key, day, model, requests) from (key, value): counts by model, or the old single count for ``model``; what can't be read gives no row."""
     v = F.col("value")
     counts = F.when(is_record(v, "$.counts"), F.try_variant_get(v, "$.counts", "map<string, variant>"))
-    legacy = F.when(number_at(v, "$.count") >= 0, F.create_map(F.lit(model), number_at(v, "$.count")))
-    known = F.map_filter(F.transform_values(counts, lambda _, x: number_at(x, "$")), lambda _, n: n >= 0)
+    legacy = F.when(number_at(v, "$.count").isNotNull(), F.create_map(F.lit(model), count_at(v, "$.count")))
+    known = F.map_filter(F.transform_values(counts, lambda _, x: count_at(x, "$")), lambda _, n: n.isNotNull())
     day = string_at(v, "$.day")
     return stored.filter(day.isNotNull()).select("key", day.alias("day"), F.explode(F.coalesce(known, legacy)).alias("model", "requests"))

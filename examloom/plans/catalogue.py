@@ -131,11 +131,39 @@ def stitch_continuations(t: Tables) -> DataFrame:
     return stitch.stitched(rel.continuations(t.conversations)).withColumn("options", joined("options"))
 
 
-@query()
+def _stems(cont: str) -> str:
+    """SQL of ``g`` (run_id, pos, stem): each continuation's stem, followed from continuation to continuation."""
+    last = f"(SELECT max(s.pos) FROM {cont} s WHERE {{0}} s.continuation AND s.run_id = c.run_id AND s.page = c.page - 1 AND s.pos < c.pos)"
+    return f""", l AS (SELECT run_id, pos, {last.format("NOT")} AS a, {last.format("")} AS n FROM {cont} c WHERE continuation),
+    t AS (SELECT run_id, pos, n, a AS best FROM l UNION ALL SELECT t.run_id, t.pos, l.n, greatest(t.best, l.a) FROM t JOIN l ON l.run_id = t.run_id AND l.pos = t.n), g AS (SELECT run_id, pos, max(best) AS stem FROM t GROUP BY 1, 2)"""
+
+
+@query(
+    f"""RECURSIVE{_stems("cont")}, m AS (SELECT run_id, stem AS pos, string_agg(array_to_string(options, '|'), '|' ORDER BY cont.pos) AS more, count(*) AS joined FROM g JOIN cont USING (run_id, pos) WHERE stem IS NOT NULL GROUP BY 1, 2)
+    SELECT run_id, pos, array_to_string(options, '|') || CASE WHEN more IS NULL THEN '' ELSE '|' || more END AS options, CAST(coalesce(joined, 0) AS INT) AS joined, '' AS reason FROM cont LEFT JOIN m USING (run_id, pos) WHERE NOT continuation
+    UNION ALL SELECT run_id, pos, array_to_string(options, '|'), 0, 'orphaned_page_continuation' FROM g JOIN cont USING (run_id, pos) WHERE stem IS NULL""",
+    "cont",
+)
 def stitch_continuations_exact(t: Tables) -> DataFrame:
     return stitch.stitched_exactly(rel.continuations(t.conversations)).withColumn("options", joined("options"))
 
 
+_PASSING = "('empty_question', 'incomplete_options', 'no_visible_answer', 'options_cut_at_page_break')"
+
+
+@query(
+    f"""RECURSIVE{_stems("chained")}, m AS (SELECT g.run_id, stem AS pos, list(struct_pack(o := options, c := correct_index, r := needs_review) ORDER BY g.pos) AS more FROM g JOIN chained USING (run_id, pos) WHERE stem IS NOT NULL GROUP BY 1, 2),
+    f AS (SELECT run_id, pos, coalesce(len(more), 0) AS joined, list_reduce(list_prepend(struct_pack(o := options, c := correct_index, r := needs_review), coalesce(more, [])), lambda a, b: struct_pack(o := list_concat(a.o, b.o),
+        c := CASE WHEN a.c <> '' THEN a.c WHEN b.c = '' THEN '' ELSE CAST(len(a.o) + CAST(b.c AS INT) AS VARCHAR) END,
+        r := CASE WHEN a.r NOT IN {_PASSING} THEN a.r WHEN b.r NOT IN {_PASSING} THEN b.r WHEN a.c = '' AND b.c = '' THEN 'no_visible_answer' ELSE '' END)) AS x FROM chained LEFT JOIN m USING (run_id, pos) WHERE NOT continuation)
+    SELECT run_id, pos, array_to_string(x.o, '|') AS options, x.c AS correct_index, x.r AS needs_review, CAST(joined AS INT) AS joined FROM f
+    UNION ALL SELECT run_id, pos, array_to_string(options, '|'), correct_index, CASE WHEN needs_review = '' THEN 'orphaned_page_continuation' ELSE needs_review END, 0 FROM g JOIN chained USING (run_id, pos) WHERE stem IS NULL""",
+    "chained",
+)
+def stitched_rows(t: Tables) -> DataFrame:
+    return stitch.stitched_rows(rel.chained_continuations(t.conversations)).withColumn("options", joined("options"))
+
+
 _OPTION = trim(r"regexp_replace(" + trim("o") + r", '^[A-Za-z][.)\-:]\s*', '')")
 
 
@@ -166,14 +194,15 @@ def dedupe_by_label(t: Tables) -> DataFrame:
     return stitch.best_of(rows, "run_id", "label")
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """A run is a document of at most 500 rows: what is folded row by row is one group of its own."""
-    return rows.withColumn("run_id", F.concat("run_id", F.lit("/"), F.expr("string(pos div 500)")))
-
-
-@query()
+@query(
+    f"""RECURSIVE, r AS (SELECT run_id, pos, CASE WHEN pos % 7 = 0 THEN 'row-' || CAST(row_number() OVER (PARTITION BY run_id ORDER BY pos) AS VARCHAR) ELSE CAST(pos % 40 AS VARCHAR) END AS label, {_CONTENT} AS k, CAST({_SCORE} AS INT) AS s FROM exam_rows),
+    p AS (SELECT run_id, pos, label, lag(label) OVER (PARTITION BY run_id, k ORDER BY pos) AS next FROM r), l AS (SELECT run_id, label, min(pos) AS pos FROM p GROUP BY 1, 2),
+    n AS (SELECT l.run_id, l.label, p.next FROM l JOIN p ON p.run_id = l.run_id AND p.pos = l.pos), t AS (SELECT run_id, label, label AS root FROM n WHERE next IS NULL UNION ALL SELECT n.run_id, n.label, t.root FROM n JOIN t ON t.run_id = n.run_id AND t.label = n.next)
+    SELECT run_id, pos, label AS id, s AS score FROM (SELECT r.*, row_number() OVER (PARTITION BY r.run_id, root ORDER BY s DESC, pos) AS rn FROM r JOIN t USING (run_id, label)) WHERE rn = 1""",
+    "exam_rows",
+)
 def dedupe_keep_best(t: Tables) -> DataFrame:
-    return stitch.deduped(_bounded(t.v1).withColumn("label", F.when(F.col("pos") % 7 == 0, "").otherwise((F.col("pos") % 40).cast("string"))))
+    return stitch.deduped(t.v1.withColumn("label", F.when(F.col("pos") % 7 == 0, "").otherwise((F.col("pos") % 40).cast("string"))))
 
 
 @query(
@@ -450,9 +479,24 @@ def twin_candidates(t: Tables) -> DataFrame:
     return reconcile.twin_candidates(t.seen)
 
 
-@query()
+_TWIN = """k.win <> {j}.win AND abs(k.page - {j}.page) <= 1 AND (({j}.label <> '' AND k.label = {j}.label) OR ({j}.an <> '' AND NOT k.gen AND NOT {j}.gen AND (starts_with(k.an, {j}.an) OR starts_with({j}.an, k.an))))"""
+_SEEN = "struct_pack(ref := ref, win := win, page := page, label := label, an := an, gen := gen, core := is_core)"
+
+
+@query(
+    f"""RECURSIVE, o AS (SELECT *, {_SEEN} AS x, row_number() OVER (PARTITION BY run_id ORDER BY is_core DESC, win, ordinal) AS i FROM (SELECT *, length(an) < 12 OR {_GENERIC} AS gen FROM (SELECT *, {squeezed("anchor")} AS an FROM obs))),
+    m AS (SELECT run_id, win, page, list(x) AS mates FROM o WHERE NOT is_core GROUP BY 1, 2, 3), j AS (SELECT o.run_id, o.i, o.x, CASE WHEN is_core THEN [] ELSE coalesce(mates, []) END AS mates FROM o LEFT JOIN m USING (run_id, win, page)),
+    w AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS ref, CAST(NULL AS INT) AS page, '' AS rule, CAST(NULL AS VARCHAR) AS twin_ref, list_filter([x], lambda y: false) AS kept FROM o WHERE i = 1
+        UNION ALL SELECT run_id, i, x.ref, x.page, rule, CASE WHEN rule <> 'kept' THEN tw.ref END, CASE WHEN rule = 'kept' THEN list_append(kept, x) ELSE kept END FROM (
+        SELECT run_id, i, x, kept, tw, CASE WHEN tw IS NOT NULL THEN CASE WHEN x.label <> '' AND tw.label = x.label THEN 'duplicate_label' ELSE 'duplicate_anchor' END WHEN x.core THEN 'kept' WHEN aligned AND len(mates) <= owned THEN 'covered_reread'
+            WHEN x.label = '' AND x.gen AND owned > 0 THEN 'page_not_owned' ELSE 'kept' END AS rule FROM (
+        SELECT j.run_id, j.i, j.x, j.mates, w.kept, list_filter(w.kept, lambda k: {_TWIN.format(j="j.x")})[1] AS tw, len(list_filter(w.kept, lambda k: k.core AND k.page = j.x.page)) AS owned,
+            len(list_filter(j.mates, lambda q: len(list_filter(w.kept, lambda k: {_TWIN.format(j="q")})) > 0)) > 0 AS aligned FROM w JOIN j ON j.run_id = w.run_id AND j.i = w.i + 1)))
+    SELECT run_id, ref, page, rule, twin_ref FROM w WHERE i > 0""",
+    "obs",
+)
 def reconcile_windows(t: Tables) -> DataFrame:
-    return reconcile.reconciled(_bounded(t.seen))
+    return reconcile.reconciled(t.seen)
 
 
 @query(
@@ -674,12 +718,17 @@ def similarity_candidates(t: Tables) -> DataFrame:
     return _alike(t).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE k AS (SELECT doc_id, source, list_distinct(list_filter(string_split({_FOLDED}, ' '), lambda x: length(x) > 2)) AS tk FROM documents), f AS (SELECT doc_id, source, len(tk) AS n, unnest(tk) AS tok FROM k),
+    c AS (SELECT r.source AS exam, r.doc_id AS ref_id, v.doc_id AS var_id, count(*) / greatest(r.n, v.n)::DOUBLE AS score FROM f r JOIN f v ON r.tok = v.tok WHERE r.doc_id < v.doc_id GROUP BY r.source, r.doc_id, v.doc_id, r.n, v.n HAVING count(*) / greatest(r.n, v.n)::DOUBLE >= 0.5),
+    s AS (SELECT exam, ref_id, list(struct_pack(v := var_id, s := score) ORDER BY score DESC, var_id) AS cands, row_number() OVER (PARTITION BY exam ORDER BY ref_id) AS i FROM c GROUP BY exam, ref_id),
+    t AS (SELECT DISTINCT exam, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ref_id, CAST(NULL AS STRUCT(v BIGINT, s DOUBLE)) AS got, CAST([] AS BIGINT[]) AS used FROM s
+        UNION ALL SELECT exam, i, ref_id, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.v) END FROM (SELECT s.exam, s.i, s.ref_id, list_filter(cands, lambda x: NOT list_contains(used, x.v))[1] AS got, used FROM t JOIN s ON s.exam = t.exam AND s.i = t.i + 1))
+    SELECT exam, ref_id, got.v AS var_id, round(got.s, 9) AS score FROM t WHERE got IS NOT NULL"""
+)
 def greedy_alignment(t: Tables) -> DataFrame:
-    # An exam is at most 500 rows of a source.
-    exams = t.v1.select(F.col("doc_id").alias("ref_id"), F.concat("run_id", F.lit("/"), F.expr("string(pos div 500)")).alias("exam"))
-    c = _alike(t).join(exams, "ref_id")
-    return grading.greedy_alignment(c, "exam")
+    exams = t.documents.select(F.col("doc_id").alias("ref_id"), F.col("source").alias("exam"))
+    return grading.greedy_alignment(_alike(t).join(exams, "ref_id"), "exam").withColumn("score", F.round("score", 9))
 
 
 _PLAIN = trim(r"regexp_replace(text, '[\s\x{{00A0}}\x{{FEFF}}]+', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
@@ -824,4 +873,4 @@ def remapped_answers(t: Tables) -> DataFrame:
     return t.v1.select("id", assembly.remapped_index((F.col("doc_id") % 4).cast("int"), F.col("options"), after).alias("idx"))
 
 # The queries of these modules register themselves, with what stands above.
-from examloom.plans import edit_queries, narrowing_queries, planning_queries, store_queries  # noqa: E402,F401
+from examloom.plans import blueprint_queries, edit_queries, narrowing_queries, planning_queries, store_queries  # noqa: E402,F401

@@ -51,6 +51,11 @@ PARTS = {
     ),
     "matched": (("validated",), "SELECT row_id AS doc_id, topic, subtopic FROM validated WHERE status IN ('ok', 'unsure')"),
     "cont": ((), "SELECT conv_id AS run_id, turn AS pos, turn AS page, role <> 'user' AS continuation, list_slice(string_split(text, ' '), 1, turn % 4 + 1) AS options FROM conversations"),
+    "chained": (
+        (),
+        """SELECT conv_id AS run_id, turn AS pos, turn // 2 AS page, (turn + conv_id) % 4 <> 0 AS continuation, list_slice(string_split(text, ' '), 1, turn % 4 + 1) AS options, CASE WHEN turn % 3 = 0 THEN '' ELSE CAST(turn % (turn % 4 + 1) AS VARCHAR) END AS correct_index,
+        CASE turn % 5 WHEN 0 THEN 'no_visible_answer' WHEN 1 THEN '' WHEN 2 THEN 'key_unclear' WHEN 3 THEN 'options_cut_at_page_break' ELSE 'incomplete_options' END AS needs_review FROM conversations""",
+    ),
     "log": (
         (),
         """SELECT seq, t, event, run_id, ms, k, CASE event WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS model
@@ -131,8 +136,10 @@ BARE_QUESTION = r"regexp_replace(question, '^\s*(?:q(?:uestion)?\s*)?[0-9]{1,3}\
 
 
 def sql(select: str, *needs: str) -> str:
-    """``select`` behind the relations it needs."""
+    """``select`` behind the relations it needs; one that starts with RECURSIVE may refer to itself."""
     order: list[str] = []
+    recursive = "RECURSIVE " if select.startswith("RECURSIVE") else ""
+    select = select.removeprefix("RECURSIVE")
 
     def visit(name: str) -> None:
         if name not in order:
@@ -142,4 +149,4 @@ def sql(select: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    return ("WITH " + ", ".join(f"{n} AS ({PARTS[n][1]})" for n in order) + " " if order else "") + select
+    return (f"WITH {recursive}" + ", ".join(f"{n} AS ({PARTS[n][1]})" for n in order) + " " if order else "") + select
