@@ -114,13 +114,13 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.when(F.col("tied"), level(F.col("parts"))).otherwise(even)).drop("first", "width", "parts", "tied")
 
 
-def with_successors(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_successors(rows: DataFrame, columns: list[str], tie: str = "text") -> DataFrame:
     """Adds ``following``, a struct of the next row's ``columns`` by descending doc_id; the first row follows the last.
 
-    Null ids come last; rows with one id, or without, come in the order of a hash of ``columns``. Each block of rows also gets the
+    Null ids come last; rows with one id, or without, come in the order of a hash of ``tie``. Each block of rows also gets the
     first row of the next block, so that all successors are found within blocks.
     """
-    rows = placed(rows.withColumn("tie", F.xxhash64(*columns)))
+    rows = placed(rows.withColumn("tie", F.xxhash64(tie)))
     here = ["place", "part"]
     heads = rows.groupBy(*here).agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
     # At most one row for each block.
