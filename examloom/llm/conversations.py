@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from examloom.llm.batches import in_small_batches
-from examloom.llm.order import in_order
+from examloom.order import in_order
 from examloom.storage import materialize
 
 #: Grammar states: nothing yet, behind a system turn, behind a user turn, behind an assistant turn. The first and the last accept.

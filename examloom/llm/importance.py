@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from examloom.llm.batches import in_small_batches
-from examloom.llm.order import ranked
+from examloom.order import ranked
 from examloom.llm.text_arrays import LOWER, flat, groups
 from examloom.storage import materialize
 
