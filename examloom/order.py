@@ -58,3 +58,20 @@ def with_previous(rows: DataFrame, keys: list[Column], columns: list[str]) -> Da
     linked = placed.withColumn("previous", own).join(blocks.join(tails, "_above").select("_block", "_tail"), "_block", "left")
     first = F.col("rid").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == 0
     return linked.withColumn("previous", F.when(first, F.col("_tail")).otherwise(F.col("previous"))).drop("_block", "_tail", "rid")
+
+
+def with_last(rows: DataFrame, group: str, keys: list[Column], value: str) -> DataFrame:
+    """``rows`` with ``last``: the latest ``value`` that isn't null, at or before each row of its ``group`` in the order of ``keys``.
+
+    Windows look within blocks of rows, then over the blocks of a run of blocks, and then over these runs, of which there is one for each quarter of a million rows.
+    """
+    mark = F.when(F.col(value).isNotNull(), F.struct(F.col(group).alias("g"), F.col(value).alias("v")))
+    placed = in_order(rows.withColumn("_mark", mark), [F.col(group).asc(), *keys]).withColumn("_block", F.shiftright("rid", BLOCK_BITS))
+    here = Window.partitionBy("_block").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
+    tails = materialize(placed.groupBy("_block").agg(F.max_by(F.when(F.col("_mark").isNotNull(), F.col("_mark")), F.when(F.col("_mark").isNotNull(), F.col("rid"))).alias("tail"))).withColumn("_run", F.shiftright("_block", BLOCK_BITS))
+    runs = tails.groupBy("_run").agg(F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col("_block"))).alias("tail"))
+    before = lambda w: F.last("tail", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("_run", before(Window.orderBy("_run")).alias("_far"))
+    carried = tails.select("_block", "_run", before(Window.partitionBy("_run").orderBy("_block")).alias("_near")).join(runs, "_run").select("_block", F.coalesce("_near", "_far").alias("_carried"))
+    known = placed.withColumn("_own", F.last("_mark", True).over(here)).join(carried, "_block").withColumn("_at", F.coalesce("_own", "_carried"))
+    return known.withColumn("last", F.when(F.col("_at.g").eqNullSafe(F.col(group)), F.col("_at.v"))).drop("_mark", "_block", "_own", "_carried", "_at", "rid")

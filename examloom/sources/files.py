@@ -1,4 +1,4 @@
-"""Scans and sinks: page text, responses, topic lists, line-oriented exams, manifests, CSV bundles, snapshots."""
+"""Scans and sinks: page text, responses, topic lists, line-oriented exams, manifests, CSV (S3, S12, S19, S21, S23, S26, S27); line-oriented exams are in ``exams``, PDF files in ``pdf``, bundles and snapshots in ``bundles``."""
 
 from __future__ import annotations
 
@@ -27,17 +27,9 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", F.coalesce(F.regexp_replace("text", "[ \t]+", " "), F.lit("")))
 
 
-def documents_in(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, size, bytes, is_pdf, is_key) of the files under a folder; whole files, so keep them out of shuffles."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    return f.select("path", F.col("length").alias("size"), F.col("content").alias("bytes"), F.substring("content", 1, 5).eqNullSafe(F.lit(b"%PDF-")).alias("is_pdf"), name.rlike(r"\b(answers?|key|mark[ _-]?scheme|ms)\b").alias("is_key"))
-
-
 def parsed_responses(responses: DataFrame) -> DataFrame:
     """Raw answers of a model as variants: one code fence falls away, what can't be parsed is null with ``bad`` set."""
-    value = narrowing.parsed(F.col("text"))
-    return responses.withColumn("value", value).withColumn("bad", value.isNull())
+    return narrowing.read_responses(responses).withColumn("bad", F.col("value").isNull())
 
 
 def topic_list(lines: DataFrame) -> DataFrame:
@@ -107,25 +99,3 @@ def usage_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 def write_csv(rows: DataFrame, path: str) -> None:
     """Quotes where needed and doubled inside, CRLF behind every line, empty fields left empty."""
     rows.write.option("header", "true").option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").option("nullValue", "").csv(path)
-
-
-def write_bundles(lines: DataFrame, path: str, header: str) -> None:
-    """A folder for each run with its CSV as one text file: byte order mark, header, then lines in order."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\r\n")
-    one = lines.groupBy("run_id").agg(F.concat(F.lit("﻿" + header + "\r\n"), text, F.lit("\r")).alias("value"))
-    one.repartition("run_id").write.partitionBy("run_id").text(path)
-
-
-def write_snapshot(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
-    """A store's tables as Parquet, and the version last."""
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
-    df.sparkSession.createDataFrame([(version, ",".join(tables))], "version int, tables string").write.parquet(f"{path}/manifest")
-
-
-def read_snapshot(spark: SparkSession, path: str, newest: int = 1) -> dict[str, DataFrame]:
-    """The tables of a snapshot; one that is newer than this code is refused."""
-    m = spark.read.parquet(f"{path}/manifest").first()
-    if m["version"] > newest:
-        raise ValueError(f"snapshot version {m['version']} is newer than {newest}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in m["tables"].split(",")}

@@ -131,13 +131,9 @@ def test_exam_lines_expect_the_next_number(spark):
     assert got == [(1, "First? more", ["x", "y 7. not a question"]), (2, "Second?", ["z"])]
 
 
-def test_responses_and_snapshot(spark, tmp_path):
+def test_responses_and_csv(spark, tmp_path):
     r = spark.createDataFrame([(1, '```json\n{"a": 1}\n```'), (2, "{broken"), (3, "[]")], "id int, text string")
     assert {x["id"]: x["bad"] for x in files.parsed_responses(r).collect()} == {1: False, 2: True, 3: False}
-    files.write_snapshot({"r": r}, str(tmp_path / "s"))
-    assert files.read_snapshot(spark, str(tmp_path / "s"))["r"].count() == 3
-    with pytest.raises(ValueError):
-        files.read_snapshot(spark, str(tmp_path / "s"), newest=0)
     files.write_csv(spark.createDataFrame([('a "q", b', "")], "x string, y string").coalesce(1), str(tmp_path / "c"))
     part = next((tmp_path / "c").glob("part*")).read_bytes()
     assert part == b'x,y\r\n"a ""q"", b",\r\n'
