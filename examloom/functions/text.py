@@ -116,15 +116,19 @@ def graded_question(c: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), 1, 120)
 
 
+#: Typographic quotes and dashes, and what they count as.
+FOLDED = {**dict.fromkeys("‘’ʼ", "'"), **dict.fromkeys("“”", '"'), **dict.fromkeys(map(chr, range(0x2010, 0x2016)), "-")}
+
+
 def folded(c: Column) -> Column:
     """typographic quotes, dashes and spaces made plain."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[‘’ʼ]", "'"), "[“”]", '"'), "[‐-―]", "-")
-    return squeezed(plain)
+    return squeezed(F.translate(c, "".join(FOLDED), "".join(FOLDED.values())))
 
 
 def tokens(c: Column) -> Column:
     """distinct words of more than two characters."""
-    return F.array_distinct(F.filter(F.split(folded(c), " "), lambda t: F.length(t) > 2))
+    plain = F.lower(F.translate(c, "".join(FOLDED), "".join(FOLDED.values())))
+    return F.array_distinct(F.filter(F.split(plain, f"{WS}+"), lambda t: F.length(t) > 2))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -63,7 +63,8 @@ class Tables:
 
     @property
     def seen(self) -> DataFrame:
-        return rel.observations(self.v1)
+        # Anchors are a question's first words, so that no more of the texts is read.
+        return rel.observations(rel.exam_rows(self.documents.withColumn("text", F.substring_index("text", " ", 6))))
 
     @property
     def geo(self) -> DataFrame:
@@ -704,7 +705,7 @@ def truth_score(t: Tables) -> DataFrame:
 
 def _alike(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
-    return grading.similarity_candidates(texts, texts).filter("ref_id < var_id")
+    return grading.similarity_candidates(texts, texts, ascending=True)
 
 
 _FOLDED = squeezed("regexp_replace(regexp_replace(regexp_replace(text, '[‘’ʼ]', '''', 'g'), '[“”]', '\"', 'g'), '[‐-―]', '-', 'g')")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import time
 from datetime import datetime, timedelta
@@ -87,8 +88,14 @@ def test_candidates_meet_under_rare_tokens(spark):
     score = lambda a, b: len(texts[a] & texts[b]) / max(len(texts[a]), len(texts[b]))
     want = {(a, b): score(a, b) for a in texts for b in texts if a % 3 == 0 and b % 3 and score(a, b) >= 0.5}
     assert want and {(r["ref_id"], r["var_id"]): r["score"] for r in found.collect()} == pytest.approx(want)
-    r, v = (df.filter(f).selectExpr(f"id {side}_id", f"split(text, ' ') {side}_t") for side, f in (("ref", "id % 3 = 0"), ("var", "id % 3 <> 0")))
-    assert grading.meeting(r, v, 0.5).count() < 100 * 200 / 5
+    # Sets of few and of many tokens, empty and null texts; both sides from one table.
+    r = random.Random(8)
+    texts = {i: {r.choice("abcdefghijkl") * 3 + str(r.randrange(4)) for _ in range(r.choice([0, 1, 2, 5, 20, 40]))} for i in range(150)}
+    df = spark.createDataFrame([(i, " ".join(sorted(t))) for i, t in texts.items()] + [(900, None), (901, "of no it")], "id long, text string")
+    for least in (0.5, 0.8, 1.0):
+        found = grading.similarity_candidates(df, df, least, ascending=True)
+        want = {(a, b): score(a, b) for a in texts for b in texts if a < b and texts[a] and texts[b] and score(a, b) >= least}
+        assert {(x["ref_id"], x["var_id"]): x["score"] for x in found.collect()} == pytest.approx(want)
 
 
 def test_mode_ties_go_to_the_larger(spark):
