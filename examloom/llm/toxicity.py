@@ -36,9 +36,8 @@ GRAM = 5
 PER_CLASS, CLASS_BYTES = 1500, 1 << 23
 #: Bytes of the block that both dictionaries end in, and of what each has of its own.
 SHARED, OWN = 110_000, 2_048
-#: The ordinary prose that dictionaries are trained on comes in pieces of so many bytes, at most so many of them (drawn at random from the sample);
-#: the ordinary dictionary's own part is trained on the middle of each, of about the length of a telling stretch.
-PROSE, PROSE_PIECES, MIDDLE = 128, 30_000, slice(20, 44)
+#: All ordinary prose of the sample is cut into pieces of about so many bytes for the shared block, and these into pieces of about the length of a telling stretch for the ordinary dictionary's own part.
+PROSE, STRETCH = 128, 24
 FOLDS = 2
 
 
@@ -135,13 +134,13 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.3)
 def dictionaries(toxic: list[bytes], ordinary: list[bytes], rng: np.random.Generator) -> ToxicityModel:
     """A model without a calibration."""
     prose = [w for t in ordinary for w in windows(t, PROSE)]
-    prose = [prose[i] for i in rng.permutation(len(prose))[:PROSE_PIECES]]
+    prose = [prose[i] for i in rng.permutation(len(prose))]
     grams = telling_grams(toxic, ordinary)
     found = [s for t in toxic for s in telling_stretches(t, grams)]
     found = [found[i] for i in rng.permutation(len(found))]
     shared = dictionary(prose, SHARED)
     told = dictionary([b"".join(found[i : i + 4]) for i in range(0, len(found), 4)], OWN)
-    plain = dictionary([w[MIDDLE] for w in prose], OWN)
+    plain = dictionary([w[i : i + STRETCH] for w in prose for i in range(0, len(w), STRETCH)], OWN)
     return ToxicityModel(told + shared or b" ", plain + shared or b" ", np.zeros(4), np.ones(4), np.zeros(4), 0.0)
 
 
