@@ -205,8 +205,16 @@ def inline_options(line: Column) -> Column:
 
 
 def short_number(n: Column) -> Column:
-    """thousands with one decimal and a k."""
-    return F.when(n >= 1000, F.concat(F.format_string("%.1f", (n / 1000).cast("double")), F.lit("k"))).otherwise(n.cast("string"))
+    """whole thousands with one decimal and a k. A half is rounded as the binary fraction nearest to it lies: up from the half itself and above, else down."""
+    n = n.cast("bigint")
+    x = n.cast("double") / F.lit(1000.0)
+    # That fraction as a whole number of very small parts, held against the exact one.
+    parts = F.when(x < 1 << 11, F.lit(1 << 52)).when(x < 1 << 21, F.lit(1 << 42)).otherwise(F.lit(1 << 31))
+    above = (x * parts).cast("bigint").cast("decimal(19,0)") * F.lit(1000).cast("decimal(4,0)") >= n.cast("decimal(19,0)") * parts.cast("decimal(19,0)")
+    rest = n % 100
+    tenths = F.floor(n / 100) + F.when((rest > 50) | ((rest == 50) & above), 1).otherwise(0)
+    shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))
+    return F.when(n >= 1000, shown).otherwise(n.cast("string"))
 
 
 def cleaned_topics(topics: Column) -> Column:

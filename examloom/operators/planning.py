@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from examloom.functions import text as tx
 from examloom.operators import review
+from examloom.order import ranked
 
 #: Answer policies that claim evidence on the pages, and those of a key that can't be used.
 EVIDENCE_POLICIES = ("separate_key", "inline_marks", "mixed")
@@ -115,10 +116,10 @@ def ref_order(refs: DataFrame) -> DataFrame:
     return refs.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("page", number(1), number(2))))
 
 
-def commonest_first(values: DataFrame, value: str, most: int = 1000) -> DataFrame:
-    """The ``most`` commonest values with n and place (a top-k report); equal counts in the order of the values."""
-    n = values.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(most)
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), value)))
+def commonest_first(values: DataFrame, value: str) -> DataFrame:
+    """All values with n and place, the commonest first, equal counts in the order of the values."""
+    placed, _ = ranked(values.groupBy(value).agg(F.count("*").alias("n")), [F.desc("n"), F.col(value).asc()])
+    return placed.select(value, "n", F.col("rank").cast("int").alias("place"))
 
 
 def first_errors(violations: DataFrame) -> DataFrame:

@@ -874,4 +874,4 @@ def remapped_answers(t: Tables) -> DataFrame:
     return t.v1.select("id", assembly.remapped_index((F.col("doc_id") % 4).cast("int"), F.col("options"), after).alias("idx"))
 
 # The queries of these modules register themselves, with what stands above.
-from examloom.plans import blueprint_queries, edit_queries, narrowing_queries, planning_queries, source_queries, store_queries  # noqa: E402,F401
+from examloom.plans import blueprint_queries, edit_queries, narrowing_queries, outcome_queries, planning_queries, source_queries, store_queries  # noqa: E402,F401

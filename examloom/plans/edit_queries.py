@@ -44,15 +44,15 @@ def archive_names(t: Tables) -> DataFrame:
 
 
 @query(
-    f""", f AS (SELECT id, question, options, correct_index, {trim("question")} || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END AS nq, doc_id, len(options) AS n FROM exam_rows WHERE regexp_full_match(correct_index, '[0-9]*')),
-    m AS (SELECT *, doc_id % 2 = 0 AND n > 1 AS turned, CASE WHEN doc_id % 9 = 0 OR n = 0 THEN NULL ELSE 0 END AS choice, CASE WHEN doc_id % 5 = 0 THEN 0 END AS stored, TRY_CAST(nullif(correct_index, '') AS INT) AS i FROM f),
-    d AS (SELECT *, CASE WHEN choice IS NULL THEN '' WHEN turned AND i IS NOT NULL THEN CASE WHEN i < n THEN CAST(n - 1 - i AS VARCHAR) ELSE '' END ELSE correct_index END AS ix FROM m)
+    f""", f AS (SELECT id, question, options, correct_index, {trim("question")} || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END AS nq, doc_id, len(options) AS n FROM exam_rows),
+    m AS (SELECT *, doc_id % 2 = 0 AND n > 1 AS turned, CASE WHEN doc_id % 9 = 0 OR n = 0 THEN NULL ELSE 0 END AS choice, CASE WHEN doc_id % 5 = 0 THEN 0 END AS stored, TRY_CAST(correct_index AS INT) AS i FROM f),
+    d AS (SELECT *, CASE WHEN choice IS NULL THEN '' WHEN turned AND correct_index <> '' THEN CASE WHEN i < n THEN CAST(n - 1 - i AS VARCHAR) ELSE '' END ELSE correct_index END AS ix FROM m)
     SELECT id, CASE WHEN nq <> question THEN nq END AS new_question, CASE WHEN ix <> correct_index THEN ix END AS new_index,
     CASE WHEN choice IS NULL THEN CASE WHEN stored IS NULL THEN 'keep' ELSE 'clear' END WHEN stored IS NOT NULL THEN 'keep' WHEN ix = '0' THEN 'keep' ELSE '0' END AS resolution, CASE WHEN turned THEN CAST(n - 1 AS INT) END AS new_ai FROM d""",
     "exam_rows",
 )
 def save_plans(t: Tables) -> DataFrame:
-    rows = t.v1.filter(F.col("correct_index").rlike("^[0-9]*$"))
+    rows = t.v1
     n = F.size("options")
     places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     turned = (F.col("doc_id") % 2 == 0) & (n > 1)
@@ -96,9 +96,13 @@ def question_leaks(t: Tables) -> DataFrame:
     return t.v1.select("id", tx.leaks(q).alias("l")).select("id", "l.label", "l.number")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || '|' || p_type || '|x|' || p_brand END AS options, CASE WHEN p_partkey * 37 >= 1000 THEN printf('%.1f', p_partkey * 37 / 1000.0) || 'k' ELSE CAST(p_partkey * 37 AS VARCHAR) END AS shown FROM part WHERE p_partkey * 37 % 100 <> 50")
+#: One decimal of n thousandths: halves as their nearest double lies, in whole numbers of 2**-52.
+_TENTHS = "(n // 100 + CASE WHEN n % 100 > 50 OR (n % 100 = 50 AND CAST(n / 1000.0::DOUBLE * 4503599627370496 AS HUGEINT) * 1000 >= CAST(n AS HUGEINT) * 4503599627370496) THEN 1 ELSE 0 END)"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || '|' || p_type || '|x|' || p_brand END AS options, CASE WHEN n >= 1000 THEN CAST({_TENTHS} // 10 AS VARCHAR) || '.' || CAST({_TENTHS} % 10 AS VARCHAR) || 'k' ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT *, p_partkey * 37 AS n FROM part)")
 def inline_option_lines(t: Tables) -> DataFrame:
-    part = t.part.filter("p_partkey * 37 % 100 <> 50")
+    part = t.part
     line = F.concat(F.lit("A) "), "p_name", F.lit("  B) "), "p_type", F.lit(" C. x (D) "), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(""))
     return part.select("p_partkey", joined(tx.inline_options(line)).alias("options"), tx.short_number(F.col("p_partkey") * 37).alias("shown"))
 

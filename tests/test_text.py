@@ -84,3 +84,13 @@ def test_forced_answer(spark, policy, reason, answer, want):
 )
 def test_flag_category(spark, reason, answer, want):
     assert one(spark, review.flag_category(F.col("r"), F.col("a")), r=reason, a=answer) == want
+
+
+def test_short_numbers(spark):
+    """Halves fall as the nearest double does: 1.25 is exact and goes up, 1.15 lies below and 1.45 too, 8.35 above."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    ns = [0, 999, 1000, 1049, 1050, 1051, 1150, 1250, 1350, 1450, 8350, 9950, 9999, 123450, 2048050, 2048150, 99_999_950, 2_100_000_050, 3_000_000_150, *range(1050, 60_000, 100)]
+    want = {n: str(n) if n < 1000 else f"{Decimal(n / 1000).quantize(Decimal('0.1'), ROUND_HALF_UP)}k" for n in ns}
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert {r["n"]: r["s"] for r in df.select("n", tx.short_number(F.col("n")).alias("s")).collect()} == want
