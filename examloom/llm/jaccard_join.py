@@ -1,7 +1,7 @@
 """Operator 4, n-gram Jaccard join by vertical partitioning.
 
-A document is its set of word 5-grams, as 64-bit hashes. Documents with equal sets are one class, named by a hash of its set, and
-classes are joined:
+A document is its set of word 5-grams, as 64-bit hashes. Documents whose sets agree in size and in 128 bits of hashes are one class; classes have numbers
+of their own, and are joined:
 
 1. *First fragment.* Of each set, the least quarter of the hashes is dealt out by hash. A partner at the threshold shares
    all but a fifth of a set, so a class that shares too few of this fragment with any other has no partner at all.
@@ -39,11 +39,11 @@ ALIKE = 80
 BLOCK = 256
 FRAGMENTS = 4
 TEXT_BYTES = 1 << 20
-#: So many ids or fewer (8 bytes each) are broadcast to the texts; more are joined by a shuffle.
+#: So many ids or classes or fewer (8 or 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
 FEW_IDS = 500_000
 
 SETS = "doc_id long, n long, key_a long, key_b long, grams array<long>"
-POSTED, POSTED_BY_ID = "gram long, node long, n long", "gram long, node long, n long, key_b long, doc_id long"
+POSTED = "gram long, node long, n long"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +102,18 @@ def first_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), *keys, lists], names=["doc_id", "n", "key_a", "key_b", "grams"])
 
 
-def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """POSTED_BY_ID of (doc_id, text): a row for each gram of each set."""
-    for ids, n, r, h in _blocks(batches):
-        a, b = set_keys(n, h)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(x[r]) for x in (a, n.astype(np.int64), b)), ids.take(pa.array(r))], names=["gram", "node", "n", "key_b", "doc_id"])
-
-
-def bare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """POSTED of (doc_id, text)."""
-    for batch in whole_sets(batches):
-        yield batch.select(["gram", "node", "n"])
+def class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """POSTED of (doc_id, text, node, n, key_a, key_b): a row for each gram of each text that is of its row's class; a text of another class under the same id has none."""
+    for batch in batches:
+        data, offsets = flat(batch.column("text"))
+        node, *own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "key_a", "key_b"))
+        for lo, hi in groups(offsets, TEXT_BYTES):
+            r, h = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            n = np.bincount(r, minlength=hi - lo)
+            same = np.logical_and.reduce([x == y[lo:hi] for x, y in zip((n, *set_keys(n, h)), own, strict=True)])
+            keep = same[r]
+            r, h = r[keep], h[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[lo:hi][r]), pa.array(n[r].astype(np.int64))], names=["gram", "node", "n"])
 
 
 def missing_at_most(n: Column) -> Column:
@@ -139,16 +140,13 @@ def postings(docs: DataFrame, able: DataFrame) -> DataFrame:
 
     Each class is read from one document. Of several texts under one id, those count whose sets are in ``able``.
     """
-    ids = materialize(able.select("doc_id").distinct())
-    few = ids.count() <= FEW_IDS
-    mine = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    if mine.select("doc_id").count() == able.count():
-        held = mine.mapInArrow(bare_sets, POSTED)
-    else:
-        # Repeated rows of a document are one holder, and other texts under its id none.
-        keys = ["doc_id", "n", "node", "key_b"]
-        known = able.select(*keys)
-        held = mine.mapInArrow(whole_sets, POSTED_BY_ID).join(F.broadcast(known) if few else known, keys, "left_semi").select("gram", "node", "n").distinct()
+    able = able.select("doc_id", "node", "n", "key_a", "key_b")
+    classes = able.count()
+    mine = docs.select("doc_id", "text").join(F.broadcast(able) if classes <= FEW_IDS else able, "doc_id")
+    held = mine.mapInArrow(class_sets, POSTED)
+    if mine.select("doc_id").count() != classes:
+        # Repeated rows of a document are one holder.
+        held = held.distinct()
     return held.join(shared_grams(held), "gram").select("gram", "node", "n", "holders")
 
 
@@ -314,7 +312,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = materialize(docs.mapInArrow(first_fragments, SETS))
     able = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     keys = ["n", "key_a", "key_b"]
-    classes = materialize(sets.filter(able).groupBy(*keys).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("key_a")))
+    classes = materialize(sets.filter(able).groupBy(*keys).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
     likely = survivors(sets.filter(able)).select(*keys).distinct()
     posted = materialize(postings(docs, materialize(classes.join(likely, keys))))
     linked = class_links(posted).join(classes, "node").select("component", *keys, "doc_id")

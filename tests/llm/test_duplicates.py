@@ -77,6 +77,17 @@ def test_jaccard_against_brute_force(spark):
     assert len({want[i] for i in range(100, 112)}) == 1
 
 
+def test_many_classes_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW_IDS", 0)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_components(brute_sets(rows))
+    found = jaccard_join.jaccard_components(df)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+    copies = found.filter("doc_id <> component_id")
+    assert {r["doc_id"] for r in jaccard_join.without(df, copies).collect()} == {i for i, c in want.items() if i == c}
+
+
 def test_odd_rows_in_the_join(spark, odd, none):
     got = jaccard_join.jaccard_components(odd).collect()
     by = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
