@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examloom.functions import text as tx
@@ -12,9 +12,10 @@ FIELDS = ("topic", "subtopic", "year")
 
 def jump_index(rows: DataFrame, number: int) -> DataFrame:
     """Per run, the place from 0 of the row with a question number, -1 without one. ``rows``: run_id, question_number."""
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("question_number")) - 1
-    at = F.min(F.when(F.col("question_number") == number, F.col("place")))
-    return rows.withColumn("place", place).groupBy("run_id").agg(F.coalesce(at, F.lit(-1)).alias("index"))
+    # The place of a number is how many are below it.
+    n = F.col("question_number")
+    there, below = F.max(n == number), F.count_if(n < number)
+    return rows.groupBy("run_id").agg(F.when(there, below).otherwise(-1).cast("int").alias("index"))
 
 
 def export_columns(topics: bool, year: bool) -> list[str]:

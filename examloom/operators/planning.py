@@ -1,4 +1,4 @@
-"""Rules of a plan and of what comes back for it (P17, P19, P21, P22, P31, P35-P37, J37, J41, J48, J49, A6, A10, A15, A18, A20, A21, A25, A27, A28, A30, W4, W8, W17, L1, L2, L5, L8, L9, U3, U5, U7-U10)."""
+"""Rules of a plan and of what comes back for it (P17, P19, P21, P22, P31, P35-P37, J37, J41, J48, J49, A6, A10, A15, A20, A21, A28, A30, W4, W17, L1, L2, L5, L8, U3, U5, U7-U10)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from examloom.functions import text as tx
 from examloom.operators import review
-from examloom.order import ranked
+from examloom.order import ranked, ranked_within
 
 #: Answer policies that claim evidence on the pages, and those of a key that can't be used.
 EVIDENCE_POLICIES = ("separate_key", "inline_marks", "mixed")
@@ -113,7 +113,8 @@ def reconcile_counts(seen: DataFrame, kept: DataFrame) -> DataFrame:
 def ref_order(refs: DataFrame) -> DataFrame:
     """L1: ``place`` by page and by the numbers in ``ref`` (w2q10 comes behind w2q9)."""
     number = lambda k: F.regexp_extract("ref", r"^w(\d+)q(\d+)$", k).try_cast("long")
-    return refs.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy("page", number(1), number(2))))
+    placed = ranked_within(refs, "run_id", [F.col("page").asc(), number(1).asc(), number(2).asc()])
+    return placed.withColumn("place", F.col("rank").cast("int")).drop("rank")
 
 
 def commonest_first(values: DataFrame, value: str) -> DataFrame:
@@ -162,8 +163,8 @@ def image_paths(rows: DataFrame) -> DataFrame:
 def stitched_ids(rows: DataFrame) -> DataFrame:
     """Printed ids where they are distinct and not blank in all of a run's windows, else numbers in their order. ``rows``: run_id, pos, printed."""
     unique = rows.groupBy("run_id").agg(((F.count_distinct("printed") == F.count("*")) & (F.count_if(F.col("printed") == "") == 0)).alias("keep"))
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("pos")).cast("string")
-    return rows.join(unique, "run_id").select("run_id", "pos", F.when(F.col("keep"), F.col("printed")).otherwise(n).alias("id"))
+    placed = ranked_within(rows.select("run_id", "pos", "printed"), "run_id", [F.col("pos").asc()])
+    return placed.join(unique, "run_id").select("run_id", "pos", F.when(F.col("keep"), F.col("printed")).otherwise(F.col("rank").cast("string")).alias("id"))
 
 
 def sequential(labels: Column, style: str) -> Column:

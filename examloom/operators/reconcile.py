@@ -6,24 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.functions import text as tx
+from examloom.order import ranked_within
 from examloom.rounds import first_independent
 from examloom.storage import materialize
 
 
 def planned_windows(pages: DataFrame, size: int, context: int = 1) -> DataFrame:
     """(run_id, page, win, role): cores of ``size`` rendered pages, and the rendered neighbours as context."""
-    ranked = pages.select("run_id", "page").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy("page")) - 1)
+    ranked = ranked_within(pages.select("run_id", "page").distinct(), "run_id", [F.col("page").asc()]).withColumn("rank", F.col("rank").cast("int") - 1)
     core = F.floor(F.col("rank") / size).cast("int")
     near = F.floor((F.col("rank") + F.col("step")) / size).cast("int")
     steps = F.explode(F.array(*(F.lit(s) for s in range(-context, context + 1))))
-    most = F.max(core).over(Window.partitionBy("run_id"))
-    seen = ranked.withColumn("last", most).withColumn("step", steps).withColumn("win", near).filter((F.col("rank") + F.col("step") >= 0) & (F.col("win") <= F.col("last")))
+    last = ranked.groupBy("run_id").agg(F.max(core).alias("last"))
+    seen = ranked.join(last, "run_id").withColumn("step", steps).withColumn("win", near).filter((F.col("rank") + F.col("step") >= 0) & (F.col("win") <= F.col("last")))
     return seen.select("run_id", "page", "win", F.when(F.col("win") == core, "core").otherwise("context").alias("role")).distinct()
 
 
 def chunked(rows: DataFrame, size: int = 10) -> DataFrame:
     """Rows in chunks of a fixed size, in order."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("run_id").orderBy("pos")) - 1) / size).cast("int"))
+    return ranked_within(rows, "run_id", [F.col("pos").asc()]).withColumn("chunk", F.floor((F.col("rank") - 1) / size).cast("int")).drop("rank")
 
 
 def localized(windows: DataFrame, responses: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The record store as append-only tables (S6-S11, J32-J34, J45, P8, P12-P14, P25, P34, A24, A31, L3, L4, M1-M16, W14); day tallies (M17) are counted from the log in ``telemetry``."""
+"""The record store as append-only tables (S6-S10, J32-J34, J45, P8, P12-P14, P25, P34, A24, L3, L4, M1, M8-M16, W14). Writers that share a table are in ``keyed_log`` and ``overlays``, folders and tallies in ``outcomes``."""
 
 from __future__ import annotations
 

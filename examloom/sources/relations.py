@@ -76,7 +76,7 @@ def planned_rows(rows: DataFrame) -> DataFrame:
         page.alias("page"),
         "image_url",
     )
-    return planned.withColumn("page_count", F.max("page").over(Window.partitionBy("run_id")))
+    return planned.join(planned.groupBy("run_id").agg(F.max("page").alias("page_count")), "run_id")
 
 
 def resolutions(labels: DataFrame) -> DataFrame:
