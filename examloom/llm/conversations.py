@@ -186,8 +186,8 @@ def _joined(values: Column) -> Column:
 def repair(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(report, repaired turns) of ``talks`` (conv_id, turn, role, text).
 
-    The report has one row for each conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost and audit, as the README of this operator's query
-    defines them. The turns are the repaired rows: conv_id, conversation (its key, never null), block, rid and place (their order), alone (whether its conversation is one segment), role and text.
+    The report has one row for each conversation: conv_id; gaps, the turn numbers that are missing between the least and the greatest; blank, duplicate and truncated, its rows by their first fault;
+    illegal, neighbours whose role initials aren't su, ua or au; cost and audit of its cheapest edits. The turns are the repaired rows: conv_id, conversation (its key, never null), block, rid and place (their order), alone (whether its conversation is one segment), role and text.
 
     Rows go by turn, nulls first, then by role, then by the SHA-256 of role and text; a null conv_id is a conversation of its own; null roles and texts
     are one space. Repeated rows are duplicates. An empty table gives empty results; other columns aren't read. Rows are told to be
