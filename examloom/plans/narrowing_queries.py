@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from examloom.operators import narrowing
 from examloom.plans.catalogue import Tables, query
 from examloom.plans.oracle_relations import trim
-from examloom.storage import materialize
+from examloom.storage import materialize, spread
 
 _DAY = "CASE WHEN p_partkey % 23 = 0 THEN '5' ELSE '\"2024-01-0' || CAST(p_partkey % 9 + 1 AS STRING) || '\"' END"
 
@@ -40,7 +40,9 @@ _PAGE = lambda path, of="v": f"coalesce({_NUMBER(path, of)} >= 1 AND {_NUMBER(pa
 
 
 def responses(t: Tables) -> DataFrame:
-    return narrowing.read_responses(t.part.select("p_partkey", F.expr(RESPONSE).alias("text"))).withColumn("run_id", F.col("p_partkey"))
+    # Written once: filters and lists over values would else make and parse the texts again for each of their parts.
+    texts = spread(t.part.select("p_partkey", "p_name", "p_size"), "p_partkey").select("p_partkey", F.expr(RESPONSE).alias("text"))
+    return materialize(narrowing.read_responses(texts).select("p_partkey", "value")).withColumn("run_id", F.col("p_partkey"))
 
 
 _GOOD_QUESTION = " AND ".join(

@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all cores by ``key``: short rows that become long texts lie in few, small files, whose tasks would make all the texts."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from examloom.operators import blueprint, narrowing
-from examloom.plans import blueprint_queries
+from examloom.plans import blueprint_queries, narrowing_queries
+from examloom.plans.catalogue import Tables
+from examloom.storage import spread
 
 NAME = "spark.sql.variant.allowDuplicateKeys"
 
@@ -81,3 +83,19 @@ def test_no_responses(spark):
     found = validate(spark, [])
     assert [df.count() for df in found] == [0, 0, 0, 0]
     assert [r["violation"] for r in validate(spark, [None]).violations.collect()] == ["not_json"]
+
+
+def test_types_without_schemas(spark):
+    texts = ['{"a":1}', "{}", "[]", "[1,null]", "null", "3", '"x"', "true", "no json"]
+    df = narrowing.read_responses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"))
+    read = df.select("i", narrowing.is_record(F.col("value")).alias("record"), F.size(narrowing.items_at(F.col("value"), "$")).alias("n"), narrowing.is_record(F.col("value"), "$.a").alias("inner"))
+    assert [(r["record"], r["n"], r["inner"]) for r in read.orderBy("i").collect()] == [(True, None, False), (True, None, False), (False, 0, False), (False, 2, False), *[(False, None, False)] * 5]
+    # The schema of all that an object or array holds is not made to tell what it is.
+    assert "schema_of_variant" not in read._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("name", ["quota_rows", "indexed_questions", "boxed_figure_rows", "audit_reports", "resolved_questions", "under_extracted", "index_windows"])
+def test_responses_are_parsed_once_on_all_cores(spark, name):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    assert "parse_json" not in getattr(narrowing_queries, name)(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert spread(spark.range(8).coalesce(1), "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
