@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examloom.operators.narrowing import POLICIES, flag_at, is_record, items_at, kind, let, number_at, string_at
+from examloom.operators.narrowing import POLICIES, flag_at, is_record, items_at, let, number_at, string_at
 from examloom.operators.planning import EVIDENCE_POLICIES
 from examloom.storage import materialize
 
@@ -86,33 +86,40 @@ def _assets(responses: DataFrame) -> DataFrame:
 
 def _rows(responses: DataFrame) -> DataFrame:
     r, each = F.col("r"), responses.filter(is_record(F.col("value"))).select("run_id", F.posexplode(items_at(F.col("value"), "$.planned_rows")).alias("i", "r"))
-    fields = ("id", "topic", "subtopic", "year")
-    mode, shape = string_at(r, "$.question_assembly.mode"), string_at(r, "$.question_assembly.final_format")
-    assembled = F.coalesce(is_record(r, "$.question_assembly") & mode.isin(*FORMATS) & shape.isNotNull(), F.lit(False))
+    fields, policy = ("id", "topic", "subtopic", "year"), ("type", "value", "needs_review")
+    part = lambda path: F.try_variant_get(r, path, "variant")
+
+    def region(name: str) -> Column:
+        v = F.col(f"_{name}")
+        given = F.col("has_regions") & v.isNotNull() & ~F.is_variant_null(v)
+        return F.struct(F.lit(name).alias("name"), given.alias("given"), is_record(v).alias("is_object"), number_at(v, "$.page").alias("page"), any_box(v, "$.box_2d").alias("box"), string_at(v, "$.anchor").alias("anchor"))
+
+    # Parts first, and then what is in them, so that each is read from the row once.
+    parts = each.select(
+        "run_id", "i", is_record(r).alias("is_object"), *(string_at(r, f"$.{c}").alias(c) for c in fields), part("$.question_assembly").alias("_assembly"), is_record(r, "$.regions").alias("has_regions"),
+        *(part(f"$.regions.{n}").alias(f"_{n}") for n in REGIONS), only_strings(r, "$.image_urls").alias("image_urls"), part("$.correct_index_policy").alias("_policy"), part("$.worker_task").alias("_task"),
+    )
+    typed = parts.select(
+        "run_id", "i", "is_object", *fields, is_record(F.col("_assembly")).alias("_assembles"), string_at(F.col("_assembly"), "$.mode").alias("_mode"), string_at(F.col("_assembly"), "$.final_format").alias("final_format"), "has_regions",
+        F.array(*map(region, REGIONS)).alias("regions"), "image_urls", is_record(F.col("_policy")).alias("_has_policy"), *(string_at(F.col("_policy"), f"$.{c}").alias(f"policy_{c}") for c in policy),
+        is_record(F.col("_task")).alias("_has_task"), *(F.coalesce(flag_at(F.col("_task"), f"$.{c}"), F.lit(False)).alias(c) for c in TASKS),
+    )
+    mode, shape = F.col("_mode"), F.col("final_format")
+    assembled = F.coalesce(F.col("_assembles") & mode.isin(*FORMATS) & shape.isNotNull(), F.lit(False))
     accepted = F.when(mode == PLAIN, shape.isin(*FORMATS[PLAIN])).otherwise(shape.isin(*FORMATS[CASE]))
-    policy = [string_at(r, f"$.correct_index_policy.{c}") for c in ("type", "value", "needs_review")]
     rules = _found(
-        *((string_at(r, f"$.{c}").isNull(), c) for c in fields),
-        (string_at(r, "$.id") == "", "id_empty"),
-        (only_strings(r, "$.image_urls").isNull(), "image_urls"),
+        *((F.col(c).isNull(), c) for c in fields),
+        (F.col("id") == "", "id_empty"),
+        (F.col("image_urls").isNull(), "image_urls"),
         (~assembled, "question_assembly"),
         (assembled & ~accepted, "final_format"),
-        (~is_record(r, "$.regions"), "regions"),
-        (~is_record(r, "$.correct_index_policy") | policy[0].isNull() | policy[1].isNull() | policy[2].isNull(), "correct_index_policy"),
-        (~is_record(r, "$.worker_task"), "worker_task"),
+        (~F.col("has_regions"), "regions"),
+        (~F.col("_has_policy") | F.col("policy_type").isNull() | F.col("policy_value").isNull() | F.col("policy_needs_review").isNull(), "correct_index_policy"),
+        (~F.col("_has_task"), "worker_task"),
     )
-
-    def region(name: str) -> Column:
-        at = f"$.regions.{name}"
-        given = is_record(r, "$.regions") & kind(r, at).isNotNull() & (kind(r, at) != "VOID")
-        return F.struct(
-            F.lit(name).alias("name"), F.coalesce(given, F.lit(False)).alias("given"), is_record(r, at).alias("is_object"), number_at(r, f"{at}.page").alias("page"), any_box(r, f"{at}.box_2d").alias("box"), string_at(r, f"{at}.anchor").alias("anchor")
-        )
-
-    return each.select(
-        "run_id", "i", F.when(is_record(r), rules).otherwise(F.array(F.lit("not_an_object"))).alias("broken"), is_record(r).alias("is_object"), is_record(r, "$.regions").alias("has_regions"), *(string_at(r, f"$.{c}").alias(c) for c in fields),
-        F.when(assembled, mode).otherwise(PLAIN).alias("mode"), shape.alias("final_format"), F.array(*map(region, REGIONS)).alias("regions"), only_strings(r, "$.image_urls").alias("image_urls"),
-        *(c.alias(f"policy_{n}") for c, n in zip(policy, ("type", "value", "needs_review"), strict=True)), *(F.coalesce(flag_at(r, f"$.worker_task.{c}"), F.lit(False)).alias(c) for c in TASKS),
+    return typed.select(
+        "run_id", "i", F.when(F.col("is_object"), rules).otherwise(F.array(F.lit("not_an_object"))).alias("broken"), "is_object", "has_regions", *fields, F.when(assembled, mode).otherwise(PLAIN).alias("mode"), "final_format", "regions",
+        "image_urls", *(f"policy_{c}" for c in policy), *TASKS,
     )
 
 

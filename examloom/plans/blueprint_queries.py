@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from examloom.operators import blueprint, narrowing
 from examloom.operators.blueprint import CONSTRAINTS, CSV_SCHEMA, FORMATS, REGIONS
 from examloom.plans.catalogue import Tables, query
+from examloom.storage import spread
 
 _BOX = [10, 20.5, 30, 40]
 
@@ -75,7 +76,7 @@ def _text(spark: bool) -> str:
 
 
 def blueprints(t: Tables) -> blueprint.Blueprints:
-    responses = narrowing.read_responses(t.part.select(F.col("p_partkey").alias("run_id"), F.expr(_text(True)).alias("text")))
+    responses = narrowing.read_responses(spread(t.part.select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("run_id"), F.expr(_text(True)).alias("text")))
     # A third of the runs lacks a page.
     rendered = t.part.select(F.col("p_partkey").alias("run_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"), "p_size").filter("p_size % 9 <> 0 or page <> 2")
     return blueprint.validated(responses, rendered)

@@ -99,3 +99,10 @@ def test_responses_are_parsed_once_on_all_cores(spark, name):
     tables = Tables(spark, "/root/testdata/sf0.001")
     assert "parse_json" not in getattr(narrowing_queries, name)(tables)._jdf.queryExecution().optimizedPlan().toString()
     assert spread(spark.range(8).coalesce(1), "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_blueprints_are_read_part_by_part(spark):
+    responses = narrowing.read_responses(spark.createDataFrame([(1, blueprint_queries.CASES[0])], "run_id long, text string"))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "$.question_assembly.mode" not in plan(blueprint._rows(responses)) and "$.regions.options.page" not in plan(blueprint._rows(responses))
+    assert plan(blueprint._heads(responses)).count("schema_of_variant") <= 20
