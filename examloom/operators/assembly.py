@@ -107,7 +107,9 @@ def united_policy(windows: DataFrame) -> DataFrame:
 def next_unresolved(rows: DataFrame, open_: Column) -> DataFrame:
     """For each row, the position of the next open row of its run, from the start again behind the last; null without another one."""
     by = Window.partitionBy("run_id").orderBy("pos")
-    later = F.min(F.when(open_, F.col("pos"))).over(by.rowsBetween(1, Window.unboundedFollowing))
+    # From behind, as a frame that ends with the group is gone through anew for each row.
+    back = Window.partitionBy("run_id").orderBy(F.desc("pos"))
+    later = F.min(F.when(open_, F.col("pos"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     first = F.min(F.when(open_, F.col("pos"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("next_open", F.coalesce(later, first))
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from examloom.operators import answers, reconcile, review, stitch, store, telemetry
+from examloom.operators import answers, assembly, reconcile, review, stitch, store, telemetry
 from examloom.sources import files
 
 
@@ -191,3 +191,11 @@ def test_assembly(spark):
     assert {r["path"]: r["reason"] for r in assembly.crop_failures(assets, pages, made).collect()} == {"p2": "page_missing", "p3": "empty_box", "p4": "not_produced"}
     rows = spark.createDataFrame([("r", 0, "1", ""), ("r", 1, "9", "p3")], "run_id string, chunk int, id string, image_url string")
     assert sorted((r["chunk"], r["path"]) for r in assembly.chunk_assets(assets, rows).collect()) == [(0, "p1"), (1, "p3")]
+
+
+def test_next_unresolved_in_one_pass(spark):
+    """The next open row, from the start again behind the last; no frame is gone through anew for each row."""
+    rows = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, False), ("a", 4, True), ("b", 1, True), ("c", 1, False)], "run_id string, pos int, open boolean")
+    got = assembly.next_unresolved(rows, F.col("open"))
+    assert {(r["run_id"], r["pos"]): r["next_open"] for r in got.collect()} == {("a", 1): 2, ("a", 2): 4, ("a", 3): 4, ("a", 4): 2, ("b", 1): None, ("c", 1): None}
+    assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
