@@ -10,6 +10,7 @@ gathers these numbers for all positions of the whole text and averages them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,9 +109,19 @@ def train(bags: list[bytes], labels: np.ndarray, dim: int = 8, epochs: int = 6,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> SubwordClassifier:
     """Fits on a bounded sample of labelled documents of the classes 0 and 1; ``docs`` needs doc_id and text, ``labels`` doc_id and the label."""
     picked = sample(in_small_batches(docs), labels.select("doc_id", label).filter(F.col(label).isin(0, 1)), label, per_class, class_bytes)
-    rows = picked.select("doc_id", "label", F.arrow_udf(bag, T.BinaryType())("text").alias("bag")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([bytes(r["bag"]) for r in rows], np.array([int(r["label"]) for r in rows], np.int64))
+    bags = picked.select("doc_id", "label", F.arrow_udf(bag, T.BinaryType())("text").alias("bag"))
+    # The sample is bounded, so one task learns from it; the driver gets the model alone, not the bags.
+    rows = bags.repartition(1).mapInArrow(_learned, "contribution binary, bias double").collect()
+    if not rows:
+        return train([], np.zeros(0, np.int64))
+    return SubwordClassifier(np.frombuffer(rows[0]["contribution"], np.float32), rows[0]["bias"])
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of (doc_id, label, bag), as a row."""
+    rows = sorted((row for b in batches for row in b.to_pylist()), key=lambda r: r["doc_id"])
+    model = train([r["bag"] for r in rows], np.array([int(r["label"]) for r in rows], np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([model.contribution.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["contribution", "bias"])
 
 
 def score(model: SubwordClassifier, text: Column) -> Column:

@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,14 @@ def test_votes_within_the_family():
 def test_windows_hold_the_whole_text():
     for text in (b"", b"a", b"x" * 1000, b"word " * 500, "é ".encode() * 333):
         assert b"".join(toxicity.windows(text)) == text
+
+
+def test_quality_is_learned_in_a_task(spark, monkeypatch):
+    """The driver gets the model, not what it was learned from; the model is the one that a loop in the driver gives."""
+    docs = spark.createDataFrame([(i, f"{'good plain words' if i % 2 else 'click buy now'} {i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    bags = quality.bag(pa.array([r["text"] for r in docs.orderBy("doc_id").collect()]))
+    direct = quality.train(bags.to_pylist(), np.arange(40) % 2)
+    monkeypatch.setattr(quality, "train", None)
+    model = quality.fit(docs, labels)
+    assert np.array_equal(model.contribution, direct.contribution) and model.bias == direct.bias
