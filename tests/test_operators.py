@@ -199,3 +199,43 @@ def test_next_unresolved_in_one_pass(spark):
     got = assembly.next_unresolved(rows, F.col("open"))
     assert {(r["run_id"], r["pos"]): r["next_open"] for r in got.collect()} == {("a", 1): 2, ("a", 2): 4, ("a", 3): 4, ("a", 4): 2, ("b", 1): None, ("c", 1): None}
     assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_pairs_are_counted_in_blocks(spark, monkeypatch):
+    """Copies are compared as one text, nothing is written per token, and pairs of one or two tables are those of brute force."""
+    from examloom.operators import grading
+
+    r = random.Random(4)
+    base = [[f"tok{r.randrange(400)}" for _ in range(r.choice([1, 3, 30, 90]))] for _ in range(40)]
+    texts = {i: set(r.sample(b, max(1, len(b) * 9 // 10)) if i % 2 else b) for i, b in enumerate(r.choice(base) for _ in range(240))}
+    df = spark.createDataFrame([(i, " ".join(sorted(t, key=lambda x: (hash(x) + i) % 7))) for i, t in texts.items()], "id long, text string")
+    written = []
+    monkeypatch.setattr(grading, "materialize", lambda d, write=grading.materialize: written.append(write(d)) or written[-1])
+    alike = lambda a, b: len(texts[a] & texts[b]) / max(len(texts[a]), len(texts[b]))
+    want = {(a, b): alike(a, b) for a in texts for b in texts if a < b and alike(a, b) >= 0.5}
+    found = grading.similarity_candidates(df, df, ascending=True)
+    assert {(x["ref_id"], x["var_id"]): x["score"] for x in found.collect()} == pytest.approx(want) and 1.0 in want.values()
+    assert max(w.count() for w in written) <= len(texts) + len(want)
+    found = grading.similarity_candidates(df.filter("id % 3 = 0"), df.filter("id % 3 > 0"))
+    both = {(min(p), max(p)): s for p, s in ((((x["ref_id"], x["var_id"])), x["score"]) for x in found.collect())}
+    assert both == pytest.approx({p: s for p, s in want.items() if (p[0] % 3 == 0) != (p[1] % 3 == 0)})
+
+
+def test_overlaps_of_sets_of_any_size():
+    """Sets whose elements share buckets, of few and very many elements; every pair that can be alike is found."""
+    import numpy as np
+
+    from examloom.operators import overlaps
+
+    r = np.random.default_rng(5)
+    pool = np.sort(r.choice(5000, 900, replace=False))
+    sets = [np.sort(r.choice(pool[: r.choice([4, 20, 900])], r.choice([1, 2, 15, 20]), replace=True)) for _ in range(120)] + [np.sort(r.choice(pool, 600)) for _ in range(30)]
+    n = np.array([len(s) for s in sets])
+    one = overlaps.unpacked([overlaps.packed(np.arange(100), n[:100], np.concatenate(sets[:100])), overlaps.packed(np.arange(100, 150), n[100:], np.concatenate(sets[100:]))])
+    assert (one[2] == np.concatenate(sets)).all() and (one[1] == n).all()
+    for least in (0.5, 0.8):
+        found = {(int(a), int(b)) for i, j in overlaps.met(one, one, least, True) for a, b in zip(i, j, strict=True)}
+        count = lambda a, b: sum(min(np.sum(sets[a] == v), np.sum(sets[b] == v)) for v in np.intersect1d(sets[a], sets[b]))
+        want = {(a, b) for a in range(150) for b in range(a + 1, 150) if count(a, b) >= least * max(n[a], n[b]) - 1e-9}
+        assert want and want <= found
+        assert {(int(a), int(b)) for i, j in overlaps.met(one, one, least, False) for a, b in zip(i, j, strict=True) if a < b} == found
