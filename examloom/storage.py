@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Whether Parquet columns are made of what variants hold.
+APART = "spark.sql.variant.inferShreddingSchema"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +38,16 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
     The result has no lineage behind it: a lost executor costs a reread, not a recomputation. Results read these tables for as long
-    as the application lasts, so they are deleted when it ends.
+    as the application lasts, so they are deleted when it ends. Variants are written as they are: taken apart under a schema of what they hold, they would have to be put together again by each reader.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/examloom-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(APART)
+    spark.conf.set(APART, "false")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(APART, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,3 +26,17 @@ def test_only_a_local_session_may_leave_it_out():
 def test_materialize(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
     assert sorted(map(tuple, storage.materialize(df).collect())) == [(1, "a"), (2, None)]
+
+
+def test_variants_are_written_as_they_are(spark):
+    """No columns are made of what they hold, and the session's setting stays."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    before = spark.conf.get("spark.sql.variant.inferShreddingSchema")
+    out = storage.materialize(spark.range(50).selectExpr("id", """parse_json('{"a":' || id || ',"b":["x",true]}') AS v"""))
+    names = {c for f in out.inputFiles() for g in glob.glob(f.removeprefix("file://").removeprefix("file:")) for c in pq.ParquetFile(g).schema.names}
+    assert "metadata" in names and "typed_value" not in names
+    assert spark.conf.get("spark.sql.variant.inferShreddingSchema") == before
+    assert sorted(r[0] for r in out.selectExpr("variant_get(v, '$.a', 'int')").collect()) == list(range(50))
