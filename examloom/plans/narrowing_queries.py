@@ -66,7 +66,7 @@ def index_windows(t: Tables) -> DataFrame:
     q->>'$.anchor' AS anchor, coalesce(CAST(q->>'$.answer_present' AS BOOLEAN), q->>'$.evidence_state' = 'inline') AS answer_present FROM q"""
 )
 def indexed_questions(t: Tables) -> DataFrame:
-    q = materialize(narrowing.index_windows(responses(t))).filter("ok").select("p_partkey", F.explode("questions").alias("q"))
+    q = materialize(narrowing.index_windows(responses(t)).select("p_partkey", "ok", "questions")).filter("ok").select("p_partkey", F.explode("questions").alias("q"))
     return q.select("p_partkey", "q.ref", "q.owner_page", F.array_join(F.transform("q.source_pages", lambda p: p.cast("string")), ",").alias("source_pages"), "q.anchor", "q.answer_present")
 
 
