@@ -176,8 +176,10 @@ def answer_keys(exams: DataFrame, keys: DataFrame) -> DataFrame:
     k = keys.filter("kind = 'answer-key'")
     linked = k.groupBy(F.col("parent_id").alias("file_id")).agg(F.min_by("file_id", F.struct("added_at", "file_id")).alias("linked"))
     pinned = k.select(F.col("file_id").alias("pinned"), F.lit(True).alias("there"))
-    e = exams.join(linked, "file_id", "left").join(pinned, "pinned", "left")
-    return e.select("file_id", F.coalesce(F.when(F.col("there"), F.col("pinned")), "linked").alias("key_id"))
+    # Exams that pin nothing stay out of the join: they would all meet in one task, under null.
+    fixed = exams.filter("pinned is not null").join(pinned, "pinned", "left").select("file_id", F.when(F.col("there"), F.col("pinned")).alias("fixed"))
+    free = exams.filter("pinned is null").select("file_id", F.col("pinned").alias("fixed"))
+    return fixed.unionByName(free).join(linked, "file_id", "left").select("file_id", F.coalesce("fixed", "linked").alias("key_id"))
 
 
 def matching_targets(runs: DataFrame) -> DataFrame:

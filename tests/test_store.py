@@ -70,3 +70,11 @@ def test_small_rules(spark):
     drafts = spark.createDataFrame([(["  Heart", "", "Lung ", "\t"],), ([],), (None,)], "t array<string>")
     assert [r[0] for r in drafts.select(tx.cleaned_topics(F.col("t"))).collect()] == [["Heart", "Lung"], [], None]
     assert one.select(tx.short_number(F.lit(1250)), tx.short_number(F.lit(12))).first()[:] == ("1.3k", "12")
+
+
+def test_exams_without_a_pin_do_not_meet_in_one_task(spark):
+    exams = spark.createDataFrame([(1, None), (2, None), (3, 30), (4, 99), (5, None)], "file_id long, pinned long")
+    keys = spark.createDataFrame([(30, 2, "answer-key", 5), (20, 2, "answer-key", 5), (40, 4, "answer-key", 1), (50, 5, "exam", 1)], "file_id long, parent_id long, kind string, added_at int")
+    found = store.answer_keys(exams, keys)
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[0]) == [(1, None), (2, 20), (3, 30), (4, 40), (5, None)]
+    assert "isnotnull(pinned" in found._jdf.queryExecution().optimizedPlan().toString()
