@@ -28,30 +28,34 @@ class InOrder(StatefulProcessor):
         self.held = handle.getListState("held", self.held_schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for some in rows for r in some[["micros", "seq", "event"]].itertuples(index=False)]
-        held = [*(tuple(h) for h in self.held.get()), *((int(m), int(s), e) for m, s, e in new)]
-        self.held.put(held)
-        self._wake(held)
+        new = [(int(m), int(q), e) for some in rows for m, q, e in zip(some["micros"], some["seq"], some["event"], strict=True)]
+        if not new:
+            return iter(())
+        self.held.appendList(new)
+        at, set_to = self._moment(new), [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+        if not set_to or at < min(set_to):
+            for t in set_to:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(tuple(h) for h in self.held.get())
         ready, rest = [h for h in held if h[0] <= until], [h for h in held if h[0] > until]
+        # The engine deletes the timer that went off, and a key has no other.
         if rest:
             self.held.put(rest)
+            self.handle.registerTimer(self._moment(rest))
         else:
             self.held.clear()
-        self._wake(rest)
         if ready:
             yield self.passed(key, ready)
 
-    def _wake(self, held: list[tuple]) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
-        if held:
-            # The millisecond that the earliest event lies in has ended by then.
-            self.handle.registerTimer(-(-min(h[0] for h in held) // 1000))
+    @staticmethod
+    def _moment(held: list[tuple]) -> int:
+        """The millisecond that the earliest event lies in has ended by then."""
+        return -(-min(h[0] for h in held) // 1000)
 
     def passed(self, key: Any, ready: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
@@ -98,13 +102,15 @@ class Streaks(InOrder):
         self.streak = handle.getValueState("streak", "n long")
 
     def passed(self, key: Any, ready: list[tuple]) -> pd.DataFrame:
-        n = self.streak.get()[0] if self.streak.exists() else 0
+        before = self.streak.get()
+        n = was = before[0] if before else 0
         out = []
         for _, seq, event in ready:
             n = n + 1 if event == "error" else 0
             if n:
                 out.append((key[0], seq, n, n >= self.strikes))
-        self.streak.update((n,))
+        if n != was:
+            self.streak.update((n,))
         return pd.DataFrame(out, columns=["run_id", "seq", "streak", "demoted"])
 
 

@@ -88,3 +88,36 @@ def test_newest(spark, tmp_path):
         (table.add if r["change"] == "kept" else table.discard)((r["run_id"], r["seq"]))
     want = telemetry.newest(spark.createDataFrame(rows, SCHEMA), 10, "run_id").select("run_id", "seq").collect()
     assert table == {tuple(r) for r in want}
+
+
+def test_new_events_do_not_read_or_rewrite_what_is_held():
+    """Held events and timers of one key, told by the calls that reach the state store."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = [], []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                if name == "get":
+                    return iter(list(self.rows))
+                self.rows = [] if name == "clear" else [*(self.rows if name == "appendList" else []), *args[0]]
+
+            return call
+
+    class Handle:
+        timers: list = []
+        held = Held()
+        getListState = lambda self, *_: self.held
+        listTimers = lambda self: iter([(t,) for t in self.timers])
+        registerTimer = lambda self, t: self.timers.append(t)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+
+    handle, stream = Handle(), ordered.InOrder()
+    stream.init(handle)
+    for micros, timer in ((5_000, 5), (9_000, 5), (3_001, 4), (4_000, 4)):
+        stream.handleInputRows((1,), iter([pd.DataFrame({"micros": [micros], "seq": [micros], "event": ["error"]})]), None)
+        assert handle.timers == [timer]
+    assert handle.held.calls == ["appendList"] * 4 and len(handle.held.rows) == 4
