@@ -44,9 +44,11 @@ NO_DATA = np.zeros(0, np.int64)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * MIX_A + b * MIX_B
+    x = a * MIX_A
+    x += b * MIX_B
     x ^= x >> np.uint64(29)
-    return x * MIX_C
+    x *= MIX_C
+    return x
 
 
 def gram_hashes(data: np.ndarray, most: int, scramble: Callable = lambda x: x) -> dict[int, np.ndarray]:
@@ -151,50 +153,71 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common_apart(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def _in_order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys, keys in that order) of keys below 2**bits. Where a key and its place fit one number, numbers are sorted, which is several times faster."""
+    wide = len(key).bit_length()
+    if bits + wide > 63:
+        order = np.argsort(key)
+        return order, key[order]
+    both = np.sort(key << wide | np.arange(len(key)))
+    return both & ((1 << wide) - 1), both >> wide
+
+
+def suffix_array(symbols: np.ndarray, depth: int = LENGTH, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places in the order of the ``depth`` symbols that start there, whether each differs from the one before it), by Larsson-Sadakane refinement: groups of equal prefixes
     are split by the rank of the place behind the prefix, which doubles the prefix, and groups of one are left alone.
 
-    Symbols are 0 to 256; behind the end there are zeros.
+    Symbols are 0 to 256; behind the end there are zeros. ``shared`` gets, for each suffix in order, a number of symbols that it shares with the one
+    before it: more than half of all they share, unless that is less than seven.
     """
     n = len(symbols)
+    bits = (n + 1).bit_length()
+    known = min(7, max(1, (63 - bits) // 9))
     key = np.zeros(n, np.int64)
     wide = np.append(symbols.astype(np.int64), np.zeros(7, np.int64))
-    for j in range(7):
+    for j in range(known):
         key = key << 9 | wide[j : j + n]
-    sa = np.argsort(key)
-    key = key[sa]
+    sa, key = _in_order(key, 9 * known)
     new = np.append(True, key[1:] != key[:-1])
-    rank = np.zeros(n + 2 * depth + 8, np.int64)
+    rank = np.zeros(n + 2 * depth + 8, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
-    known = 7
     while known < depth:
         alone = new & np.append(new[1:], True)
         places = np.flatnonzero(~alone)
         if not len(places):
             break
         some = sa[places]
-        key = rank[some] << 32 | rank[some + known]
-        order = np.argsort(key, kind="stable")
-        some, key = some[order], key[order]
+        order, key = _in_order(rank[some].astype(np.int64) << bits | rank[some + known], 2 * bits)
+        some = some[order]
         sa[places] = some
         fresh = np.append(True, key[1:] != key[:-1])
         rank[some] = places[np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))] + 1
+        if shared is not None:
+            shared[places[fresh & ~new[places]]] = known
         new[places] = fresh
         known *= 2
     return sa, new
 
 
-def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most: int = LENGTH, lanes: int = 1 << 14) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most: int = LENGTH, lanes: int = 1 << 14, shared: np.ndarray | None = None) -> np.ndarray:
     """Symbols (up to ``most``) that each suffix of the array shares with the one before it, by Kasai's rule: behind a
     place with h common symbols, the next has h - 1 at least. The text is cut into lanes, and all lanes advance a place at a time.
     The array is sorted to a depth only: places that it left equal have ``most`` symbols, and behind one of those the count starts anew.
+
+    With ``shared`` (see ``suffix_array``), suffixes that surely share less than ``most`` are left at that number, and counting starts from it.
     """
     n = len(sa)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    tied = np.zeros(n, bool)
-    tied[sa] = ~new
+    out = np.zeros(n, np.int16)
+    todo = new & (np.arange(n) > 0)
+    if shared is not None:
+        out[sa] = shared
+        todo &= 2 * shared.astype(np.int64) >= most
+    out[sa[~new]] = most
+    at = np.sort(sa[todo])
+    if not len(at):
+        return out[sa]
     wide = np.append(symbols.astype(np.int16), np.full(most + 1, -1, np.int16))
     # Seven symbols in one number: equal ones are stepped over at once. Behind the end nothing is equal, so the places differ.
     seven = np.zeros(n + most + 1, np.int64)
@@ -203,22 +226,20 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
     for j in range(7):
         seven[:inner] = seven[:inner] << 9 | wide[j : inner + j]
     seven[inner:n] = -np.arange(most + 2, most + 2 + n - inner)
-    stride = -(-n // lanes)
-    base = np.arange(0, n, stride)
-    out = np.zeros(n, np.int16)
+    stride = -(-len(at) // lanes)
+    base = np.arange(0, len(at), stride)
+    gap = np.diff(at, prepend=-most)
     h = np.zeros(len(base), np.int64)
     for t in range(stride):
-        i = base + t
-        i = i[i < n]
-        h = np.maximum(h[: len(i)] - 1, 0)
+        turn = base[base + t < len(at)] + t
+        i = at[turn]
         j = before[i]
-        h[(j < 0) | (tied[i - 1] if t else False)] = 0
-        h[tied[i]] = most
-        every = todo = np.flatnonzero((j >= 0) & ~tied[i])
+        h = np.maximum(h[: len(i)] - gap[turn], out[i]) if t else out[i].astype(np.int64)
+        todo = np.arange(len(i))
         while len(todo):
             todo = todo[(seven[i[todo] + h[todo]] == seven[j[todo] + h[todo]]) & (h[todo] + 7 <= most)]
             h[todo] += 7
-        todo = every[h[every] < most]
+        todo = np.flatnonzero(h < most)
         while len(todo):
             # Behind the end of the text there is nothing equal: the later of two places ends first.
             same = wide[i[todo] + h[todo]] == wide[j[todo] + h[todo]]
@@ -226,9 +247,7 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, new: np.ndarray, most:
             h[todo] += 1
             todo = todo[h[todo] < most]
         out[i] = h
-    lcp = np.zeros(n, np.int16)
-    lcp[:] = out[sa]
-    return lcp
+    return out[sa]
 
 
 #: Rows without bytes are windows that are removed. With ``windows`` = 0, a row is one window under a hot anchor: its route and bytes are two hashes of it.
@@ -296,9 +315,10 @@ class Shard:
         owner[to] = np.repeat(np.arange(len(sizes)), sizes)
         room = np.zeros(len(symbols), np.int64)
         room[to] = np.repeat(seat + sizes, sizes) - to
-        sa, new = suffix_array(symbols)
+        shared = np.zeros(len(symbols), np.int16)
+        sa, new = suffix_array(symbols, shared=shared)
         whole = room[sa] >= LENGTH
-        equal = common_prefixes(symbols, sa, new) >= LENGTH
+        equal = common_prefixes(symbols, sa, new, shared=shared) >= LENGTH
         group = np.cumsum(~equal) - 1
         edge = np.flatnonzero(~equal)
         earliest = np.minimum.reduceat(np.where(whole, sa, len(sa)), edge)[group]
@@ -364,23 +384,44 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_slices(slices: pa.Table) -> pa.RecordBatch:
-    """SLICE rows: windows of slices that are not the earliest of their like, without bytes. Only bytes decide what is equal."""
+    """SLICE rows: windows of slices that are not the earliest of their like, without bytes. Only bytes decide what is equal.
+
+    Of slices with the same bytes, one is sorted, and its windows find their like for all. Equal windows have one anchor, so suffixes are
+    sorted behind the rank of their route: those of different anchors differ in the first bytes.
+    """
     data, offsets = flat(slices.column("bytes"))
-    ids, starts, number = (slices.column(c).to_numpy() for c in ("doc_id", "start", "windows"))
-    number = number.astype(np.int64)
-    ends = np.append(0, np.cumsum(number))
-    owner = np.repeat(np.arange(len(number)), number)
-    inner = np.arange(ends[-1]) - ends[owner]
+    route, ids, starts, number = (slices.column(c).to_numpy() for c in ("route", "doc_id", "start", "windows"))
+    # By route and age: the earliest of equal windows comes first.
+    order = np.lexsort((starts, ids, route))
+    route, ids, starts, number, lo = route[order], ids[order], starts[order], number[order].astype(np.int64), offsets[:-1][order]
+    code = slices.column("bytes").combine_chunks().dictionary_encode().indices.to_numpy()[order]
+    model = np.zeros(len(code), np.int64)
+    model[code[::-1]] = np.arange(len(code))[::-1]
+    model = model[code]
+    own = np.flatnonzero(model == np.arange(len(model)))
+    size = number[own]
+    base = np.append(0, np.cumsum(size))
+    spread = np.repeat(np.arange(len(own)), size)
+    inner = np.arange(base[-1]) - base[spread]
+    rank = np.cumsum(np.append(False, route[1:] != route[:-1]))[own].astype(">u4")
+    suffixes = np.empty((len(spread), 4 + LENGTH), np.uint8)
+    suffixes[:, :4] = rank.view(np.uint8).reshape(-1, 4)[spread]
     # No byte of UTF-8 is 255, so bytes grow by one and none is the zero that ends a numpy string.
-    suffixes = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), LENGTH)[offsets[owner] + inner].view(f"S{LENGTH}")[:, 0]
-    order = np.lexsort((starts, ids))
-    seat = np.zeros(len(order), np.int64)
-    seat[order] = np.arange(len(order))
+    suffixes[:, 4:] = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), LENGTH)[lo[own][spread] + inner]
+    suffixes = suffixes.view(f"S{4 + LENGTH}")[:, 0]
     # Suffixes are sorted once, the earliest of equal ones first; then every window finds its like by binary search.
-    by_age = np.lexsort((inner, seat[owner]))
-    by_bytes = by_age[np.argsort(suffixes[by_age], kind="stable")]
-    first = by_bytes[np.searchsorted(suffixes[by_bytes], suffixes)]
-    later = (ids[owner] != ids[owner[first]]) | (starts[owner] + inner != starts[owner[first]] + inner[first])
+    by_bytes = np.argsort(suffixes, kind="stable")
+    suffixes = suffixes[by_bytes]
+    first = np.empty(len(by_bytes), np.int64)
+    first[by_bytes] = by_bytes[np.searchsorted(suffixes, suffixes)]
+    place = np.zeros(len(model), np.int64)
+    place[own] = base[:-1]
+    ends = np.append(0, np.cumsum(number))
+    owner = np.repeat(np.arange(len(number)), number)
+    at = np.arange(ends[-1]) - ends[owner]
+    first = first[place[model[owner]] + at]
+    of, behind = own[spread[first]], inner[first]
+    later = (ids[owner] != ids[of]) | (starts[owner] + at != starts[of] + behind)
     flag = np.zeros(len(later) + len(number) + 1, np.uint8)
     flag[owner + np.arange(len(later))] = later
     lo, hi = _runs(flag)

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -230,6 +231,35 @@ def test_suffix_array_and_common_prefixes(values, times):
         assert lcp[k] == n
 
 
+def test_prefixes_counted_from_where_the_sort_left_them():
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(1, 4, n) for n in (30, 70, 99, 100, 101, 127, 128, 300)]
+    x = np.concatenate([pieces[i] for i in rng.integers(0, len(pieces), 60)]).astype(np.int16)
+    shared = np.zeros(len(x), np.int16)
+    sa, new = suffix_dedup.suffix_array(x, shared=shared)
+    whole, some = suffix_dedup.common_prefixes(x, sa, new, lanes=5), suffix_dedup.common_prefixes(x, sa, new, lanes=7, shared=shared)
+    assert np.array_equal(whole >= 100, some >= 100) and np.all(some <= whole)
+    assert np.all((shared <= whole) & ((whole < 2 * shared) | (whole < 7) | ~new)) and np.any((whole >= 100) & new)
+
+
+def test_copies_of_a_slice_are_sorted_once(monkeypatch):
+    """400 copies of one slice and parts of it: a copy's windows are told by those of the slice that is sorted."""
+    text = words(5, 60).encode()
+    rows = [(7, i, 3 * i, 40, text[:139]) for i in range(400, 0, -1)] + [(7, 900, 5, 20, text[10:129]), (7, 900, 5, 20, text[10:129]), (7, -3, 8, 25, text[30:154]), (9, 1, 0, 40, text[:139][::-1])]
+    random.Random(1).shuffle(rows)
+    table = pa.Table.from_pylist([dict(zip(suffix_dedup.SLICE.names, r, strict=True)) for r in rows], schema=suffix_dedup.SLICE)
+    sizes = []
+    real = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: sizes.append(len(a)) or real(a, *args, **kw))
+    got = suffix_dedup.merge_slices(table).to_pylist()
+    assert sizes and max(sizes) <= 40 + 20 + 25 + 40
+    windows = sorted((r, i, s + k, b[k : k + 100]) for r, i, s, n, b in rows for k in range(n))
+    earliest = {}
+    for _, i, s, b in sorted(windows, key=lambda w: w[1:3]):
+        earliest.setdefault(b, (i, s))
+    assert {(g["doc_id"], g["start"] + k) for g in got for k in range(g["windows"])} == {(i, s) for _, i, s, b in windows if earliest[b] != (i, s)}
+
+
 def brute_winnow(grams, window=fingerprint.WINDOW):
     """Places that windows choose, the rightmost of equal ones."""
     out = []
