@@ -39,7 +39,11 @@ def strings(column: pa.Array) -> Iterator[list[str]]:
 @cache
 def classes() -> np.ndarray:
     """The class of every code point."""
-    first = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
+    # Two letters each, of which the first counts.
+    names = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8)[::2]
+    first = np.full(len(names), OTHER, np.uint8)
+    first[names == ord("L")] = LETTER
+    first[names == ord("N")] = NUMBER
     first[WHITE] = SPACE
     return first
 
@@ -170,7 +174,13 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         hashes = span_hashes(mixed(x.astype(np.uint64)), starts, ends)
-        distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # Any example will do, so the sort need not be stable, which np.unique would make it.
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        fresh = np.append(True, ranked[1:] != ranked[:-1])
+        distinct, example = ranked[fresh], order[fresh]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
         sizes = ends - starts
         if len(self.hashes) + len(distinct) > MOST_KNOWN:
             self.forget()

@@ -55,6 +55,27 @@ def test_words_as_the_library():
     assert [g.tolist() for g in codec.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_one_text():
+    """Distinct words go to the library in few texts; where it takes a word apart, each goes alone, and the counts are those of each word."""
+    codec, library = packing.WordCodec(WORDS), Tokenizer.from_file(WORDS)
+    sent = []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    codec.library = Seen()
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("etaonriñß") for _ in range(r.randint(1, 12))) for _ in range(6000)}) + ["'s", "!?", "7", "\u0308\u0331", "\u00a8"]
+    for some, most in ((words, 2), (["ab1", "x"], 3), ([], 1)):
+        sent.clear()
+        ids, counts = codec._words(some)
+        want = [library.encode(w, add_special_tokens=False).ids for w in some]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        assert len(sent) <= most
+
+
 def test_encode_documents(spark, odd, none):
     rows = bpe.encode_documents(odd, BYTES).collect()
     assert len(rows) == odd.count()
