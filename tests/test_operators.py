@@ -221,6 +221,42 @@ def test_pairs_are_counted_in_blocks(spark, monkeypatch):
     assert both == pytest.approx({p: s for p, s in want.items() if (p[0] % 3 == 0) != (p[1] % 3 == 0)})
 
 
+def test_blocks_meet_where_sizes_allow(spark, monkeypatch):
+    """Sets of like size lie together, blocks that can't hold a pair don't meet, and sets of all sizes in many blocks have the pairs of brute force, of one and of two tables."""
+    import numpy as np
+
+    from examloom.operators import grading, overlaps
+
+    sizes, counts = np.array([1, 2, 3, 9, 10, 30, 400, 401, 5000]), np.array([50, 9, 1, 400, 1, 90, 70, 70, 3])
+    monkeypatch.setattr(overlaps, "LEAST_ELEMENTS", 1000)
+    one = overlaps.Blocks.of(sizes, counts)
+    n = np.repeat(sizes, counts)
+    at = one.places(np.arange(len(n)), n)
+    blocks = one.all()
+    assert set(at.tolist()) <= set(range(len(blocks))) and all(blocks[b][0] <= k <= blocks[b][1] for b, k in zip(at.tolist(), n.tolist(), strict=True))
+    meet = overlaps.cells([one], 0.5)
+    assert {tuple(sorted((int(at[i]), int(at[j])))) for i in range(len(n)) for j in range(i) if n[j] >= n[i] / 2} <= set(meet) and len(meet) == len(set(meet))
+    assert not [c for c in meet if blocks[c[1]][0] > 2 * blocks[c[0]][1]] and len(meet) < len(blocks) * (len(blocks) + 1) // 2
+    # Beginnings are looked up for sets that can be partners alone.
+    small, large = ((np.arange(k), np.full(k, m), np.tile(np.arange(m, dtype=np.int32), k)) for k, m in ((50, 40), (20, 90)))
+    looked = []
+    monkeypatch.setattr(overlaps, "spans", lambda *a, real=overlaps.spans: looked.append(1) or real(*a))
+    assert not list(overlaps.met(small, large, 0.5, False)) and not looked
+    monkeypatch.undo()
+    monkeypatch.setattr(overlaps, "LEAST_ELEMENTS", 200)
+    monkeypatch.setattr(overlaps, "PAIRS", 7)
+    r = random.Random(11)
+    pool = [f"w{k}x" for k in range(60)]
+    texts = {i: set(r.sample(pool[: r.randrange(k, 61)], k)) for i, k in enumerate(r.choice([1, 2, 3, 5, 8]) if i < 60 else r.randrange(4, 50) if i < 120 else 8 for i in range(160))}
+    df = spark.createDataFrame([(i, " ".join(sorted(t))) for i, t in texts.items()], "id long, text string").repartition(3)
+    alike = lambda a, b: len(texts[a] & texts[b]) / max(len(texts[a]), len(texts[b]))
+    for least in (0.5, 0.9):
+        want = {(a, b): alike(a, b) for a in texts for b in texts if a < b and alike(a, b) >= least}
+        assert {(x["ref_id"], x["var_id"]): x["score"] for x in grading.similarity_candidates(df, df, least, ascending=True).collect()} == pytest.approx(want) and want
+    want = {(a, b): alike(a, b) for a in texts for b in texts if a % 3 == 0 and alike(a, b) >= 0.5}
+    assert {(x["ref_id"], x["var_id"]): x["score"] for x in grading.similarity_candidates(df.filter("id % 3 = 0"), df).collect()} == pytest.approx(want)
+
+
 def test_overlaps_of_sets_of_any_size():
     """Sets whose elements share buckets, of few and very many elements; every pair that can be alike is found."""
     import numpy as np
