@@ -149,6 +149,33 @@ def test_served(spark):
     assert grading.greedy_alignment(df.limit(0), "exam").count() == 0
 
 
+def test_served_in_few_passes(spark, monkeypatch):
+    """A long row of takers that put each other off takes a fixed number of tables, not one for each; lists of any length, null groups and batches that end amid a list are as a loop has them."""
+    from examloom import rounds
+
+    written = []
+    monkeypatch.setattr(rounds, "materialize", lambda d, write=rounds.materialize: written.append(write(d)) or written[-1])
+    rows = [("chain", i, i + k, 1.0 - k / 2) for i in range(1, 40) for k in (0, 1)] + [("chain", 0, 1, 1.0)]
+    want = [("chain", 0, 1, 1.0)] + [("chain", i, i + 1, 0.5) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "exam string, ref_id long, var_id long, score double").repartition(3)
+    assert got(grading.greedy_alignment(df, "exam"), ("exam", "ref_id", "var_id", "score")) == sorted(want, key=str)
+    assert len(written) == 2
+    # All of "all" want the same items in the same order, more than are gone through at first.
+    monkeypatch.setattr(rounds, "PACKED", 4)
+    monkeypatch.setattr(rounds, "WISHES", 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        some = [("all", a, b, 1.0 - b / 200) for a in range(90) for b in range(100, 180)] + [(None, 5, 6, 0.5), (None, 5, 7, 0.5), (None, 8, 6, 1.0), ("few", 1, 2, 1.0), ("few", 2, 2, 1.0), ("few", 3, 2, 0.5)]
+        want = [("all", a, 100 + a, 1.0 - (100 + a) / 200) for a in range(80)] + [(None, 5, 6, 0.5), ("few", 1, 2, 1.0)]
+        df = spark.createDataFrame(some, "exam string, ref_id long, var_id long, score double").repartition(5)
+        written.clear()
+        assert got(grading.greedy_alignment(df, "exam"), ("exam", "ref_id", "var_id", "score")) == sorted(want, key=str)
+        assert len(written) == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_independent(spark):
     r = random.Random(5)
     edges = {(max(a, b), min(a, b)) for a, b in ((r.randrange(200), r.randrange(200)) for _ in range(400)) if a != b} | {(i + 1, i) for i in range(300, 330)}
